@@ -9,7 +9,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import fixed
-from .strings import lit_array, singular, strip, words
+from .strings import let, lit_array, singular, strip, words
 
 
 def property_type(label: Column) -> Column:
@@ -53,10 +53,6 @@ def parse_struct(text: Column, strict: bool = False) -> Column:
     verbs = lit_array(fixed.COPULAS + fixed.POSSESSION + fixed.RELATION_VERBS)
     pronouns = lit_array(fixed.PRONOUNS)
 
-    def bind(value, body):
-        """let-binding: evaluate ``value`` once and use it in ``body``."""
-        return F.element_at(F.transform(F.array(value), body), 1)
-
     tokens = words(F.lower(text))
     if not strict:
         tokens = F.filter(tokens, lambda w: ~has(lit_array(fixed.ARTICLES), w))
@@ -95,7 +91,7 @@ def parse_struct(text: Column, strict: bool = False) -> Column:
         sw = words(p["subject"])
         return F.when((F.size(sw) <= 4) & ~F.arrays_overlap(sw, pronouns), p)
 
-    return bind(bind(bind(tokens, locate), cut), check)
+    return let(let(let(tokens, locate), cut), check)
 
 
 def relation_of(verb: Column, ptype: Column) -> Column:

@@ -11,6 +11,11 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space on both ends."""
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")

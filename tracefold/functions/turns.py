@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import fixed
 from .fixed import WS
 from .statements import parse_struct, property_type, relation_of
-from .strings import any_startswith, lit_array, strip, strip_chars, words
+from .strings import let, lit_array, strip, strip_chars, words
 
 
 def _member(c: Column, values) -> Column:
@@ -50,14 +50,18 @@ def extract_source(text: Column) -> Column:
         rest = F.when(F.startswith(low, F.lit(phrase)),
                       strip(F.substr(text, F.lit(len(phrase) + 1)))).otherwise(rest)
     verb = rf"(?isU)^(.*?)\b(?:says|that|claims|tells us)(?:,|{WS})+(.*)$"
-    by_verb = rest.rlike(verb)
-    by_comma = F.contains(rest, F.lit(","))
-    source = F.when(by_verb, F.regexp_replace(strip(F.regexp_extract(rest, verb, 1)),
-                                              "[,.:;]+$", "")) \
-        .when(by_comma, F.regexp_replace(strip(F.substring_index(rest, ",", 1)), "[.:;]+$", ""))
-    body = F.when(by_verb, strip(F.regexp_extract(rest, verb, 2))) \
-        .when(by_comma, strip(F.regexp_replace(rest, "(?s)^[^,]*,", ""))).otherwise(text)
-    return F.struct(source.alias("source"), body.alias("body"))
+
+    def cut(rest):
+        by_verb = rest.rlike(verb)
+        by_comma = F.contains(rest, F.lit(","))
+        source = F.when(by_verb, F.regexp_replace(strip(F.regexp_extract(rest, verb, 1)),
+                                                  "[,.:;]+$", "")) \
+            .when(by_comma, F.regexp_replace(strip(F.substring_index(rest, ",", 1)),
+                                             "[.:;]+$", ""))
+        body = F.when(by_verb, strip(F.regexp_extract(rest, verb, 2))) \
+            .when(by_comma, strip(F.regexp_replace(rest, "(?s)^[^,]*,", ""))).otherwise(text)
+        return F.struct(source.alias("source"), body.alias("body"))
+    return let(rest, cut)
 
 
 def is_greeting(low: Column) -> Column:
@@ -141,17 +145,24 @@ def detect_correction(text: Column) -> Column:
     Up to three nested prefixes are removed; a comma tail that parses on its own
     is preferred to the full remainder.
     """
-    cleaned, found = strip(text), F.lit(False)
+    def unprefix(p):
+        hit = p["cleaned"].rlike(_PREFIX)
+        rest = strip(F.regexp_replace(F.regexp_replace(p["cleaned"], _PREFIX, ""),
+                                      "^[,.:; ]+", ""))
+        return F.struct(F.when(hit, rest).otherwise(p["cleaned"]).alias("cleaned"),
+                        (p["found"] | hit).alias("found"))
+
+    def choose(p):
+        parts = F.split(p["cleaned"], ",")
+        tails = F.transform(F.when(F.size(parts) >= 2, F.sequence(F.lit(2), F.size(parts)))
+                            .otherwise(F.array().cast("array<int>")),
+                            lambda i: strip(F.array_join(F.slice(parts, i, F.size(parts)), ",")))
+        good = F.filter(tails, lambda t: (t != "") & F.coalesce(
+            ~F.contains(parse_struct(t)["subject"], F.lit(",")), F.lit(False)))
+        return F.when(p["found"], F.when(p["cleaned"] == "", "").otherwise(
+            F.coalesce(F.get(good, F.lit(0)), p["cleaned"])))
+
+    state = F.struct(strip(text).alias("cleaned"), F.lit(False).alias("found"))
     for _ in range(3):
-        hit = cleaned.rlike(_PREFIX)
-        found = found | hit
-        cleaned = F.when(hit, strip(F.regexp_replace(
-            F.regexp_replace(cleaned, _PREFIX, ""), "^[,.:; ]+", ""))).otherwise(cleaned)
-    parts = F.split(cleaned, ",")
-    tails = F.transform(F.when(F.size(parts) >= 2, F.sequence(F.lit(2), F.size(parts)))
-                        .otherwise(F.array().cast("array<int>")),
-                        lambda i: strip(F.array_join(F.slice(parts, i, F.size(parts)), ",")))
-    good = F.filter(tails, lambda t: (t != "") & F.coalesce(
-        ~F.contains(parse_struct(t)["subject"], F.lit(",")), F.lit(False)))
-    return F.when(found, F.when(cleaned == "", "").otherwise(
-        F.coalesce(F.get(good, F.lit(0)), cleaned)))
+        state = let(state, unprefix)
+    return let(state, choose)
