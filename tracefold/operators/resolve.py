@@ -41,7 +41,9 @@ def _windows(s: Column, n: Column, k: Column) -> Column:
     def at(i):
         start = (i * n / (k + 1)).cast("int")
         width = ((i + 1) * n / (k + 1)).cast("int") - start
-        low, high = F.greatest(F.lit(0), start - k), F.least(m - width, start + k)
+        # at most i edits lie before piece i and k - i behind it
+        low = F.greatest(F.lit(0), start - i, start + (m - n) - (k - i))
+        high = F.least(m - width, start + i, start + (m - n) + (k - i))
         return F.when(high >= low, F.transform(F.sequence(low, high), lambda p: F.struct(
             i.alias("i"), F.substring(s, p + 1, width).alias("piece"))))
     return F.array_distinct(F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), k), at))))
@@ -51,9 +53,11 @@ def close_strings(terms: DataFrame, strings: DataFrame, bound=edit_bound) -> Dat
     """(term, string, distance) within the edit bound of the term.
 
     If two strings differ by at most k edits, one of k + 1 pieces of the first
-    stands unchanged in the second, shifted by at most k.  Pieces are the join
-    key; lengths outside the bound never meet.  Terms too short to be cut are
-    matched on their length alone.
+    stands unchanged in the second, with no more than i edits before piece i and
+    k - i after it, which fixes where it may stand.  Pieces are the join key;
+    lengths outside the bound never meet.  Terms too short to be cut are matched
+    on their length alone.  Distances are tested before pairs are made unique, so
+    only true matches are shuffled again.
     """
     t = terms.select("term").distinct().withColumns(
         {"n": F.length("term"), "k": bound(F.col("term"))})
@@ -67,12 +71,12 @@ def close_strings(terms: DataFrame, strings: DataFrame, bound=edit_bound) -> Dat
     keyed_s = (s.join(bands.filter(cut), "m")
                .select("string", "n", F.inline(_windows(F.col("string"), F.col("n"),
                                                         F.col("k")))))
-    pairs = keyed_t.join(keyed_s, ["n", "i", "piece"]).select("term", "string", "k").distinct()
+    pairs = keyed_t.join(keyed_s, ["n", "i", "piece"]).select("term", "string", "k")
     short = (t.filter(~cut).join(bands.filter(~cut), ["n", "k"]).join(s, "m")
              .select("term", "string", "k"))
-    d = F.levenshtein("term", "string")
+    d = F.expr("levenshtein(term, string, k)")
     return (pairs.unionByName(short).withColumn("distance", d)
-            .filter(F.col("distance") <= F.col("k")).select("term", "string", "distance"))
+            .filter(F.col("distance") >= 0).select("term", "string", "distance").distinct())
 
 
 def _ranked(df: DataFrame, order: list, max_results: int) -> DataFrame:

@@ -48,12 +48,13 @@ def part_facts(spark, sf_dir) -> DataFrame:
         region=F.lit("parts"))
 
 
-def market_facts(spark, sf_dir) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(
+def market_rows(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Segment facts of orders (a batch or a stream) joined with customers."""
+    orders = orders.select(
         "o_custkey", F.lower("o_orderpriority").alias("source_label"),
         F.when(F.col("o_orderstatus") == "F", "refute").otherwise("teach").alias("kind"),
         F.col("o_orderkey").alias("seq"))
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    customers = customers.select("c_custkey", "c_mktsegment")
     return evidence.facts(
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
         .select(F.concat(F.lit("customer#"), F.col("c_custkey")).alias("subject"),
@@ -62,6 +63,10 @@ def market_facts(spark, sf_dir) -> DataFrame:
         region=F.lit("market"))
 
 
+def market_facts(spark, sf_dir) -> DataFrame:
+    return market_rows(table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"))
+
+
 def geography_facts(spark, sf_dir) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -77,14 +82,17 @@ def geography_facts(spark, sf_dir) -> DataFrame:
     return evidence.facts(in_region.unionByName(in_nation), region=F.lit("geography"))
 
 
-def document_sentences(spark, sf_dir) -> DataFrame:
-    """(doc_id, source, pos, sentence) of every document, whole texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+def sentences_of(docs: DataFrame) -> DataFrame:
     return (docs.select("doc_id", "source", F.posexplode(split_sentences(F.col("text")))
                         .alias("pos", "sentence"))
             .withColumn("sentence", strip(F.col("sentence"))).filter("sentence <> ''"))
 
 
+def document_sentences(spark, sf_dir) -> DataFrame:
+    """(doc_id, source, pos, sentence) of every document, whole texts."""
+    return sentences_of(table(spark, sf_dir, "documents"))
+
+
 def document_facts(spark, sf_dir) -> DataFrame:
     """Statements parsed from document sentences, taught by the document's source."""
     sents = document_sentences(spark, sf_dir).select(
