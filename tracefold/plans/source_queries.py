@@ -281,7 +281,8 @@ def activity_windows(spark, sf_dir):
 @query("stream_activity_windows")
 def stream_activity_windows(spark, sf_dir):
     """Closed windows only: those the watermark has passed."""
-    rows = _stream(spark, sf_dir, "events").withColumnRenamed("event_type", "kind")
+    rows = _stream(spark, sf_dir, "events").withColumnRenamed("event_type", "kind") \
+        .withColumn("ts", F.col("ts").cast("timestamp"))
     return _run(incremental.activity(rows)).select(
         "window_start", "kind", "events", F.round("value", 4).alias("value"))
 
