@@ -200,23 +200,46 @@ def paths_of(fact_rows: DataFrame) -> DataFrame:
     return fact_rows.select("region", "statement_id", "seq", "source_text", F.inline(both))
 
 
-def running_strength(log: DataFrame) -> DataFrame:
-    """Audit view: counters and strength of an edge after each of its events."""
-    key = W.partitionBy(*EDGE_KEY)
+def running_strength(log: DataFrame, buckets: int = 64) -> DataFrame:
+    """Audit view: counters and strength of an edge after each of its events.
+
+    Running totals are cut into ``buckets`` ranges of seq: totals inside a range
+    come from a window over (edge, range), what went before from the per-range
+    totals.  One edge holding a large share of the log is thus many groups.
+    """
+    span = log.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    width = max(1, ((span.hi or 0) - (span.lo or 0)) // buckets + 1)
+    rows = log.withColumn("b", F.floor((F.col("seq") - F.lit(span.lo or 0)) / F.lit(width)))
     order = [F.col("seq"), F.col("step"), F.col("kind")]
-    keyed = log.withColumn("source_key", F.col("source_label"))
-    nth = F.row_number().over(key.orderBy(*order))
-    nth_source = F.row_number().over(
-        W.partitionBy(*EDGE_KEY, "source_key").orderBy(*order))
-    up = ((F.col("kind") == "teach") & (F.col("nth") > 1)
-          & (F.col("source_key").isNull()
-             | ((F.col("source_key") != "") & (F.col("nth_source") == 1)))).cast("bigint")
-    so_far = key.orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)
-    t = F.sum("up").over(so_far)
-    r = F.sum((F.col("kind") == "refute").cast("bigint")).over(so_far)
-    start = F.first(F.coalesce("initial_strength", F.lit(1.0))).over(so_far)
-    return (keyed.withColumns({"nth": nth, "nth_source": nth_source}).withColumn("up", up)
-            .withColumns({"traversals": t, "refutations": r, "start": start})
+    cell = EDGE_KEY + ["b"]
+    rows = rows.withColumns({
+        "in_cell": F.row_number().over(W.partitionBy(*cell).orderBy(*order)),
+        "in_source": F.row_number().over(W.partitionBy(*cell, "source_label").orderBy(*order))})
+
+    def before(name):
+        return F.coalesce(F.sum(name).over(W.partitionBy(*EDGE_KEY).orderBy("b").rowsBetween(
+            W.unboundedPreceding, -1)), F.lit(0))
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("n")).select(
+        *cell, before("n").alias("events_before"))
+    sources = (rows.filter("source_label <> ''").groupBy(*EDGE_KEY, "source_label")
+               .agg(F.min("b").alias("source_b")))
+    rows = rows.join(cells, cell).join(sources, EDGE_KEY + ["source_label"], "left") \
+        .withColumn("nth", F.col("events_before") + F.col("in_cell"))
+    new_source = (F.col("source_b") == F.col("b")) & (F.col("in_source") == 1)
+    up = (F.col("kind") == "teach") & (F.col("nth") > 1) \
+        & (F.col("source_label").isNull() | F.coalesce(new_source, F.lit(False)))
+    rows = rows.withColumns({"up": up.cast("bigint"),
+                             "down": (F.col("kind") == "refute").cast("bigint")})
+    totals = rows.groupBy(*cell).agg(F.sum("up").alias("u"), F.sum("down").alias("d")).select(
+        *cell, before("u").alias("up_before"), before("d").alias("down_before"))
+    starts = rows.filter("nth = 1").select(
+        *EDGE_KEY, F.coalesce("initial_strength", F.lit(1.0)).alias("start"))
+    so_far = W.partitionBy(*cell).orderBy("in_cell").rowsBetween(
+        W.unboundedPreceding, W.currentRow)
+    t = F.col("up_before") + F.sum("up").over(so_far)
+    r = F.col("down_before") + F.sum("down").over(so_far)
+    return (rows.join(totals, cell).join(starts, EDGE_KEY)
+            .withColumns({"traversals": t, "refutations": r})
             .withColumn("strength",
                         F.when((F.col("traversals") == 0) & (F.col("refutations") == 0),
                                F.col("start"))

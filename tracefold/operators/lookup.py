@@ -4,17 +4,27 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import fixed
 from ..functions.strings import words
+from ..sources.scratch import materialize
 from .evidence import EDGE_KEY
-from .waves import trace
+from .resolve import did_you_mean, resolve
+from .similar import similar_to
+from .waves import top_per_group, trace
 
 
-def neighbors(labels: DataFrame, edges: DataFrame, direction: str = "out") -> DataFrame:
-    """Adjacent edges of each (region, label), strongest first."""
+def neighbors(labels: DataFrame, edges: DataFrame, direction: str = "out",
+              k: int = None) -> DataFrame:
+    """Adjacent edges of each (region, label); with ``k`` only the strongest, ranked.
+
+    Without ``k`` the rows are not numbered: a hub's edges stay spread, and a sort
+    by (label, strength) splits them by range.
+    """
     near = "src" if direction == "out" else "dst"
     asked = labels.select("region", F.col("label").alias(near)).distinct()
     out = edges.join(asked, ["region", near], "left_semi")
-    order = W.partitionBy("region", near).orderBy(F.desc("strength"), "src", "dst", "relation")
-    return out.withColumn("rank", F.row_number().over(order))
+    if k is None:
+        return out
+    return top_per_group(out, ["region", near],
+                         [F.desc(F.round("strength", 9)), "src", "dst", "relation"], k)
 
 
 def find_edges(keys: DataFrame, edges: DataFrame) -> DataFrame:
@@ -160,3 +170,35 @@ def refuted_answers(weighed: DataFrame) -> DataFrame:
             .agg(F.count_if(~refuted).alias("taught"), F.count_if(refuted).alias("refuted"))
             .withColumn("standing", F.when(F.col("refuted") == 0, "believed")
                         .when(F.col("taught") == 0, "refuted").otherwise("contested")))
+
+
+def summarize(labels: DataFrame, paths: DataFrame, edges: DataFrame, pairs: DataFrame):
+    """(region, label, kind, text, value): recorded paths to, and nodes similar to, a label."""
+    to = why(labels, paths, edges).select(
+        "region", F.col("terminus").alias("label"), F.lit("path").alias("kind"),
+        F.concat_ws(" → ", "origin", F.col("steps")[0]["dst"], "terminus").alias("text"),
+        F.col("weight").alias("value"))
+    near = similar_to(labels, pairs).select(
+        "region", "label", F.lit("similar").alias("kind"), F.col("other").alias("text"),
+        F.col("overlap").alias("value"))
+    return to.unionByName(near)
+
+
+def query_topics(topics: DataFrame, nodes: DataFrame, paths: DataFrame, edges: DataFrame):
+    """All that is known about free topics (region, topic); suggestions where nothing is.
+
+    Returns (topic, label, kind, text, weight) with kind why, trace or did_you_mean.
+    """
+    resolved = materialize(resolve(topics.select(F.lower("topic").alias("term")), nodes),
+                           "topics")
+    best = resolved.filter("rank = 1").select(F.col("term").alias("topic"), "label")
+    asked = nodes.select("region", "label").join(best.select("label").distinct(), "label",
+                                                 "left_semi")
+    known = best.join(knowledge(asked, paths, edges), "label").select(
+        "topic", "label", "kind", "text", "weight")
+    nothing = resolved.join(known.select(F.col("topic").alias("term")).distinct(), "term",
+                            "left_anti")
+    guesses = did_you_mean(None, nodes, paths, resolved=nothing).select(
+        F.col("term").alias("topic"), "label", F.lit("did_you_mean").alias("kind"),
+        F.col("description").alias("text"), F.lit(None).cast("double").alias("weight"))
+    return known.unionByName(guesses)

@@ -2,12 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import measures
+from ..functions import measures, statements
+from ..functions.fixed import ECHO_LEVELS
 from ..operators import associations, coverage, evidence, lookup, similar, waves
 from ..sources import tables
 from .catalog import query
 from .graphs import graph
-from .sql import forward_wave, with_graph
+from .sql import both_wave, forward_wave, with_graph
 
 EDGE_SQL = """SELECT region, src, dst, relation, traversals, refutations, witnesses,
   round(initial_strength, 6) AS initial_strength, round(strength, 6) AS strength FROM edges"""
@@ -336,21 +337,55 @@ def region_seeds(spark, sf_dir):
         F.lower("r_name").alias("label"))
 
 
-@query("echo_regions")
+def _echo_sql(rounds, tag=""):
+    """CTEs conv{tag}(event_id, node, weight, sources): echo from the region names."""
+    out = f""",
+u1{tag} AS (SELECT lower(r_name) AS event_id, lower(r_name) AS seed FROM region
+            WHERE lower(r_name) IN (SELECT label FROM nodes))"""
+    used = f"SELECT * FROM u1{tag}"
+    hits = []
+    for i in range(1, rounds + 1):
+        out += f""",
+h{i}{tag} AS (SELECT u.event_id, u.seed, w.node, w.weight FROM u{i}{tag} u
+              JOIN wave{tag} w ON w.seed = u.seed),
+u{i + 1}{tag} AS (SELECT DISTINCT event_id, node AS seed FROM h{i}{tag}
+                  WHERE (event_id, node) NOT IN (SELECT (event_id, seed) FROM ({used})))"""
+        used += f" UNION ALL SELECT * FROM u{i + 1}{tag}"
+        hits.append(f"SELECT * FROM h{i}{tag}")
+    return out + f""",
+conv{tag} AS (SELECT event_id, node, sum(weight) AS weight, count(*) AS sources
+              FROM ({" UNION ALL ".join(hits)}) GROUP BY event_id, node)"""
+
+
+ALL_NODES = "SELECT region, label AS seed FROM nodes"
+BLEND_SQL = "".join(both_wave(ALL_NODES, s, f"_{i}") + _echo_sql(2, f"_{i}")
+                    for i, (s, _) in enumerate(ECHO_LEVELS)) + """,
+act AS (SELECT event_id, lower(node) AS node, round(sum(weight), 6) AS activation FROM (
+  """ + " UNION ALL ".join(f"SELECT event_id, node, weight * {m} AS weight FROM conv_{i}"
+                           for i, (_, m) in enumerate(ECHO_LEVELS)) + """)
+  WHERE length(node) >= 3 GROUP BY event_id, lower(node))"""
+
+
+@query("echo_regions", with_graph("geography", """
+SELECT event_id, node, round(weight, 6) AS weight, CAST(sources AS BIGINT) AS sources FROM conv""",
+    both_wave(ALL_NODES) + _echo_sql(3)))
 def echo_regions(spark, sf_dir):
     adj = waves.adjacency(graph(spark, sf_dir, "geography", "edges"), bidirectional=True)
     seeds = region_seeds(spark, sf_dir).withColumn("min_strength", F.lit(0.5))
     return waves.echo(seeds, adj).select("event_id", "node", _r("weight"), "sources")
 
 
-@query("multi_level_echo_regions")
+@query("multi_level_echo_regions", with_graph("geography", "SELECT * FROM act", BLEND_SQL))
 def multi_level_echo_regions(spark, sf_dir):
     return waves.multi_echo(region_seeds(spark, sf_dir),
                             graph(spark, sf_dir, "geography", "edges")).select(
         "event_id", "node", _r("activation"))
 
 
-@query("bidirectional_wave_suppliers")
+@query("bidirectional_wave_suppliers", with_graph("geography", """
+SELECT seed, node, CAST(hops AS BIGINT) AS hops, array_to_string(path, ' > ') AS path,
+       round(weight, 6) AS weight FROM wave""",
+    both_wave("SELECT 'geography' AS region, lower(s_name) AS seed FROM supplier")))
 def bidirectional_wave_suppliers(spark, sf_dir):
     edges = graph(spark, sf_dir, "geography", "edges")
     seeds = tables.table(spark, sf_dir, "supplier").select(
@@ -393,30 +428,36 @@ def reinforce_traversed(spark, sf_dir):
 # --- lookups -------------------------------------------------------------------
 
 @query("neighbors_out", with_graph("market", """
+SELECT src, dst, relation, round(strength, 6) AS strength FROM edges
+WHERE src IN (SELECT lower(c_mktsegment) FROM customer)"""))
+def neighbors_out(spark, sf_dir):
+    labels = tables.table(spark, sf_dir, "customer").select(
+        F.lit("market").alias("region"), F.lower("c_mktsegment").alias("label"))
+    return lookup.neighbors(labels, graph(spark, sf_dir, "market", "edges")).select(
+        "src", "dst", "relation", _r("strength"))
+
+
+@query("strongest_neighbors", with_graph("market", """
 SELECT src, dst, relation, round(strength, 6) AS strength, CAST(rk AS BIGINT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(strength, 9) DESC, src, dst,
                                relation) AS rk
-  FROM edges WHERE src IN (SELECT lower(c_mktsegment) FROM customer))"""))
-def neighbors_out(spark, sf_dir):
-    edges = graph(spark, sf_dir, "market", "edges").withColumn("strength", F.round("strength", 9))
+  FROM edges WHERE src IN (SELECT lower(c_mktsegment) FROM customer)) WHERE rk <= 20"""))
+def strongest_neighbors(spark, sf_dir):
     labels = tables.table(spark, sf_dir, "customer").select(
         F.lit("market").alias("region"), F.lower("c_mktsegment").alias("label"))
-    return lookup.neighbors(labels, edges).select(
+    return lookup.neighbors(labels, graph(spark, sf_dir, "market", "edges"), k=20).select(
         "src", "dst", "relation", _r("strength"), F.col("rank").cast("bigint"))
 
 
 @query("neighbors_in", with_graph("market", """
-SELECT src, dst, relation, round(strength, 6) AS strength, CAST(rk AS BIGINT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY dst ORDER BY round(strength, 9) DESC, src, dst,
-                               relation) AS rk
-  FROM edges WHERE dst IN (SELECT 'customer#' || c_custkey FROM customer))"""))
+SELECT src, dst, relation, round(strength, 6) AS strength FROM edges
+WHERE dst IN (SELECT 'customer#' || c_custkey FROM customer)"""))
 def neighbors_in(spark, sf_dir):
-    edges = graph(spark, sf_dir, "market", "edges").withColumn("strength", F.round("strength", 9))
     labels = tables.table(spark, sf_dir, "customer").select(
         F.lit("market").alias("region"),
         F.concat(F.lit("customer#"), F.col("c_custkey")).alias("label"))
-    return lookup.neighbors(labels, edges, "in").select(
-        "src", "dst", "relation", _r("strength"), F.col("rank").cast("bigint"))
+    return lookup.neighbors(labels, graph(spark, sf_dir, "market", "edges"), "in").select(
+        "src", "dst", "relation", _r("strength"))
 
 
 @query("find_edges", with_graph("market", """
@@ -615,3 +656,48 @@ FROM edges GROUP BY ALL"""))
 def health_report(spark, sf_dir):
     edges = measures.with_edge_measures(graph(spark, sf_dir, "parts", "edges"))
     return coverage.health_report(edges).drop("region")
+
+
+@query("summarize_types", _recursive("parts", """
+SELECT label, 'path' AS kind, origin || ' → ' || mid || ' → ' || terminus AS text,
+       round(weight, 6) AS value FROM weighed
+JOIN (SELECT DISTINCT lower(p_type) AS label FROM part) ON terminus = label WHERE weakest >= 0.5
+UNION ALL
+SELECT t.label, 'similar', b.seed, round(count(*) / (na.n + nb.n - count(*)), 6)
+FROM (SELECT DISTINCT lower(p_type) AS label FROM part) t
+JOIN reached a ON a.seed = t.label JOIN reached b ON a.node = b.node AND a.seed <> b.seed
+JOIN (SELECT seed, count(*) AS n FROM reached GROUP BY seed) na ON na.seed = a.seed
+JOIN (SELECT seed, count(*) AS n FROM reached GROUP BY seed) nb ON nb.seed = b.seed
+GROUP BY t.label, b.seed, na.n, nb.n""", REACH_SQL))
+def summarize_types(spark, sf_dir):
+    nodes, paths, edges = graph(spark, sf_dir, "parts", "nodes", "paths", "edges")
+    labels = tables.table(spark, sf_dir, "part").select(
+        F.lit("parts").alias("region"), F.lower("p_type").alias("label")).distinct()
+    return lookup.summarize(labels, paths, edges, similar.similarity(nodes, edges)).select(
+        "label", "kind", "text", _r("value"))
+
+
+@query("query_topics")
+def query_topics(spark, sf_dir):
+    """Nation and region names, half of them misspelt, looked up in the geography graph."""
+    nodes, paths, edges = graph(spark, sf_dir, "geography", "nodes", "paths", "edges")
+    nation = tables.table(spark, sf_dir, "nation").select(F.explode(F.array(
+        F.lower("n_name"), F.replace(F.lower("n_name"), F.lit("ti"), F.lit("it"))))
+        .alias("topic"))
+    return lookup.query_topics(nation, nodes, paths, edges).select(
+        "topic", "label", "kind", "text", _r("weight"))
+
+
+@query("render_paths", with_graph("market", """
+SELECT source_text || '.' AS own, CASE
+    WHEN mid LIKE '%_segment' THEN terminus || ' has segment ' || origin || '.'
+    ELSE terminus || ' has refuted ' || origin || '.' END AS templated,
+  CAST(count(*) AS BIGINT) AS times FROM paths GROUP BY ALL"""))
+def render_paths(spark, sf_dir):
+    paths = graph(spark, sf_dir, "market", "paths")
+    middle = F.col("steps")[0]["dst"]
+    def render(text):
+        return statements.render_path(F.col("origin"), middle, F.col("terminus"), text)
+    return paths.select(render(F.col("source_text")).alias("own"),
+                        render(F.lit(None).cast("string")).alias("templated")) \
+        .groupBy("own", "templated").agg(F.count("*").alias("times"))

@@ -8,6 +8,7 @@ from ..operators import (answers, coverage, evidence, grounding, lookup, matchin
                          quality, resolve, waves)
 from ..sources import tables
 from .catalog import query
+from .graph_queries import BLEND_SQL
 from .graphs import graph
 from .sql import forward_wave, with_graph
 from .sql_text import (SENTENCES, parse_ctes, quoted, sentences, strip, strip_punct,
@@ -542,13 +543,16 @@ def keyword_scores(spark, sf_dir):
         F.col("text_id").alias("p_partkey"), F.round("weight", 6).alias("weight"), "hits")
 
 
-@query("top_activation")
+@query("top_activation", with_graph("geography", """
+SELECT event_id, node, activation, CAST(rk AS BIGINT) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY activation DESC, node) AS rk
+  FROM act) WHERE rk <= 20""", BLEND_SQL))
 def top_activation(spark, sf_dir):
     from .graph_queries import region_seeds
     act = waves.multi_echo(region_seeds(spark, sf_dir), graph(spark, sf_dir, "geography", "edges"))
-    return answers.top_activation(act).select(
-        "event_id", "node", F.round("activation", 6).alias("activation"),
-        F.col("rank").cast("bigint"))
+    act = act.withColumn("activation", F.round("activation", 6))
+    return answers.top_activation(act).select("event_id", "node", "activation",
+                                              F.col("rank").cast("bigint"))
 
 
 @query("learning_curve", """

@@ -138,3 +138,36 @@ wave AS (SELECT region, seed, node, hops, path, ws / wn AS weight FROM w1
          UNION ALL SELECT region, seed, node, hops, path, ws / wn FROM w2
          UNION ALL SELECT region, seed, node, hops, path, ws / wn FROM w3)"""
     return out
+
+
+def both_wave(seed_sql: str, min_strength: float = 0.5, tag: str = "") -> str:
+    """CTEs ending in wave{tag}: the depth-3 wave that follows edges both ways."""
+    out = f""",
+adj{tag} AS (
+  SELECT region, node, nxt, CASE WHEN max(f) >= {min_strength} THEN 0 ELSE 1 END AS dir,
+         round(-CASE WHEN max(f) >= {min_strength} THEN max(f) ELSE max(b) END, 9) AS o,
+         max(f) AS f
+  FROM (SELECT region, src AS node, dst AS nxt, s AS f, CAST(NULL AS DOUBLE) AS b FROM pair
+        UNION ALL SELECT region, dst, src, NULL, s FROM pair)
+  GROUP BY region, node, nxt HAVING max(f) >= {min_strength} OR max(b) >= {min_strength}),
+w0{tag} AS (SELECT DISTINCT region, seed, seed AS node, CAST(1 AS BIGINT) AS rnk, [seed] AS path,
+                   0.0 AS ws, 0 AS wn FROM ({seed_sql}))"""
+    for hop in (1, 2, 3):
+        seen = " UNION ALL ".join(f"SELECT region, seed, node FROM w{i}{tag}" for i in range(hop))
+        out += f""",
+c{hop}{tag} AS (
+  SELECT w.region, w.seed, a.nxt AS node, w.rnk AS prank, a.dir, a.o,
+         list_append(w.path, a.nxt) AS path, w.ws + coalesce(a.f, 0) AS ws,
+         w.wn + CASE WHEN a.f IS NULL THEN 0 ELSE 1 END AS wn
+  FROM w{hop - 1}{tag} w JOIN adj{tag} a ON a.region = w.region AND a.node = w.node
+  WHERE NOT EXISTS (SELECT 1 FROM ({seen}) z
+                    WHERE z.region = w.region AND z.seed = w.seed AND z.node = a.nxt)),
+f{hop}{tag} AS (SELECT *, row_number() OVER (PARTITION BY region, seed, node
+                                             ORDER BY prank, dir, o) AS k FROM c{hop}{tag}),
+w{hop}{tag} AS (SELECT region, seed, node, row_number() OVER (
+                  PARTITION BY region, seed ORDER BY prank, dir, o, node) AS rnk, path, ws, wn
+                FROM f{hop}{tag} WHERE k = 1)"""
+    levels = " UNION ALL ".join(
+        f"SELECT region, seed, node, {h} AS hops, path, CASE WHEN wn > 0 THEN ws / wn ELSE 0 END "
+        f"AS weight FROM w{h}{tag}" for h in (1, 2, 3))
+    return out + f", wave{tag} AS ({levels})"
