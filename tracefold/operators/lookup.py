@@ -100,16 +100,18 @@ def prefix_hits(keywords: DataFrame, nodes: DataFrame, min_label: int = 3) -> Da
 
     Prefixes are exploded so both directions are equi joins.
     """
-    def prefixes(c, start):
-        return F.explode(F.transform(F.sequence(F.lit(start), F.greatest(F.length(c), F.lit(start))),
-                                     lambda i: F.substring(c, F.lit(1), i)))
+    def prefixes(df, column, other, wanted):
+        """Prefixes of ``column`` as long as some value of ``wanted``."""
+        lengths = wanted.select(F.length(other).alias("n")).distinct()
+        return (df.withColumn("n", F.explode(F.sequence(F.lit(1), F.length(column))))
+                .join(lengths, "n", "left_semi")
+                .withColumn(other, F.substring(F.col(column), F.lit(1), F.col("n"))).drop("n"))
     labels = nodes.select("region", "label").filter(F.length("label") >= min_label)
-    kw = keywords.select("query_id", "keyword").distinct()
-    label_starts = labels.select("region", "label", prefixes(F.col("label"), 1).alias("keyword"))
-    longer = kw.join(label_starts, "keyword").select("query_id", "region", "label")
-    shorter = (kw.filter(F.length("keyword") >= min_label)
-               .select("query_id", prefixes(F.col("keyword"), min_label).alias("label"))
-               .join(labels, "label").select("query_id", "region", "label"))
+    kw = keywords.select("query_id", "keyword").filter("keyword <> ''").distinct()
+    longer = kw.join(prefixes(labels, "label", "keyword", kw), "keyword").select(
+        "query_id", "region", "label")
+    shorter = prefixes(kw, "keyword", "label", labels).select("query_id", "label") \
+        .join(labels, "label").select("query_id", "region", "label")
     return longer.unionByName(shorter).distinct()
 
 
@@ -156,10 +158,12 @@ def query_association(asked: DataFrame, paths: DataFrame, properties: DataFrame)
     ``asked`` (region, subject, association); ``properties`` (association,
     property) as listed by :func:`association_properties`.
     """
-    return (asked.join(properties, "association")
-            .join(paths.select("region", F.col("terminus").alias("subject"),
-                               F.col("origin").alias("property")).distinct(),
-                  ["region", "subject", "property"], "left_semi")
+    # from the recorded paths outwards, so no subject meets a whole association
+    held = paths.select("region", F.col("terminus").alias("subject"),
+                        F.col("origin").alias("property")).distinct()
+    return (held.join(properties, "property")
+            .join(asked.select("region", "subject", "association").distinct(),
+                  ["region", "subject", "association"], "left_semi")
             .select("region", "subject", "association", "property").distinct())
 
 

@@ -90,7 +90,7 @@ def resolve(terms: DataFrame, nodes: DataFrame, max_results: int = 5) -> DataFra
     Ties are ordered by label; the strongest result has rank 1.
     """
     terms = materialize(terms.select("term").distinct(), "terms")
-    labels = nodes.select("label").distinct()
+    labels = nodes.select("label").filter("label <> ''").distinct()
     cols = ["term", "label", "distance", "method", "rank"]
 
     def tag(df, method, distance=F.lit(0)):
@@ -106,9 +106,11 @@ def resolve(terms: DataFrame, nodes: DataFrame, max_results: int = 5) -> DataFra
     inflect = materialize(tag(_ranked(inflect, ["pos"], 100), "inflect"), "tier-inflect")
     rest = rest.join(inflect.select("term").distinct(), "term", "left_anti")
 
-    starts = labels.select("label", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("label")),
-        lambda i: F.substring("label", F.lit(1), i))).alias("term"))
+    # only prefixes as long as some term are cut from the labels
+    lengths = rest.select(F.length("term").alias("n")).distinct()
+    starts = (labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("n"))
+              .join(lengths, "n", "left_semi")
+              .select("label", F.substring(F.col("label"), F.lit(1), F.col("n")).alias("term")))
     prefix = materialize(tag(_ranked(rest.join(starts, "term"), [F.length("label"), "label"],
                                      max_results), "prefix"), "tier-prefix")
     rest = materialize(rest.join(prefix.select("term").distinct(), "term", "left_anti"), "rest")

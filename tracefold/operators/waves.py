@@ -33,6 +33,11 @@ def adjacency(edges: DataFrame, bidirectional: bool = False) -> DataFrame:
             .agg(F.max("fwd").alias("fwd"), F.max("bwd").alias("bwd")))
 
 
+def stored_adjacency(edges: DataFrame, bidirectional: bool = False) -> DataFrame:
+    """Adjacency written once, so that the levels of a wave do not each fold the edges."""
+    return materialize(adjacency(edges, bidirectional), "adjacency")
+
+
 def propagate(seeds: DataFrame, adj: DataFrame, depth: int = 3) -> DataFrame:
     """Breadth-first wave of every seed over edges >= its min_strength.
 
@@ -95,7 +100,7 @@ def recognize(inputs: DataFrame, edges: DataFrame, depth: int = 3,
     signed_confidence); all reached nodes are kept unless ``min_seeds`` asks
     for intersections only.
     """
-    waves = propagate(_seeds(inputs, min_strength), adjacency(edges), depth)
+    waves = propagate(_seeds(inputs, min_strength), stored_adjacency(edges), depth)
     asked = inputs.select("region", "group_id", F.col("label").alias("seed")).distinct()
     return (asked.join(waves.select("region", "seed", "node", "weight"), ["region", "seed"])
             .groupBy("region", "group_id", "node")
@@ -112,7 +117,7 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataF
 def trace(labels: DataFrame, edges: DataFrame, depth: int = 3,
           min_strength: float = MIN_STRENGTH) -> DataFrame:
     """All outgoing paths of each label with their weights."""
-    return propagate(_seeds(labels, min_strength), adjacency(edges), depth) \
+    return propagate(_seeds(labels, min_strength), stored_adjacency(edges), depth) \
         .select("region", F.col("seed").alias("label"), "node", "hops", "path", "weight")
 
 
@@ -125,7 +130,7 @@ def converge(seeds: DataFrame, edges: DataFrame, depth: int = 3,
     """
     times = (seeds.groupBy("region", "event_id", F.col("label").alias("seed"))
              .agg(F.count("*").alias("times")))
-    waves = propagate(_seeds(seeds, min_strength), adjacency(edges), depth)
+    waves = propagate(_seeds(seeds, min_strength), stored_adjacency(edges), depth)
     return (times.join(waves.select("region", "seed", "node", "weight"), ["region", "seed"])
             .groupBy("region", "event_id", "node")
             .agg(F.sum(F.col("weight") * F.col("times")).alias("weight"),
@@ -198,7 +203,7 @@ def multi_echo(seeds: DataFrame, edges: DataFrame, levels=ECHO_LEVELS, max_round
         edges = edges.filter(F.col("region").isin(list(layers)))
         seeds = seeds.select("event_id", "label", F.explode(
             F.array(*[F.lit(r) for r in layers])).alias("region"))
-    adj = materialize(adjacency(edges, bidirectional=True), "adjacency")
+    adj = stored_adjacency(edges, bidirectional=True)
     each = echo(seeds.select("region", "event_id", "label", F.inline(level_rows)), adj,
                 max_rounds)
     level_weight = F.lit(0.0)
@@ -302,7 +307,7 @@ def tree(labels: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """Outgoing tree rows (region, root, depth, path, node, relation, strength)."""
     best = (edges.groupBy("region", "src", "dst")
             .agg(F.max(F.struct("strength", "relation")).alias("e")))
-    rows = propagate(_seeds(labels, -FAR), adjacency(edges), depth)
+    rows = propagate(_seeds(labels, -FAR), stored_adjacency(edges), depth)
     parent = F.element_at("path", F.size("path") - 1)
     return (rows.withColumn("src", parent)
             .join(best.withColumnRenamed("dst", "node"), ["region", "src", "node"])

@@ -42,3 +42,10 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Drop this application's scratch tables once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{shared_dir(spark)}/tracefold/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
