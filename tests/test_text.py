@@ -258,3 +258,13 @@ def test_synthesis_is_repeatable(spark):
     assert a == files.synthesize_statements(vocab.repartition(7)).orderBy("id").collect()
     share = sum(r.kind == "teach" for r in a) / len(a)
     assert 0.55 < share < 0.65
+
+
+def test_teach_texts_modes(spark):
+    from tracefold.operators import teaching
+    df = spark.createDataFrame([(1, "apples are not red"), (2, "it is round and fine"),
+                                (3, "when is it noon")], "seq long, text string")
+    plain = teaching.teach_texts(df, negation="ignore").collect()
+    assert {(r.subject, r.kind) for r in plain} == {("apple", "teach"), ("when", "teach")}
+    careful = teaching.teach_texts(df, "tentative").collect()
+    assert [(r.subject, r.kind, r.initial_strength) for r in careful] == [("apple", "refute", 0.4)]

@@ -1,6 +1,6 @@
 """Column expressions over edge counters and triage cases."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def strength(traversals: Column, refutations: Column) -> Column:
@@ -44,3 +44,9 @@ def urgency(severity: Column, self_rescue: Column, aware: Column, years: Column,
              * reach)
     return (F.when(severity == 0, 0.0)
             .when(~self_rescue & ~aware, severity * 1000.0).otherwise(score))
+
+
+def triage_rank(cases: DataFrame, group: list[str]) -> DataFrame:
+    """Rank scored cases (column urgency) by need within each group."""
+    return cases.withColumn("rank", F.rank().over(
+        W.partitionBy(*group).orderBy(F.desc("urgency"))))

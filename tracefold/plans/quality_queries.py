@@ -233,9 +233,26 @@ def qualified_variants(spark, sf_dir):
     return resolve.qualified_variants(terms, nodes).select("term", "variant")
 
 
-@query("check_ambiguity")
+@query("check_ambiguity", with_graph("parts", f"""
+SELECT statement_id, term, candidate, CAST(distance AS BIGINT) AS distance, false AS safety
+FROM asked JOIN (
+  SELECT term, v AS candidate, 0 AS distance FROM forms3 WHERE term IN (SELECT term FROM many)
+  UNION ALL
+  SELECT term, label, distance FROM resolved WHERE method IN ('contains', 'fuzzy')
+    AND distance <= 2) USING (term)""", f""",
+said AS (SELECT p_partkey AS statement_id,
+                replace(lower(p_name), 'l', 'k') || ' is ' || lower(p_type) AS text FROM part),
+{parse_ctes('SELECT * FROM said')},
+asked AS (SELECT DISTINCT statement_id, unnest([subject, obj]) AS term FROM parsed
+          WHERE length(subject) > 3 AND length(obj) > 3),
+forms3 AS (SELECT term, v FROM (SELECT term, unnest([term, term || ' people',
+             term || ' language']) AS v FROM (SELECT DISTINCT term FROM asked))
+           WHERE v IN (SELECT label FROM nodes)),
+many AS (SELECT term FROM forms3 GROUP BY term HAVING count(*) > 1),
+terms AS (SELECT DISTINCT term FROM asked WHERE term NOT IN (SELECT term FROM many))"""
+    + RESOLVE_SQL))
 def check_ambiguity(spark, sf_dir):
-    """Conversation statements held back because a term is close to a stored part label."""
+    """Statements held back because a term is close to a stored part label."""
     nodes, paths = graph(spark, sf_dir, "parts", "nodes", "paths")
     part = tables.table(spark, sf_dir, "part")
     said = part.select(F.col("p_partkey").alias("statement_id"), F.concat(

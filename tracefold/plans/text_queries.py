@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import (chunks, cleaning, contents, dates, fixed, measures, pollution, qualify,
                          statements, strings, turns)
 from ..functions.fixed import WORD, WS
-from ..operators import coverage, evidence
+from ..operators import coverage, evidence, teaching
 from ..sources import tables
 from .catalog import query
 from .graphs import graph
+from .sql import GRAPH
 from .sql_text import (NOT_WORD, SENTENCES, content_words, html_text, parse_ctes, quoted,
                        rejection, sentences, strip, strip_punct, with_documents, words)
 
@@ -566,22 +567,25 @@ def qualify_terms(spark, sf_dir):
 
 @query("triage", """
 WITH cases AS (
-  SELECT o_orderkey, (o_orderkey % 11)::DOUBLE AS severity, o_orderstatus <> 'F' AS self_rescue,
+  SELECT o_orderkey, o_custkey, (o_orderkey % 11)::DOUBLE AS severity, o_orderstatus <> 'F' AS self_rescue,
     o_orderstatus = 'O' AS aware, CAST(o_custkey % 60 AS INTEGER) AS years,
     (o_orderkey % 5) / 4.0 AS reach FROM orders),
-scored AS (SELECT o_orderkey, round(CASE WHEN severity = 0 THEN 0.0
+scored AS (SELECT o_orderkey, o_custkey, round(CASE WHEN severity = 0 THEN 0.0
   WHEN NOT self_rescue AND NOT aware THEN severity * 1000.0
   ELSE severity * CASE WHEN self_rescue THEN 1.0 ELSE 2.0 END * CASE WHEN aware THEN 1.0 ELSE 1.5 END
     * CASE WHEN years < 5 THEN 2.0 WHEN years < 18 THEN 1.5 ELSE 1.0 END * reach END::DOUBLE, 6)
   AS urgency FROM cases)
-SELECT o_orderkey, urgency FROM scored""")
+SELECT o_orderkey, urgency, CAST(rank() OVER (PARTITION BY o_custkey ORDER BY urgency DESC)
+  AS BIGINT) AS rank FROM scored""")
 def triage(spark, sf_dir):
-    """Orders read as cases: key digits give severity and reach, status gives agency."""
+    """Orders read as cases, ranked per customer: key digits give severity and reach."""
     o = _table(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.round(measures.urgency(
+    scored = o.select("o_orderkey", "o_custkey", F.round(measures.urgency(
         (F.col("o_orderkey") % 11).cast("double"), F.col("o_orderstatus") != "F",
         F.col("o_orderstatus") == "O", F.col("o_custkey") % 60,
         (F.col("o_orderkey") % 5) / F.lit(4.0)), 6).alias("urgency"))
+    return measures.triage_rank(scored, ["o_custkey"]).select(
+        "o_orderkey", "urgency", F.col("rank").cast("bigint"))
 
 
 @query("render_statements", f"""
@@ -594,3 +598,41 @@ def render_statements(spark, sf_dir):
     parsed = statements.parse_statements(tables.document_sentences(spark, sf_dir), "sentence")
     return parsed.select("doc_id", F.col("pos").cast("bigint"), statements.render_statement(
         F.col("subject"), F.col("relation"), F.col("obj")).alias("statement"))
+
+
+@query("teach_tentative_documents", f"""WITH {SENTENCES},
+{parse_ctes("SELECT * FROM sents WHERE (" + rejection("text") + ") = ''")},
+facts AS (SELECT 'documents' AS region, subject, relation, obj, ptype,
+  CASE WHEN negated THEN 'refute' ELSE 'teach' END AS kind, source AS source_label,
+  0.4::DOUBLE AS initial_strength, text AS source_text, doc_id * 100000 + pos AS seq
+  FROM parsed),{GRAPH}
+SELECT src, dst, relation, traversals, refutations, witnesses, round(strength, 6) AS strength
+FROM edges""")
+def teach_tentative_documents(spark, sf_dir):
+    sents = tables.document_sentences(spark, sf_dir).select(
+        F.col("sentence").alias("text"), F.col("source").alias("source_label"),
+        (F.col("doc_id") * 100_000 + F.col("pos")).alias("seq"))
+    rows = teaching.teach_texts(sents, "tentative", region=F.lit("documents"))
+    return evidence.fold_evidence(evidence.teach(rows)).select(
+        "src", "dst", "relation", "traversals", "refutations", "witnesses",
+        F.round("strength", 6).alias("strength"))
+
+
+@query("teach_turns", f"""WITH {TURNS_SQL},
+again AS (SELECT conv_id * 1000000 + turn * 1000 + i AS seq, negated AS denied, CASE
+    WHEN NOT negated THEN original
+    WHEN relation = 'is_a' OR starts_with(relation, 'has_') THEN subject || ' is ' || obj
+    WHEN relation = 'has' THEN subject || ' has ' || obj
+    ELSE subject || ' ' || relation || ' ' || obj END AS text FROM parsed),
+{parse_ctes("SELECT * FROM again", "2")},
+facts AS (SELECT 'turns' AS region, subject, relation, obj, ptype,
+  CASE WHEN denied THEN 'refute' ELSE 'teach' END AS kind, CAST(NULL AS VARCHAR) AS source_label,
+  CAST(NULL AS DOUBLE) AS initial_strength, text AS source_text, seq FROM parsed2),{GRAPH}
+SELECT src, dst, relation, traversals, refutations, round(strength, 6) AS strength FROM edges""")
+def teach_turns(spark, sf_dir):
+    conv = _table(spark, sf_dir, "conversations").withColumn(
+        "seq", F.col("conv_id") * 1_000_000 + F.col("turn") * 1000)
+    rows = teaching.teach_turns(conv, ["conv_id", "turn"], region=F.lit("turns"))
+    return evidence.fold_evidence(evidence.teach(rows)).select(
+        "src", "dst", "relation", "traversals", "refutations",
+        F.round("strength", 6).alias("strength"))
