@@ -8,7 +8,7 @@ from ..operators import associations, coverage, evidence, lookup, similar, waves
 from ..sources import tables
 from .catalog import query
 from .graphs import graph
-from .sql import both_wave, forward_wave, with_graph
+from .sql import RESOLVE_SQL, both_wave, forward_wave, with_graph
 
 EDGE_SQL = """SELECT region, src, dst, relation, traversals, refutations, witnesses,
   round(initial_strength, 6) AS initial_strength, round(strength, 6) AS strength FROM edges"""
@@ -337,11 +337,14 @@ def region_seeds(spark, sf_dir):
         F.lower("r_name").alias("label"))
 
 
-def _echo_sql(rounds, tag=""):
-    """CTEs conv{tag}(event_id, node, weight, sources): echo from the region names."""
+REGION_SEEDS = "SELECT lower(r_name) AS event_id, lower(r_name) AS seed FROM region"
+
+
+def echo_sql(rounds, tag="", seeds=REGION_SEEDS):
+    """CTEs conv{tag}(event_id, node, weight, sources): echo from (event_id, seed) rows."""
     out = f""",
-u1{tag} AS (SELECT lower(r_name) AS event_id, lower(r_name) AS seed FROM region
-            WHERE lower(r_name) IN (SELECT label FROM nodes))"""
+u1{tag} AS (SELECT DISTINCT event_id, seed FROM ({seeds})
+            WHERE seed IN (SELECT label FROM nodes))"""
     used = f"SELECT * FROM u1{tag}"
     hits = []
     for i in range(1, rounds + 1):
@@ -358,24 +361,29 @@ conv{tag} AS (SELECT event_id, node, sum(weight) AS weight, count(*) AS sources
 
 
 ALL_NODES = "SELECT region, label AS seed FROM nodes"
-BLEND_SQL = "".join(both_wave(ALL_NODES, s, f"_{i}") + _echo_sql(2, f"_{i}")
-                    for i, (s, _) in enumerate(ECHO_LEVELS)) + """,
-act AS (SELECT event_id, lower(node) AS node, round(sum(weight), 6) AS activation FROM (
-  """ + " UNION ALL ".join(f"SELECT event_id, node, weight * {m} AS weight FROM conv_{i}"
-                           for i, (_, m) in enumerate(ECHO_LEVELS)) + """)
-  WHERE length(node) >= 3 GROUP BY event_id, lower(node))"""
+
+
+def blend_sql(seeds=REGION_SEEDS):
+    """CTE act(event_id, node, activation): echoes of all levels, weighted and summed."""
+    waves_sql = "".join(both_wave(ALL_NODES, s, f"_{i}") + echo_sql(2, f"_{i}", seeds)
+                        for i, (s, _) in enumerate(ECHO_LEVELS))
+    parts = " UNION ALL ".join(f"SELECT event_id, node, weight * {m} AS weight FROM conv_{i}"
+                               for i, (_, m) in enumerate(ECHO_LEVELS))
+    return waves_sql + f""",
+act AS (SELECT event_id, lower(node) AS node, round(sum(weight), 6) AS activation
+        FROM ({parts}) WHERE length(node) >= 3 GROUP BY event_id, lower(node))"""
 
 
 @query("echo_regions", with_graph("geography", """
 SELECT event_id, node, round(weight, 6) AS weight, CAST(sources AS BIGINT) AS sources FROM conv""",
-    both_wave(ALL_NODES) + _echo_sql(3)))
+    both_wave(ALL_NODES) + echo_sql(3)))
 def echo_regions(spark, sf_dir):
     adj = waves.adjacency(graph(spark, sf_dir, "geography", "edges"), bidirectional=True)
     seeds = region_seeds(spark, sf_dir).withColumn("min_strength", F.lit(0.5))
     return waves.echo(seeds, adj).select("event_id", "node", _r("weight"), "sources")
 
 
-@query("multi_level_echo_regions", with_graph("geography", "SELECT * FROM act", BLEND_SQL))
+@query("multi_level_echo_regions", with_graph("geography", "SELECT * FROM act", blend_sql()))
 def multi_level_echo_regions(spark, sf_dir):
     return waves.multi_echo(region_seeds(spark, sf_dir),
                             graph(spark, sf_dir, "geography", "edges")).select(
@@ -677,7 +685,22 @@ def summarize_types(spark, sf_dir):
         "label", "kind", "text", _r("value"))
 
 
-@query("query_topics")
+@query("query_topics", with_graph("geography", f"""
+SELECT topic, label, kind, text, round(weight, 6) AS weight FROM known
+UNION ALL
+SELECT r.term, r.label, 'did_you_mean', coalesce(d.text, ''), NULL FROM resolved r
+LEFT JOIN (SELECT terminus, arg_min(source_text, seq) AS text FROM paths GROUP BY terminus) d
+  ON d.terminus = r.label
+WHERE r.method IN ('contains', 'fuzzy') AND r.term NOT IN (SELECT topic FROM known)""", """,
+terms AS (SELECT DISTINCT unnest([lower(n_name), replace(lower(n_name), 'ti', 'it')]) AS term
+          FROM nation)""" + RESOLVE_SQL + """,
+best AS (SELECT term AS topic, label FROM resolved WHERE rank = 1)"""
+    + forward_wave("SELECT DISTINCT 'geography' AS region, label AS seed FROM best") + """,
+known AS (SELECT topic, label, kind, text, weight FROM best JOIN (
+  SELECT terminus AS label, 'why' AS kind, origin || ' → ' || mid || ' → ' || terminus AS text,
+         weight FROM weighed WHERE weakest >= 0.5
+  UNION ALL SELECT seed, 'trace', array_to_string(path, ' → '), weight FROM wave) USING (label))
+"""))
 def query_topics(spark, sf_dir):
     """Nation and region names, half of them misspelt, looked up in the geography graph."""
     nodes, paths, edges = graph(spark, sf_dir, "geography", "nodes", "paths", "edges")

@@ -8,10 +8,10 @@ from ..operators import (answers, coverage, evidence, grounding, lookup, matchin
                          quality, resolve, waves)
 from ..sources import tables
 from .catalog import query
-from .graph_queries import BLEND_SQL
+from .graph_queries import blend_sql
 from .graphs import graph
-from .sql import forward_wave, with_graph
-from .sql_text import (SENTENCES, parse_ctes, quoted, sentences, strip, strip_punct,
+from .sql import RESOLVE_SQL, forward_wave, with_graph
+from .sql_text import (SENTENCES, content_words, parse_ctes, quoted, sentences, strip, strip_punct,
                        with_documents, words)
 from .text_queries import AS_OF
 
@@ -141,51 +141,6 @@ terms AS (SELECT DISTINCT unnest([lower(p_name), lower(p_name) || 's',
     replace(lower(p_brand), 'd#', 't#')]) AS term FROM part)"""
 
 
-def _inflect_sql(x):
-    """(pos, variant) pairs of the inflections of x, in lookup order."""
-    return f"""[
-  {{'p': 0, 'v': {x} || 's'}}, {{'p': 1, 'v': {x} || 'es'}}, {{'p': 2, 'v': {x} || 'ian'}},
-  {{'p': 3, 'v': {x} || 'ians'}}, {{'p': 4, 'v': {x} || 'an'}},
-  {{'p': 5, 'v': CASE WHEN {x} LIKE '%ians' THEN left({x}, -4) WHEN {x} LIKE '%ian' THEN left({x}, -3)
-     WHEN {x} LIKE '%ans' THEN left({x}, -3) WHEN {x} LIKE '%an' THEN left({x}, -2) END}},
-  {{'p': 6, 'v': CASE WHEN {x} LIKE '%ians' THEN left({x}, -1) WHEN {x} LIKE '%ian' THEN {x} || 's'
-     WHEN {x} LIKE '%ans' THEN left({x}, -1) END}},
-  {{'p': 7, 'v': CASE WHEN {x} LIKE '%ies' THEN left({x}, -3) || 'y' WHEN {x} LIKE '%es'
-     THEN left({x}, -2) WHEN {x} LIKE '%s' AND {x} NOT LIKE '%ss' THEN left({x}, -1) END}}]"""
-
-
-RESOLVE_SQL = f""",
-lab AS (SELECT DISTINCT label FROM nodes),
-r1 AS (SELECT term, term AS label, 0 AS distance, 'exact' AS method, 1 AS rank FROM terms
-       WHERE term IN (SELECT label FROM lab)),
-left1 AS (SELECT term FROM terms WHERE term NOT IN (SELECT term FROM r1)),
-r2 AS (SELECT term, v.v AS label, 0 AS distance, 'inflect' AS method,
-              row_number() OVER (PARTITION BY term ORDER BY min(v.p)) AS rank
-       FROM (SELECT term, unnest({_inflect_sql('term')}) AS v FROM left1)
-       WHERE v.v IN (SELECT label FROM lab) GROUP BY term, v.v),
-left2 AS (SELECT term FROM left1 WHERE term NOT IN (SELECT term FROM r2)),
-r3 AS (SELECT term, label, 0 AS distance, 'prefix' AS method,
-              row_number() OVER (PARTITION BY term ORDER BY length(label), label) AS rank
-       FROM left2 JOIN lab ON starts_with(label, term)),
-left3 AS (SELECT term FROM left2 WHERE term NOT IN (SELECT term FROM r3)),
-r4 AS (SELECT term, label, 0 AS distance, 'contains' AS method,
-              row_number() OVER (PARTITION BY term ORDER BY length(label), label) AS rank
-       FROM left3 JOIN lab ON contains(label, term)),
-left4 AS (SELECT term, greatest(2, length(term) // 3) AS k FROM left3
-          WHERE term NOT IN (SELECT term FROM r4)),
-forms AS (SELECT label, -1 AS p, label AS v FROM lab UNION ALL
-          SELECT label, f.p, f.v FROM (SELECT label, unnest({_inflect_sql('label')}) AS f FROM lab)
-          WHERE f.v IS NOT NULL),
-near AS (SELECT term, label, p, levenshtein(term, v) AS d, k FROM left4 JOIN forms
-         ON abs(length(term) - length(v)) <= k),
-r5 AS (SELECT term, label, d AS distance, 'fuzzy' AS method, row_number() OVER (
-         PARTITION BY term ORDER BY d, abs(length(term) - length(label)), label) AS rank
-       FROM (SELECT term, label, arg_min(d, p) AS d FROM near WHERE d <= k GROUP BY term, label)),
-resolved AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2
-  UNION ALL SELECT * FROM r3 WHERE rank <= 5 UNION ALL SELECT * FROM r4 WHERE rank <= 5
-  UNION ALL SELECT * FROM r5 WHERE rank <= 5)"""
-
-
 @query("resolve_terms", with_graph("parts", """
 SELECT term, label, CAST(distance AS BIGINT) AS distance, method, CAST(rank AS BIGINT) AS rank
 FROM resolved""", TERMS_SQL + RESOLVE_SQL))
@@ -523,7 +478,27 @@ def score_report(spark, sf_dir):
     return out
 
 
-@query("answer_by_echo")
+ECHO_CHOICES = """(SELECT CAST(r_regionkey AS BIGINT) AS question_id, c.i AS idx, c.t AS choice,
+    'which suppliers belong to ' || lower(r_name) AS question,
+    r_regionkey * 10 + c.i AS event_id
+  FROM (SELECT *, unnest([{'i': 0, 't': lower(r_name)}, {'i': 1, 't': 'africa'},
+    {'i': 2, 't': 'asia'}, {'i': 3, 't': 'middle east'}]) AS c FROM region))"""
+ECHO_SEEDS = f"""SELECT event_id, unnest(list_concat({content_words('question', True)},
+  {content_words('choice', True)})) AS seed FROM {ECHO_CHOICES}"""
+
+
+@query("answer_by_echo", with_graph("geography", f"""
+SELECT question_id, CAST(CASE WHEN weight <> 0 THEN idx END AS BIGINT) AS picked,
+       round(weight * 10, 5) AS weight, CAST(hits AS BIGINT) AS hits
+FROM (SELECT *, row_number() OVER (PARTITION BY question_id
+                                   ORDER BY weight DESC, hits DESC, idx) AS k FROM (
+  SELECT question_id, idx, round(coalesce(sum(activation * (a + b)), 0), 5) AS weight,
+         count(CASE WHEN a + b > 0 THEN node END) AS hits
+  FROM (SELECT c.question_id, c.idx, x.node, x.activation,
+          CASE WHEN regexp_matches(choice, '\\b' || node || '\\b') THEN 1 ELSE 0 END AS a,
+          CASE WHEN regexp_matches(question, '\\b' || node || '\\b') THEN 1 ELSE 0 END AS b
+        FROM {ECHO_CHOICES} c LEFT JOIN act x ON x.event_id = c.event_id)
+  GROUP BY question_id, idx)) WHERE k = 1""", blend_sql(ECHO_SEEDS)))
 def answer_by_echo(spark, sf_dir):
     region = tables.table(spark, sf_dir, "region")
     questions = region.select(
@@ -534,7 +509,7 @@ def answer_by_echo(spark, sf_dir):
     return answers.answer_by_echo(questions, graph(spark, sf_dir, "geography", "edges"),
                                   {"geography": 10.0}).select(
         F.col("question_id").cast("bigint"), F.col("picked").cast("bigint"),
-        F.round("weight", 6).alias("weight"), F.col("hits").cast("bigint"))
+        F.round("weight", 5).alias("weight"), F.col("hits").cast("bigint"))
 
 
 @query("keyword_scores", with_graph("parts", f"""
@@ -563,7 +538,7 @@ def keyword_scores(spark, sf_dir):
 @query("top_activation", with_graph("geography", """
 SELECT event_id, node, activation, CAST(rk AS BIGINT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY activation DESC, node) AS rk
-  FROM act) WHERE rk <= 20""", BLEND_SQL))
+  FROM act) WHERE rk <= 20""", blend_sql()))
 def top_activation(spark, sf_dir):
     from .graph_queries import region_seeds
     act = waves.multi_echo(region_seeds(spark, sf_dir), graph(spark, sf_dir, "geography", "edges"))

@@ -70,10 +70,14 @@ def activity(events: DataFrame, width: str = "10 minutes", slide: str = None,
 
 
 def working_memory(hits: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Convergence per conversation session from (conversation, ts, node, seed, weight)."""
+    """Convergence per conversation session from (conversation, ts, node, seed, weight).
+
+    A stream keeps the seeds of its open sessions as state; a batch counts them
+    with a distributed distinct.
+    """
+    sources = F.size(F.collect_set("seed")) if hits.isStreaming else F.count_distinct("seed")
     return (hits.withWatermark("ts", delay)
             .groupBy(F.session_window("ts", gap), "conversation", "node")
-            .agg(F.sum("weight").alias("weight"),
-                 F.size(F.collect_set("seed")).alias("sources"))
+            .agg(F.sum("weight").alias("weight"), sources.cast("bigint").alias("sources"))
             .select("conversation", F.col("session_window.start").alias("session_start"),
                     "node", "weight", "sources"))
