@@ -5,4 +5,4 @@ from tests.session import make_session
 
 @pytest.fixture(scope="session")
 def spark():
-    return make_session(4)
+    return make_session(8)

@@ -49,6 +49,12 @@ def _windows(s: Column, n: Column, k: Column) -> Column:
     return F.array_distinct(F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), k), at))))
 
 
+def _letters(column: str) -> Column:
+    """Bit set of the characters of a string: one edit changes at most two bits."""
+    return F.expr(f"aggregate(split({column}, ''), 0L, "
+                  "(a, ch) -> a | shiftleft(1L, pmod(ascii(ch), 61)))")
+
+
 def close_strings(terms: DataFrame, strings: DataFrame, bound=edit_bound) -> DataFrame:
     """(term, string, distance) within the edit bound of the term.
 
@@ -56,22 +62,25 @@ def close_strings(terms: DataFrame, strings: DataFrame, bound=edit_bound) -> Dat
     stands unchanged in the second, with no more than i edits before piece i and
     k - i after it, which fixes where it may stand.  Pieces are the join key;
     lengths outside the bound never meet.  Terms too short to be cut are matched
-    on their length alone.  Distances are tested before pairs are made unique, so
+    on their length alone.  Letter sets rule most candidates out; distances are tested before pairs are made unique, so
     only true matches are shuffled again.
     """
     t = terms.select("term").distinct().withColumns(
-        {"n": F.length("term"), "k": bound(F.col("term"))})
+        {"n": F.length("term"), "k": bound(F.col("term")), "tl": _letters("term")})
     lengths = t.select("n", "k").distinct()
-    s = strings.select("string").distinct().withColumn("m", F.length("string"))
+    s = strings.select("string").distinct().withColumns(
+        {"m": F.length("string"), "sl": _letters("string")})
     bands = lengths.select("n", "k", F.explode(
         F.sequence(F.greatest(F.lit(0), F.col("n") - F.col("k")), F.col("n") + F.col("k")))
         .alias("m"))
     cut = F.col("n") > F.col("k")
-    keyed_t = t.filter(cut).select("term", "n", "k", F.inline(_pieces(F.col("term"), F.col("k"))))
+    keyed_t = t.filter(cut).select("term", "n", "k", "tl",
+                                   F.inline(_pieces(F.col("term"), F.col("k"))))
     keyed_s = (s.join(bands.filter(cut), "m")
-               .select("string", "n", F.inline(_windows(F.col("string"), F.col("n"),
-                                                        F.col("k")))))
-    pairs = keyed_t.join(keyed_s, ["n", "i", "piece"]).select("term", "string", "k")
+               .select("string", "n", "sl", F.inline(_windows(
+                   F.col("string"), F.col("n"), F.col("k")))))
+    alike = F.bit_count(F.col("tl").bitwiseXOR(F.col("sl"))) <= 2 * F.col("k")
+    pairs = keyed_t.join(keyed_s, ["n", "i", "piece"]).filter(alike).select("term", "string", "k")
     short = (t.filter(~cut).join(bands.filter(~cut), ["n", "k"]).join(s, "m")
              .select("term", "string", "k"))
     d = F.expr("levenshtein(term, string, k)")
