@@ -2,10 +2,41 @@
 
 from pyspark.sql import functions as F
 
+from .chat import conversation_digests, format_turns
 from .minhash import near_duplicates
+from .mixing import MIX_SQL, mix_sources
 from .registry import ORACLES, QUERIES, query, read  # noqa: F401
+from .sharding import assign_shards
+from .sql import CHAT_SQL, NEAR_SQL
 
+SHARDS = 8
 
-@query("op1_near_duplicates")
+
+@query("op1_near_duplicates", NEAR_SQL.format(docs="documents", width=3, percent=85))
 def op1_near_duplicates(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+@query("op2_mix_sources", MIX_SQL.format(docs="documents", columns="doc_id, source, rate, copies, copy"))
+def op2_mix_sources(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return mix_sources(docs).select("doc_id", "source", "rate", "copies", "copy")
+
+
+@query("op3_format_chats", CHAT_SQL)
+def op3_format_chats(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    conflict = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(conflict).alias("text"))
+    return conversation_digests(format_turns(turns.unionByName(planted)))
+
+
+@query("op10_shards")
+def op10_shards(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return assign_shards(docs, SHARDS).select(
+        "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
