@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .chat import conversation_digests, format_turns
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sources
+from .quality import fit_grades, grade_documents, ratings_from_labels
 from .registry import ORACLES, QUERIES, query, read  # noqa: F401
 from .sharding import assign_shards
 from .sql import CHAT_SQL, NEAR_SQL
@@ -40,3 +41,10 @@ def op10_shards(spark, sf_dir):
     return assign_shards(docs, SHARDS).select(
         "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
         F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_quality_grades")
+def op8_quality_grades(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_grades(docs, ratings_from_labels(read(spark, sf_dir, "labels")))
+    return grade_documents(docs, model)
