@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_turns
+from .decontaminate import find_leaks
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sources
 from .quality import fit_grades, grade_documents, ratings_from_labels
@@ -48,3 +49,8 @@ def op8_quality_grades(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_grades(docs, ratings_from_labels(read(spark, sf_dir, "labels")))
     return grade_documents(docs, model)
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark, sf_dir):
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
