@@ -229,10 +229,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     docs: doc_id long, text string; further columns are ignored.  Returns one
     row per row of docs: doc_id, n_shingles, component_id (smallest doc_id
-    reachable over links), kept (doc_id = component_id).  Null, empty and
+    reachable over links), kept (doc_id = component_id; true without a doc_id).  Null, empty and
     blank texts have no shingles and no links.  A text shorter than ``width``
-    words is one shingle.  Rows without doc_id have no component and are not
-    kept.  doc_id is a key: rows that repeat it must repeat the text, and each
+    words is one shingle.  Rows without doc_id have no component and no
+    links.  doc_id is a key: rows that repeat it must repeat the text, and each
     gets the same answer.  No rows give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -283,4 +283,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             .select("doc_id", "n_shingles",
                     F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")),
                                F.col("doc_id")).alias("component_id"))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))))
+            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+
+
+def keep_one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs, all columns, whose doc_id is its component; of rows repeating a doc_id, one.
+
+    Rows without doc_id all stay.
+    """
+    gone = near_duplicates(docs, width, percent).filter("NOT kept").select("doc_id").distinct()
+    named = (docs.filter("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+             .dropDuplicates(["doc_id"]))
+    return named.unionByName(docs.filter("doc_id IS NULL"))
