@@ -29,6 +29,9 @@ LEAST_TEXTS = 10        # rated texts that must hold a feature
 RIDGE = 1e-6
 NEWTON_STEPS = 60
 CACHE_TOKENS = 400_000
+# Grades weigh alike in the fit; where good texts are several times as many as the
+# others, an even chance lies at a smaller tail.
+LEAST_TAIL = 0.3
 _CORE = re.compile(r"\w+")
 REPEATED = 0            # bucket of the share of tokens that repeat the one before
 
@@ -249,7 +252,7 @@ def _grader(weights: dict, cuts: list):
     return grades
 
 
-def grade_documents(docs: DataFrame, model: tuple[dict, list], least: float = 0.5) -> DataFrame:
+def grade_documents(docs: DataFrame, model: tuple[dict, list], least: float = LEAST_TAIL) -> DataFrame:
     """doc_id, expected_grade, best_tail = P(best grade), selected (best_tail >= least), per row.
 
     docs: doc_id, text; further columns are ignored.  Null, empty and blank
@@ -267,7 +270,7 @@ def grade_documents(docs: DataFrame, model: tuple[dict, list], least: float = 0.
         run, "doc_id long, expected_grade double, best_tail double, selected boolean")
 
 
-def select_documents(docs: DataFrame, model: tuple[dict, list], least: float = 0.5) -> DataFrame:
+def select_documents(docs: DataFrame, model: tuple[dict, list], least: float = LEAST_TAIL) -> DataFrame:
     """Rows of docs, all columns, that grade_documents selects; one pass, no shuffle."""
     def run(batches):
         grader = _grader(*model)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_turns
 from .decontaminate import find_leaks
+from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sources
 from .quality import fit_grades, grade_documents, ratings_from_labels
@@ -54,3 +55,8 @@ def op8_quality_grades(spark, sf_dir):
 @query("op7_decontaminate")
 def op7_decontaminate(spark, sf_dir):
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op9_license_scan")
+def op9_license_scan(spark, sf_dir):
+    return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
