@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from .chat import conversation_digests, format_turns
 from .decontaminate import find_leaks
 from .licenses import scan_licenses
+from .linededup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sources
 from .quality import fit_grades, grade_documents, ratings_from_labels
@@ -60,3 +61,8 @@ def op7_decontaminate(spark, sf_dir):
 @query("op9_license_scan")
 def op9_license_scan(spark, sf_dir):
     return scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_dedup_lines")
+def op4_dedup_lines(spark, sf_dir):
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
