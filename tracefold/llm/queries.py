@@ -11,6 +11,7 @@ from .mixing import MIX_SQL, mix_sources
 from .quality import fit_grades, grade_documents, ratings_from_labels
 from .registry import ORACLES, QUERIES, query, read  # noqa: F401
 from .sharding import assign_shards
+from .voronoi import TOP_SQL, top_products
 from .sql import CHAT_SQL, NEAR_SQL
 
 SHARDS = 8
@@ -66,3 +67,8 @@ def op9_license_scan(spark, sf_dir):
 @query("op4_dedup_lines")
 def op4_dedup_lines(spark, sf_dir):
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_top_products", TOP_SQL)
+def op5_top_products(spark, sf_dir):
+    return top_products(read(spark, sf_dir, "embeddings"))
