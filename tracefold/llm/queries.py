@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_turns
 from .decontaminate import find_leaks
+from .htmltext import PAGES_SQL, extract_text
 from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .minhash import near_duplicates
@@ -72,3 +73,8 @@ def op4_dedup_lines(spark, sf_dir):
 @query("op5_top_products", TOP_SQL)
 def op5_top_products(spark, sf_dir):
     return top_products(read(spark, sf_dir, "embeddings"))
+
+
+@query("op6_extract_text", PAGES_SQL)
+def op6_extract_text(spark, sf_dir):
+    return extract_text(read(spark, sf_dir, "pages"))
