@@ -73,6 +73,11 @@ TEMPLATES = {
         "copyright 2020 all rights reserved",
         "no part of this publication may be reproduced without permission of the publisher"],
 }
+# Ordinary sentences, so that the class unknown is never empty.
+PLAIN = ["the weather was fine that day", "she walked to the market in the morning", "a general rule of the public garden",
+         "he took a copy of the work home", "the rights of the reader are many", "software is hard to write",
+         "the school gave him a licence to drive", "see the table on the next page", "4.0 metres of rope",
+         "under the bridge we saw a boat", "version two of the story", "this is the end of the chapter"]
 CONTEXTS = ["{}", "{} .", "text {}", "{} see the file for details", "this document is {}", "c 2021 {}",
             "{} by the authors", "note : {}"]
 
@@ -114,7 +119,7 @@ def coverage(held: Column):
 def _training(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     known = spark.createDataFrame(
-        [(family, c.format(t)) for family, ts in TEMPLATES.items() for t in ts for c in CONTEXTS],
+        [(family, c.format(t)) for family, ts in [*TEMPLATES.items(), (UNKNOWN, PLAIN)] for t in ts for c in CONTEXTS],
         "family string, paragraph string")
     plain = (paragraphs(docs).select(F.xxhash64("paragraph").alias("h"), "paragraph")
              .orderBy("h", "paragraph").limit(NEGATIVES).select("paragraph"))

@@ -41,7 +41,7 @@ def quantize(vectors: DataFrame) -> DataFrame:
 
 def _matrix(column, dim):
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
 
 def _by_dimension(column):
