@@ -39,6 +39,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench")
              .config("spark.sql.shuffle.partitions", cpus)
              .config("spark.sql.adaptive.enabled", "true")
+             .config("tracefold.spread", cpus)      # the bench tables are single files
              .config("spark.driver.memory", "16g")
              .config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.enabled", "false")

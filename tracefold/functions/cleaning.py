@@ -62,19 +62,28 @@ def _first_per_text(lines: DataFrame, key: list[str], folded: Column) -> DataFra
 
 
 def clean_statement_lines(df: DataFrame, key: list[str], text: str = "text",
-                          rejects=tuple(fixed.STATEMENT_REJECTS)) -> DataFrame:
-    """(key, pos, line): bulleted output lines cleaned and deduplicated per text."""
+                          rejects=tuple(fixed.STATEMENT_REJECTS), max_chars: int = None) -> DataFrame:
+    """(key, pos, line): bulleted output lines cleaned and deduplicated per text.
+
+    Lines longer than ``max_chars`` are left out; None keeps all.
+    """
     lines = df.select(*key, F.posexplode(F.split(text, LINE_END)).alias("pos", "line"))
     lines = lines.withColumn("line", strip(lstrip_chars(strip(F.col("line")),
                                                         fixed.BULLET_CHARS)))
     low = F.lower("line")
     lines = lines.filter((F.col("line") != "") & (F.upper("line") != "NONE")
-                         & (F.length("line") <= 200) & ~any_contains(low, rejects))
+                         & ~any_contains(low, rejects))
+    if max_chars is not None:
+        lines = lines.filter(F.length("line") <= max_chars)
     return _first_per_text(lines, key, low)
 
 
-def clean_labels(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, pos, label): short lower-case labels from free lines, deduplicated per text."""
+def clean_labels(df: DataFrame, key: list[str], text: str = "text",
+                 max_chars: int = None) -> DataFrame:
+    """(key, pos, label): lower-case labels from free lines, deduplicated per text.
+
+    Labels longer than ``max_chars`` are left out; None keeps all.
+    """
     lines = df.select(*key, F.posexplode(F.split(text, LINE_END)).alias("lno", "line"))
     line = lstrip_chars(strip(F.col("line")), fixed.BULLET_CHARS)
     after = F.when(F.contains(line, F.lit(":")), F.regexp_replace(line, "^[^:]*:", "")) \
@@ -84,9 +93,11 @@ def clean_labels(df: DataFrame, key: list[str], text: str = "text") -> DataFrame
     label = F.regexp_replace(strip(F.col("label")), "^[\"'`]+|[\"'`]+$", "")
     label = strip(F.regexp_replace(label, r"[^a-z0-9_ -]", ""))
     parts = (parts.withColumn("label", label)
-             .withColumn("pos", F.col("lno").cast("bigint") * 100000 + F.col("pno"))
-             .filter(F.col("label").rlike("^[a-z0-9][a-z0-9_ -]*$") & (F.length("label") <= 40)
+             .withColumn("pos", F.struct("lno", "pno"))
+             .filter(F.col("label").rlike("^[a-z0-9][a-z0-9_ -]*$")
                      & ~any_contains(F.col("label"), fixed.LABEL_REJECTS)))
+    if max_chars is not None:
+        parts = parts.filter(F.length("label") <= max_chars)
     return _first_per_text(parts.select(*key, "pos", "label"), key, F.col("label"))
 
 
@@ -101,11 +112,12 @@ def plain_sentences(text: Column) -> Column:
 
 
 def extract_statements(df: DataFrame, key: list[str], text: str = "text",
-                       per_text: int = 10) -> DataFrame:
+                       per_text: int = None, max_chars: int = None) -> DataFrame:
     """(key, pos, statement): 'subject verb object' claims found in prose.
 
     Hedged verbs are rewritten first; the subject keeps its last four words, the
-    object ends at the first comma or conjunction.
+    object ends at the first comma or conjunction.  ``per_text`` keeps the first
+    statements of a text, ``max_chars`` those shorter than it; None keeps all.
     """
     sents = df.select(*key, F.posexplode(split_sentences(F.col(text))).alias("pos", "s"))
     s = F.regexp_replace(strip(F.col("s")), r"\.+$", "")
@@ -135,8 +147,10 @@ def extract_statements(df: DataFrame, key: list[str], text: str = "text",
     clean = _without_markup(F.col("statement"))
     clean = F.regexp_replace(clean, rf"^{WS}*[-*]{WS}+", "")
     clean = strip(F.regexp_replace(clean, rf"^{WS}*[0-9]+[.)]{WS}+", ""))
-    found = found.withColumn("statement", clean).filter(
-        (F.length("statement") > 10) & (F.length("statement") < 120))
+    found = found.withColumn("statement", clean).filter(F.length("statement") > 10)
+    if max_chars is not None:
+        found = found.filter(F.length("statement") < max_chars)
     once = _first_per_text(found.select(*key, "pos", "statement"), key, F.col("statement"))
     nth = F.row_number().over(W.partitionBy(*key).orderBy("pos"))
-    return once.withColumn("nth", nth).filter(F.col("nth") <= per_text)
+    once = once.withColumn("nth", nth)
+    return once if per_text is None else once.filter(F.col("nth") <= per_text)

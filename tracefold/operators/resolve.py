@@ -88,15 +88,16 @@ def close_strings(terms: DataFrame, strings: DataFrame, bound=edit_bound) -> Dat
             .filter(F.col("distance") >= 0).select("term", "string", "distance").distinct())
 
 
-def _ranked(df: DataFrame, order: list, max_results: int) -> DataFrame:
-    return (df.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(*order)))
-            .filter(F.col("rank") <= max_results))
+def _ranked(df: DataFrame, order: list, max_results: int = None) -> DataFrame:
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(*order)))
+    return ranked if max_results is None else ranked.filter(F.col("rank") <= max_results)
 
 
-def resolve(terms: DataFrame, nodes: DataFrame, max_results: int = 5) -> DataFrame:
+def resolve(terms: DataFrame, nodes: DataFrame, max_results: int = None) -> DataFrame:
     """(term, label, distance, method, rank) of the first tier that matches.
 
-    Ties are ordered by label; the strongest result has rank 1.
+    Ties are ordered by label; the strongest result has rank 1.  ``max_results``
+    keeps the best labels of a term, None all that the tier finds.
     """
     terms = materialize(terms.select("term").distinct(), "terms")
     labels = nodes.select("label").filter("label <> ''").distinct()
@@ -112,7 +113,7 @@ def resolve(terms: DataFrame, nodes: DataFrame, max_results: int = 5) -> DataFra
     variants = rest.select("term", F.posexplode(inflections(F.col("term"))).alias("pos", "label"))
     inflect = variants.join(labels, "label", "left_semi").groupBy("term", "label") \
         .agg(F.min("pos").alias("pos"))
-    inflect = materialize(tag(_ranked(inflect, ["pos"], 100), "inflect"), "tier-inflect")
+    inflect = materialize(tag(_ranked(inflect, ["pos"], max_results), "inflect"), "tier-inflect")
     rest = rest.join(inflect.select("term").distinct(), "term", "left_anti")
 
     # only prefixes as long as some term are cut from the labels

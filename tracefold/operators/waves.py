@@ -108,10 +108,11 @@ def recognize(inputs: DataFrame, edges: DataFrame, depth: int = 3,
             .filter(F.col("confidence") >= min_seeds))
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list, k: int) -> DataFrame:
-    """Best ``k`` rows of each group (Spark prunes per task before the shuffle)."""
-    return (df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
-            .filter(F.col("rank") <= k))
+def top_per_group(df: DataFrame, group: list[str], order: list, k: int = None) -> DataFrame:
+    """Rows of each group numbered in order: the best ``k`` (Spark prunes per task before the
+    shuffle), or all for None."""
+    ranked = df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order)))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def trace(labels: DataFrame, edges: DataFrame, depth: int = 3,
@@ -267,8 +268,8 @@ def walks(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
         F.array_join("path", " → ").alias("path_text"))
 
 
-def cluster(labels: DataFrame, edges: DataFrame, depth: int = 2, k: int = 30) -> DataFrame:
-    """Neighbourhood of each label ranked by the number of connecting edges.
+def cluster(labels: DataFrame, edges: DataFrame, depth: int = 2, k: int = None) -> DataFrame:
+    """Neighbourhood of each label ranked by the number of connecting edges, best ``k`` or all.
 
     Returns (region, start, node, hops, connections, direction, rank).
     """

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import measures, statements
 from ..functions.fixed import ECHO_LEVELS
-from ..operators import associations, coverage, evidence, lookup, similar, waves
+from ..operators import (associations, coverage, evidence, lookup, quality, similar,
+                         waves)
 from ..sources import tables
 from .catalog import query
 from .graphs import graph
@@ -323,7 +324,7 @@ SELECT start, node, CAST(hops AS BIGINT) AS hops, CAST(i + o AS BIGINT) AS conne
        CASE WHEN i > 0 AND o > 0 THEN 'both' WHEN i > 0 THEN 'incoming' ELSE 'outgoing' END
          AS direction, CAST(rk AS BIGINT) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY i + o DESC, hops, node) AS rk
-      FROM met) WHERE rk <= 30""", CLUSTER_SQL))
+      FROM met)""", CLUSTER_SQL))
 def cluster_concepts(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir, "market", "nodes", "edges")
     return waves.cluster(nodes.filter("node_type = 'concept'"), edges).select(
@@ -426,7 +427,7 @@ def reinforce_traversed(spark, sf_dir):
     """Counters of the traversed edges once their reinforcement is folded in."""
     facts, edges = graph(spark, sf_dir, "geography", "facts", "edges")
     found = waves.trace(region_seeds(spark, sf_dir), edges)
-    extra = waves.reinforce(found, edges, seq=10**9)
+    extra = waves.reinforce(found, edges, seq=quality.LATEST)
     folded = evidence.fold_evidence(evidence.teach(facts).unionByName(extra))
     return (folded.join(extra.select("src", "dst", "relation"), ["src", "dst", "relation"],
                         "left_semi")

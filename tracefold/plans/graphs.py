@@ -1,5 +1,6 @@
 """Stored graphs: each is folded from its tables once per session and read back."""
 
+import hashlib
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,14 +28,21 @@ _stored: dict[tuple, DataFrame] = {}
 
 
 def _input_state(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
-    """Length and time of the input files, so a changed table is folded anew."""
+    """Name, length and time of all input files, so a changed table is folded anew.
+
+    What is kept is a digest: it doesn't grow with the listing.
+    """
     path_type = spark._jvm.org.apache.hadoop.fs.Path
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     state = []
     for name in names:
         path = path_type(f"{sf_dir}/{name}.parquet")
-        status = path.getFileSystem(conf).getFileStatus(path)
-        state.append((name, status.getLen(), status.getModificationTime()))
+        listing = path.getFileSystem(conf).listFiles(path, True)
+        seen = []
+        while listing.hasNext():
+            f = listing.next()
+            seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        state.append((name, hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()))
     return tuple(state)
 
 

@@ -91,7 +91,7 @@ SELECT src, dst, relation FROM (
     _POLLUTION + ", bad AS (SELECT DISTINCT label FROM polluted)"))
 def mark_cleaned(spark, sf_dir):
     bad = _pollution(spark, sf_dir).select("region", "label").distinct()
-    return quality.mark_cleaned(bad, graph(spark, sf_dir, "documents", "edges"), 10**15).select(
+    return quality.mark_cleaned(bad, graph(spark, sf_dir, "documents", "edges"), quality.LATEST).select(
         "src", "dst", "relation")
 
 
@@ -101,7 +101,7 @@ SELECT p.source_text, count(*) AS times FROM (
 WHERE label IN (SELECT label FROM polluted) GROUP BY source_text""", _POLLUTION))
 def refute_polluting_paths(spark, sf_dir):
     bad = _pollution(spark, sf_dir).select("region", "label").distinct()
-    rows = quality.refute_paths_of(bad, graph(spark, sf_dir, "documents", "paths"), 10**15)
+    rows = quality.refute_paths_of(bad, graph(spark, sf_dir, "documents", "paths"), quality.LATEST)
     return rows.groupBy("source_text").agg(F.count("*").alias("times"))
 
 
@@ -115,7 +115,7 @@ chg AS (SELECT seq, source_text AS t, replace(replace(source_text, 'tion', 'sion
 {parse_ctes('SELECT seq, c AS text FROM chg WHERE t <> c', '_b')}"""))
 def retext_paths(spark, sf_dir):
     old, new = quality.retext(graph(spark, sf_dir, "documents", "paths"),
-                              [("tion", "sion"), ("thth", "th")], 10**15)
+                              [("tion", "sion"), ("thth", "th")], quality.LATEST)
     return old.unionByName(new).groupBy("kind", "subject", "relation", "obj").agg(
         F.count("*").alias("times"))
 
@@ -278,8 +278,7 @@ t AS (SELECT DISTINCT text AS source_text FROM parsed),
 h AS (SELECT item_id, source_text, count(*) AS hits FROM q
       JOIN t ON contains(lower(source_text), word) GROUP BY ALL HAVING count(*) >= 2)
 SELECT item_id, source_text, CAST(hits AS BIGINT) AS hits, CAST(rk AS BIGINT) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, source_text) AS rk FROM h)
-WHERE rk <= 20""")
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY hits DESC, source_text) AS rk FROM h)""")
 def retrieve_facts(spark, sf_dir):
     texts = graph(spark, sf_dir, "documents", "paths").select(
         F.col("source_text").alias("text_id"), F.col("source_text").alias("text")).distinct()
@@ -292,12 +291,11 @@ def retrieve_facts(spark, sf_dir):
 
 @query("gap_context", with_documents(f"""
 SELECT concept, doc_id, CAST(pos AS BIGINT) AS pos, sentence, CAST(rk AS BIGINT) AS rank FROM (
-  SELECT concept, head, doc_id, pos, sentence, row_number() OVER (
+  SELECT concept, doc_id, pos, sentence, row_number() OVER (
            PARTITION BY concept ORDER BY doc_id, pos) AS rk
-  FROM (SELECT *, row_number() OVER (PARTITION BY concept, head ORDER BY doc_id, pos) AS k
-        FROM (SELECT concept, doc_id, pos, sentence, left(sentence, 80) AS head
-              FROM thin JOIN dots ON contains(lower(sentence), concept))) WHERE k = 1)
-WHERE rk <= 3""", f""",
+  FROM (SELECT *, row_number() OVER (PARTITION BY concept, sentence ORDER BY doc_id, pos) AS k
+        FROM (SELECT concept, doc_id, pos, sentence
+              FROM thin JOIN dots ON contains(lower(sentence), concept))) WHERE k = 1)""", f""",
 dots AS (SELECT doc_id, i - 1 AS pos, trim(s[i]) AS sentence FROM
   (SELECT doc_id, string_split(replace(text, chr(10), ' '), '.') AS s FROM documents),
   LATERAL (SELECT unnest(range(1, len(s) + 1)) AS i) WHERE length(trim(s[i])) > 30),
@@ -538,7 +536,7 @@ def keyword_scores(spark, sf_dir):
 @query("top_activation", with_graph("geography", """
 SELECT event_id, node, activation, CAST(rk AS BIGINT) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY activation DESC, node) AS rk
-  FROM act) WHERE rk <= 20""", blend_sql()))
+  FROM act)""", blend_sql()))
 def top_activation(spark, sf_dir):
     from .graph_queries import region_seeds
     act = waves.multi_echo(region_seeds(spark, sf_dir), graph(spark, sf_dir, "geography", "edges"))
@@ -620,7 +618,7 @@ def unobserved_associations(spark, sf_dir):
 @query("ingest_documents")
 def ingest_documents(spark, sf_dir):
     sents = tables.document_sentences(spark, sf_dir).select(
-        F.col("sentence").alias("text"), (F.col("doc_id") * 100_000 + F.col("pos")).alias("seq"),
+        F.col("sentence").alias("text"), (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("seq"),
         F.lit("documents").alias("region"))
     _, log = observe.ingest_statements(sents, AS_OF)
     return evidence.fold_evidence(log).select(

@@ -61,7 +61,13 @@ def expand_synonyms(spark, sf_dir):
     return answers.expand_synonyms(seeds, known, part_thesaurus(spark, sf_dir))
 
 
-@query("dot_lines")
+@query("dot_lines", with_graph("parts", """
+SELECT CAST(ord AS BIGINT) AS ord, line FROM (
+  SELECT 0 AS ord, 'strict digraph evidence {' AS line UNION ALL SELECT 3, '}'
+  UNION ALL SELECT 1, '"' || label || '" [shape=' || CASE node_type WHEN 'concept' THEN 'ellipse'
+    WHEN 'property' THEN 'hexagon' ELSE 'note' END || ']' FROM nodes
+  UNION ALL SELECT 2, '"' || src || '" -> "' || dst || '" [tooltip="' || relation || '" weight='
+    || traversals || ']' FROM edges)"""))
 def dot_lines(spark, sf_dir):
     return files.dot_lines(*graph(spark, sf_dir, "parts", "nodes", "edges")).select(
         F.col("ord").cast("bigint"), "line")
@@ -78,10 +84,18 @@ def merge_new(spark, sf_dir):
     return files.merge_new(nodes, held, ["region", "label"]).select("label", "node_type")
 
 
-@query("list_regions", with_graph("market", "SELECT region, CAST(count(*) AS BIGINT) AS nodes "
-                                  "FROM nodes GROUP BY region"))
+@query("list_regions", f"""
+SELECT region, CAST(count(*) AS BIGINT) AS nodes FROM (
+  SELECT * FROM ({with_graph("market", "SELECT region, label FROM nodes")})
+  UNION ALL SELECT * FROM ({with_graph("geography", "SELECT region, label FROM nodes")})
+  UNION ALL SELECT * FROM ({with_graph("parts", "SELECT region, label FROM nodes")}))
+GROUP BY region""")
 def list_regions(spark, sf_dir):
-    return files.list_regions(graph(spark, sf_dir, "market", "nodes"))
+    """Regions of a store that holds three graphs."""
+    store = scratch_path(spark, "store")
+    for name in ("market", "geography", "parts"):
+        files.append_log(graph(spark, sf_dir, name, "nodes"), f"{store}/nodes")
+    return files.list_regions(files.load_graph(spark, store, ["nodes"])["nodes"])
 
 
 @query("save_and_load", with_graph("market", """
@@ -93,7 +107,18 @@ def save_and_load(spark, sf_dir):
         "region", "src", "dst", "relation", F.round("strength", 6).alias("strength"))
 
 
-@query("shuffle_choices")
+@query("shuffle_choices", """
+WITH q AS (
+  SELECT name || '/' || type AS question_id,
+    ['the ' || name, 'some ' || string_split(name, ' ')[-1] || ' of ' || string_split(name, ' ')[1],
+     'any ' || type, 'none of these'] AS c
+  FROM (SELECT DISTINCT lower(p_name) AS name, lower(p_type) AS type FROM part)),
+m AS (SELECT question_id, list_sort(list_transform(range(0, 4), lambda i: {
+        'h': md5('42|' || question_id || '|' || i || '|' || c[i + 1]), 'c': c[i + 1], 'r': i = 0})) AS m
+      FROM q)
+SELECT question_id, array_to_string(list_transform(m, lambda x: x.c), '|') AS choices,
+  CAST(list_position(list_transform(m, lambda x: x.r), true) - 1 AS BIGINT) AS answer_idx FROM m"""
+)
 def shuffle_choices(spark, sf_dir):
     from .quality_queries import part_questions
     return files.shuffle_choices(part_questions(spark, sf_dir)).select(
@@ -101,7 +126,23 @@ def shuffle_choices(spark, sf_dir):
         F.col("answer_idx").cast("bigint"))
 
 
-@query("synthesize_statements")
+def _pick_sql(values, salt):
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"([{listed}])[{_draw_sql(len(values), salt)} + 1]"
+
+
+def _draw_sql(n, salt):
+    return f"(CAST('0x' || left(md5('42|{salt}|' || p_partkey), 8) AS BIGINT) % {n})"
+
+
+@query("synthesize_statements", f"""
+SELECT p_partkey AS id, CASE WHEN d < 8 THEN {_pick_sql(fixed.OPENINGS, 2)} || s || ' ' ||
+    CASE WHEN d < 6 THEN {_pick_sql(fixed.TEACHING_VERBS, 3)}
+    ELSE {_pick_sql(fixed.REFUTING_VERBS, 4)} END || ' ' || o
+    ELSE {_pick_sql(fixed.ASKING, 5)} || s END AS input,
+  s AS subject, CASE WHEN d < 6 THEN 'is' WHEN d < 8 THEN 'is_not' ELSE '?' END AS verb, o AS obj,
+  CASE WHEN d < 6 THEN 'teach' WHEN d < 8 THEN 'refute' ELSE 'question' END AS kind
+FROM (SELECT p_partkey, lower(p_name) AS s, lower(p_type) AS o, {_draw_sql(10, 1)} AS d FROM part)""")
 def synthesize_statements(spark, sf_dir):
     vocabulary = tables.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"), F.lower("p_name").alias("subject"),
@@ -109,9 +150,6 @@ def synthesize_statements(spark, sf_dir):
     return files.synthesize_statements(vocabulary)
 
 
-PART_TYPES = ["economy", "standard", "medium", "promo", "large", "small"]
-
-
 # --- dimension tables ------------------------------------------------------------
 
 def described(spark, sf_dir):
@@ -160,10 +198,11 @@ def query_association(spark, sf_dir):
     rows = described(spark, sf_dir)
     properties = associations.association_properties(spark, rows)
     part = tables.table(spark, sf_dir, "part").select(
-        F.concat(F.lit("part#"), F.col("p_partkey")).alias("subject"))
-    types = F.array(*[F.lit(t) for t in PART_TYPES])
-    asked = part.select(F.lit("parts").alias("region"), "subject",
-                        F.explode(types).alias("association"))
+        F.concat(F.lit("part#"), F.col("p_partkey")).alias("subject"),
+        F.lower("p_brand").alias("property"))
+    # every association that describes a property of the part is asked
+    asked = (part.join(rows.select("association", "property").distinct(), "property")
+             .select(F.lit("parts").alias("region"), "subject", "association").distinct())
     return lookup.query_association(asked, graph(spark, sf_dir, "parts", "paths"), properties) \
         .select("subject", "association", "property")
 
@@ -194,8 +233,7 @@ def resolve_question_words(spark, sf_dir):
     types = tables.table(spark, sf_dir, "part").select(F.lower("p_type").alias("association"))
     defined = types.distinct().withColumn(
         "question_word", F.when(F.col("association") == "promo", "how").otherwise("which"))
-    asked = types.limit(1).select(F.explode(F.array(
-        F.lit("what"), F.lit("how"), F.lit("which"))).alias("question_word"))
+    asked = spark.createDataFrame([("what",), ("how",), ("which",)], "question_word string")
     return associations.resolve_question_words(asked, defined)
 
 
@@ -247,7 +285,7 @@ SELECT src, dst, relation, kind, CAST(count(*) AS BIGINT) AS events FROM ev GROU
 def stream_teach_documents(spark, sf_dir):
     docs = tables.sentences_of(_stream(spark, sf_dir, "documents")).select(
         F.col("sentence").alias("text"), F.col("source").alias("source_label"),
-        (F.col("doc_id") * 100_000 + F.col("pos")).alias("seq"))
+        (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("seq"))
     log = _run(incremental.teach_stream(docs, "documents", negation="ignore"))
     return log.groupBy("src", "dst", "relation", "kind").agg(F.count("*").alias("events"))
 
@@ -268,22 +306,35 @@ def stream_fold_orders(spark, sf_dir):
                                     "witnesses", F.round("strength", 6).alias("strength"))
 
 
-@query("activity_windows", """
+ACTIVITY_SQL = """
 SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS window_start, event_type AS kind,
        CAST(count(*) AS BIGINT) AS events, round(sum(value), 4) AS value
-FROM events GROUP BY ALL""")
+FROM events GROUP BY ALL"""
+
+
+@query("activity_windows", ACTIVITY_SQL)
 def activity_windows(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "events").withColumnRenamed("event_type", "kind")
     return incremental.activity(rows).select(
         "window_start", "kind", "events", F.round("value", 4).alias("value"))
 
 
-@query("stream_activity_windows")
+@query("stream_activity_windows", ACTIVITY_SQL)
 def stream_activity_windows(spark, sf_dir):
-    """Closed windows only: those the watermark has passed."""
+    """All windows, those the watermark hasn't passed yet included.
+
+    Updates are appended by batch; a window's last update is its value.
+    """
     rows = _stream(spark, sf_dir, "events").withColumnRenamed("event_type", "kind") \
         .withColumn("ts", F.col("ts").cast("timestamp"))
-    return _run(incremental.activity(rows)).select(
+    updates = scratch_path(spark, "window-updates")
+    q = (incremental.activity(rows).writeStream.outputMode("update")
+         .foreachBatch(lambda df, batch: df.withColumn("batch", F.lit(batch)).write
+                       .mode("overwrite").parquet(f"{updates}/batch={batch}"))
+         .option("checkpointLocation", scratch_path(spark, "window-state"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return incremental.last_updates(spark.read.parquet(updates)).select(
         "window_start", "kind", "events", F.round("value", 4).alias("value"))
 
 

@@ -214,5 +214,4 @@ r5 AS (SELECT term, label, d AS distance, 'fuzzy' AS method, row_number() OVER (
          PARTITION BY term ORDER BY d, abs(length(term) - length(label)), label) AS rank
        FROM (SELECT term, label, arg_min(d, p) AS d FROM near WHERE d <= k GROUP BY term, label)),
 resolved AS (SELECT * FROM r1 UNION ALL SELECT * FROM r2
-  UNION ALL SELECT * FROM r3 WHERE rank <= 5 UNION ALL SELECT * FROM r4 WHERE rank <= 5
-  UNION ALL SELECT * FROM r5 WHERE rank <= 5)"""
+  UNION ALL SELECT * FROM r3 UNION ALL SELECT * FROM r4 UNION ALL SELECT * FROM r5)"""

@@ -130,7 +130,7 @@ LINE_SQL = f"""lns AS (
 @query("clean_statement_lines", f"""WITH {LINE_SQL}
 SELECT conv_id, turn, line FROM (
   SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(line) ORDER BY i) AS k FROM lns
-  WHERE line <> '' AND upper(line) <> 'NONE' AND length(line) <= 200
+  WHERE line <> '' AND upper(line) <> 'NONE'
     AND NOT regexp_matches(lower(line), 'http|www|import |def |class ')) WHERE k = 1""")
 def clean_statement_lines(spark, sf_dir):
     return cleaning.clean_statement_lines(
@@ -147,7 +147,7 @@ part AS (
   SELECT DISTINCT conv_id, turn, {strip(f'''regexp_replace(regexp_replace({strip('p')},
     '^["''`]+|["''`]+$', '', 'g'), '[^a-z0-9_ -]', '', 'g')''')} AS label
   FROM (SELECT conv_id, turn, unnest(string_split(line, ',')) AS p FROM raw))
-SELECT * FROM part WHERE regexp_matches(label, '^[a-z0-9][a-z0-9_ -]*$') AND length(label) <= 40
+SELECT * FROM part WHERE regexp_matches(label, '^[a-z0-9][a-z0-9_ -]*$')
   AND NOT regexp_matches(label, 'http|www|import |def |class ')""")
 def clean_labels(spark, sf_dir):
     return cleaning.clean_labels(_table(spark, sf_dir, "conversations"),
@@ -184,10 +184,9 @@ st AS (SELECT doc_id, pos, {strip(f'''regexp_replace(regexp_replace({_markup("sj
   WHERE lower(sj) NOT IN ({quoted(fixed.NOISE_SUBJECTS)})
     AND lower(string_split(sj, ' ')[1]) NOT IN ({quoted(fixed.NOISE_STARTS)}) AND length(ob) > 2),
 one AS (SELECT *, row_number() OVER (PARTITION BY doc_id, statement ORDER BY pos) AS k FROM st
-        WHERE length(statement) > 10 AND length(statement) < 120)
+        WHERE length(statement) > 10)
 SELECT doc_id, statement, CAST(nth AS BIGINT) AS nth FROM (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM one WHERE k = 1)
-WHERE nth <= 10""")
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS nth FROM one WHERE k = 1)""")
 def extract_statements(spark, sf_dir):
     return cleaning.extract_statements(_table(spark, sf_dir, "documents"), ["doc_id"]).select(
         "doc_id", "statement", F.col("nth").cast("bigint"))
@@ -604,14 +603,14 @@ def render_statements(spark, sf_dir):
 {parse_ctes("SELECT * FROM sents WHERE (" + rejection("text") + ") = ''")},
 facts AS (SELECT 'documents' AS region, subject, relation, obj, ptype,
   CASE WHEN negated THEN 'refute' ELSE 'teach' END AS kind, source AS source_label,
-  0.4::DOUBLE AS initial_strength, text AS source_text, doc_id * 100000 + pos AS seq
+  0.4::DOUBLE AS initial_strength, text AS source_text, doc_id * 10000000 + pos AS seq
   FROM parsed),{GRAPH}
 SELECT src, dst, relation, traversals, refutations, witnesses, round(strength, 6) AS strength
 FROM edges""")
 def teach_tentative_documents(spark, sf_dir):
     sents = tables.document_sentences(spark, sf_dir).select(
         F.col("sentence").alias("text"), F.col("source").alias("source_label"),
-        (F.col("doc_id") * 100_000 + F.col("pos")).alias("seq"))
+        (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("seq"))
     rows = teaching.teach_texts(sents, "tentative", region=F.lit("documents"))
     return evidence.fold_evidence(evidence.teach(rows)).select(
         "src", "dst", "relation", "traversals", "refutations", "witnesses",
@@ -619,7 +618,7 @@ def teach_tentative_documents(spark, sf_dir):
 
 
 @query("teach_turns", f"""WITH {TURNS_SQL},
-again AS (SELECT conv_id * 1000000 + turn * 1000 + i AS seq, negated AS denied, CASE
+again AS (SELECT conv_id * 10000000000 + turn * 10000 + i AS seq, negated AS denied, CASE
     WHEN NOT negated THEN original
     WHEN relation = 'is_a' OR starts_with(relation, 'has_') THEN subject || ' is ' || obj
     WHEN relation = 'has' THEN subject || ' has ' || obj
@@ -631,7 +630,7 @@ facts AS (SELECT 'turns' AS region, subject, relation, obj, ptype,
 SELECT src, dst, relation, traversals, refutations, round(strength, 6) AS strength FROM edges""")
 def teach_turns(spark, sf_dir):
     conv = _table(spark, sf_dir, "conversations").withColumn(
-        "seq", F.col("conv_id") * 1_000_000 + F.col("turn") * 1000)
+        "seq", F.col("conv_id") * 10_000_000_000 + F.col("turn") * 10_000)
     rows = teaching.teach_turns(conv, ["conv_id", "turn"], region=F.lit("turns"))
     return evidence.fold_evidence(evidence.teach(rows)).select(
         "src", "dst", "relation", "traversals", "refutations",

@@ -1,6 +1,6 @@
 """File sources and sinks: statements, documents, thesaurus, questions, stored graphs."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import fixed
 from ..functions.strings import strip
@@ -46,12 +46,15 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return docs.filter(strip(F.col("text")) != "")
 
 
-def thesaurus_edges(lines: DataFrame, max_synonyms: int = 15) -> DataFrame:
-    """Comma lines 'root, synonym, ...' -> distinct synonym_of edges, both ways."""
+def thesaurus_edges(lines: DataFrame, max_synonyms: int = None) -> DataFrame:
+    """Comma lines 'root, synonym, ...' -> distinct synonym_of edges, both ways.
+
+    ``max_synonyms`` keeps the first words of a line, None all.
+    """
     parts = F.transform(F.split(F.lower("value"), ","), strip)
     rows = lines.select(parts.alias("p")).filter(F.size("p") >= 2).select(
         F.get("p", F.lit(0)).alias("root"),
-        F.explode(F.slice("p", 2, max_synonyms)).alias("syn")) \
+        F.explode(F.slice("p", 2, max_synonyms or F.size("p"))).alias("syn")) \
         .filter((F.col("syn") != "") & (F.col("syn") != F.col("root")))
     return rows.select(F.inline(F.array(
         F.struct(F.col("root").alias("src"), F.col("syn").alias("dst")),
@@ -93,27 +96,25 @@ def merge_new(rows: DataFrame, into: DataFrame, key: list[str]) -> DataFrame:
     return into.unionByName(fresh, allowMissingColumns=True)
 
 
+def _quoted(c) -> Column:
+    return F.concat(F.lit('"'), F.replace(F.replace(F.col(c), F.lit("\\"), F.lit("\\\\")),
+                                          F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
 def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(ord, line) of a Graphviz file; node ids are label hashes."""
-    style = F.lit("")
-    for kind, text in fixed.NODE_STYLES.items():
-        style = F.when(F.col("node_type") == kind, text).otherwise(style)
-
-    def node_id(c):
-        return F.concat(F.lit("n"), F.abs(F.crc32(F.encode(F.col(c), "UTF-8"))))
-    width = F.greatest(F.lit(0.5), F.least(F.lit(3.0), F.col("strength")))
-    head = nodes.limit(1).select(F.lit(0).alias("ord"), F.explode(F.array(
-        F.lit("digraph evidence {"), F.lit("  rankdir=LR;"), F.lit("  node [shape=box];")))
-        .alias("line"))
-    tail = nodes.limit(1).select(F.lit(3).alias("ord"), F.lit("}").alias("line"))
+    """(ord, line) of a Graphviz file: nodes shaped by type, edges weighted by their teachings."""
+    spark = nodes.sparkSession
+    shape = F.lit("plaintext")
+    for kind, name in fixed.NODE_SHAPES.items():
+        shape = F.when(F.col("node_type") == kind, name).otherwise(shape)
+    frame = spark.createDataFrame([(0, "strict digraph evidence {"), (3, "}")],
+                                  "ord int, line string")
     body = nodes.select(F.lit(1).alias("ord"), F.concat(
-        F.lit("  "), node_id("label"), F.lit(' [label="'), F.col("label"), F.lit('", '), style,
-        F.lit("];")).alias("line"))
+        _quoted("label"), F.lit(" [shape="), shape, F.lit("]")).alias("line"))
     arrows = edges.select(F.lit(2).alias("ord"), F.concat(
-        F.lit("  "), node_id("src"), F.lit(" -> "), node_id("dst"), F.lit(' [label="'),
-        F.col("relation"), F.lit('", penwidth='), F.format_number(width, 1), F.lit("];"))
-        .alias("line"))
-    return head.unionByName(body).unionByName(arrows).unionByName(tail)
+        _quoted("src"), F.lit(" -> "), _quoted("dst"), F.lit(" [tooltip="), _quoted("relation"),
+        F.lit(" weight="), F.col("traversals").cast("string"), F.lit("]")).alias("line"))
+    return frame.unionByName(body).unionByName(arrows)
 
 
 def export_dot(nodes: DataFrame, edges: DataFrame, path: str) -> None:
@@ -143,11 +144,19 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUESTION_JSON).json(path, multiLine=True)
 
 
+def _picked(n: int, *parts) -> Column:
+    """A number below n, hashed from the parts; other engines can compute it too."""
+    digest = F.md5(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str)
+                                      else F.lit(str(p)) for p in parts]))
+    return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint"), F.lit(n)).cast("int")
+
+
 def shuffle_choices(questions: DataFrame, seed: int = 42) -> DataFrame:
     """Reorder choices by a seeded hash and move the answer index along."""
     tagged = F.transform("choices", lambda c, i: F.struct(
-        F.xxhash64(F.col("question_id"), c, i, F.lit(seed)).alias("h"), c.alias("c"),
-        (i == F.col("answer_idx")).alias("right")))
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("question_id").cast("string"),
+                          i.cast("string"), c)).alias("h"),
+        c.alias("c"), (i == F.col("answer_idx")).alias("right")))
     mixed = F.array_sort(tagged)
     return (questions.withColumn("_m", mixed)
             .withColumn("answer_idx", F.array_position(
@@ -158,22 +167,22 @@ def shuffle_choices(questions: DataFrame, seed: int = 42) -> DataFrame:
 def synthesize_statements(vocabulary: DataFrame, seed: int = 42) -> DataFrame:
     """One labelled statement per vocabulary row (id, subject, obj): teach .6, refute .2, ask .2.
 
-    Picks depend on the row id and the seed alone, so reruns and lost tasks give
-    the same rows.
+    A statement is an opening, the subject, a verb phrase and the object; a
+    question asks for the subject.  Picks depend on the row id and the seed alone,
+    so reruns and lost tasks give the same rows.
     """
-    def pick(n, salt):
-        return F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(n)).cast("int")
-    die = pick(10, 1)
+    die = _picked(10, seed, 1, "id")
     kind = F.when(die < 6, "teach").when(die < 8, "refute").otherwise("question")
 
-    def template(values, salt):
-        return F.element_at(F.array(*[F.lit(v) for v in values]), pick(len(values), salt) + 1)
-    text = (F.when(F.col("kind") == "teach", template(fixed.TEACH_TEMPLATES, 2))
-            .when(F.col("kind") == "refute", template(fixed.REFUTE_TEMPLATES, 3))
-            .otherwise(template(fixed.QUESTION_TEMPLATES, 4)))
+    def part(values, salt):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), _picked(len(values), seed, salt, "id") + 1)
+    phrase = F.when(F.col("kind") == "teach", part(fixed.TEACHING_VERBS, 3)) \
+        .otherwise(part(fixed.REFUTING_VERBS, 4))
+    told = F.concat(part(fixed.OPENINGS, 2), F.col("subject"), F.lit(" "), phrase, F.lit(" "),
+                    F.col("obj"))
+    asked = F.concat(part(fixed.ASKING, 5), F.col("subject"))
     verb = F.when(F.col("kind") == "teach", "is").when(F.col("kind") == "refute", "is_not") \
         .otherwise("?")
     return (vocabulary.withColumn("kind", kind)
-            .withColumn("input", F.replace(F.replace(text, F.lit("{s}"), F.col("subject")),
-                                           F.lit("{o}"), F.col("obj")))
+            .withColumn("input", F.when(F.col("kind") == "question", asked).otherwise(told))
             .select("id", "input", "subject", verb.alias("verb"), "obj", "kind"))

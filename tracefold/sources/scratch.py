@@ -6,6 +6,8 @@ back: lineage ends there, a lost executor only repeats the current step, and
 the optimiser sees the true size of the step when it picks a join.
 """
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,7 +17,11 @@ _local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder named by spark.checkpoint.dir; a temporary one only in local mode."""
+    """Folder named by spark.checkpoint.dir.
+
+    Where it is unset, a local session gets a folder of its own, removed when
+    the process ends; any other is refused, as executors would not share it.
+    """
     conf = spark.sparkContext.getConf()
     configured = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -25,6 +31,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _local_dirs:
         _local_dirs[app] = tempfile.mkdtemp(prefix="spark-tracefold-", dir="/tmp")
+        atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
     return _local_dirs[app]
 
 

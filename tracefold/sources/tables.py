@@ -18,15 +18,15 @@ SPREAD = {"lineitem", "orders", "documents", "pages", "conversations"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read a table; spread it when its files give fewer tasks than there are cores.
+    """Read a table.
 
-    A table of cluster size has far more splits than cores and is left as it is.
+    Tables of cluster size have far more splits than cores.  Where a large table
+    is one small file, a session may ask for it to be dealt out to
+    ``tracefold.spread`` tasks; unset, no shuffle is added.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in SPREAD and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    tasks = spark.conf.get("tracefold.spread", None)
+    return df.repartition(int(tasks)) if tasks and name in SPREAD else df
 
 
 def part_facts(spark, sf_dir) -> DataFrame:
@@ -97,7 +97,7 @@ def document_facts(spark, sf_dir) -> DataFrame:
     """Statements parsed from document sentences, taught by the document's source."""
     sents = document_sentences(spark, sf_dir).select(
         F.col("sentence").alias("text"), F.col("source").alias("source_label"),
-        (F.col("doc_id") * 100_000 + F.col("pos")).alias("seq"))
+        (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("seq"))
     parsed = statements.parse_statements(sents, "text")
     return evidence.facts(
         parsed.withColumn("source_text", F.col("original")),

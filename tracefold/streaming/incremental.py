@@ -69,6 +69,13 @@ def activity(events: DataFrame, width: str = "10 minutes", slide: str = None,
                     F.col("window.end").alias("window_end"), "kind", "events", "value"))
 
 
+def last_updates(updates: DataFrame) -> DataFrame:
+    """The last update of each window out of batch-numbered ones."""
+    return (updates.groupBy("window_start", "kind")
+            .agg(F.max_by(F.struct("events", "value"), "batch").alias("u"))
+            .select("window_start", "kind", "u.events", "u.value"))
+
+
 def working_memory(hits: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
     """Convergence per conversation session from (conversation, ts, node, seed, weight).
 
