@@ -6,23 +6,33 @@ from ..sources.scratch import materialize
 from .waves import reach
 
 BLOCK = 2000
+#: Relations that mark a standing instead of saying something about a node.
+MARKERS = ("refutation_of", "refutation_status", "cleanup_reviewed", "cleanup_action",
+           "cleanup_cluster")
 
 
-def downstream(nodes: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
-    """(region, prop, node) reachable from every property node."""
+def downstream(nodes: DataFrame, edges: DataFrame, depth: int = 10, markers=MARKERS) -> DataFrame:
+    """(region, prop, node) reachable from every property node, not over ``markers`` relations."""
     props = nodes.filter("node_type = 'property'").select("region", "label")
+    edges = edges.filter(~F.col("relation").isin(list(markers))) if markers else edges
     return reach(props, edges, depth).select("region", F.col("seed").alias("prop"), "node")
 
 
-def similarity(nodes: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
+def similarity(nodes: DataFrame, edges: DataFrame, depth: int = 10, labels: DataFrame = None,
+               min_shared: int = 1, markers=MARKERS) -> DataFrame:
     """Property pairs that share downstream nodes: shared count and overlap ratio.
 
+    Relations that mark a standing (refuted, reviewed) lead to one node from
+    everywhere and would pair every property with every other; ``markers`` leaves
+    them out of reach.  ``labels`` (region, label) keeps pairs with one of the
+    labels, before pairs are built; ``min_shared`` keeps pairs that share as many nodes.
+
     Nodes reached by exactly the same properties are first merged into one
     weighted node, so a pair is met once per distinct fan-in set instead of once
     per shared node.  A fan-in set larger than ``BLOCK`` is cut into blocks whose
     pairs are spread over tasks; every pair is still compared.
     """
-    down = materialize(downstream(nodes, edges, depth), "downstream")
+    down = materialize(downstream(nodes, edges, depth, markers), "downstream")
     sizes = down.groupBy("region", "prop").agg(F.count("*").alias("size"))
     signature = (down.groupBy("region", "node")
                  .agg(F.count("*").alias("fan_in"),
@@ -40,8 +50,19 @@ def similarity(nodes: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame
                          F.col("b").alias("i"), spread.alias("j"))
     right = member.select("region", "node", F.col("prop").alias("z"),
                           F.col("b").alias("j"), spread.alias("i"))
-    shared = (left.join(right, ["region", "node", "i", "j"]).filter("a < z")
-              .groupBy("region", "a", "z").agg(F.sum("weight").alias("shared")))
+    if labels is None:
+        pairs = left.join(right, ["region", "node", "i", "j"]).filter("a < z")
+    else:
+        # pairs start at a label; one between two labels is met from the smaller
+        asked = labels.select("region", F.col("label").alias("a")).distinct()
+        other = labels.select("region", F.col("label").alias("z"), F.lit(True).alias("both")).distinct()
+        pairs = (left.join(asked, ["region", "a"], "left_semi")
+                 .join(right, ["region", "node", "i", "j"]).filter("a <> z")
+                 .join(other, ["region", "z"], "left").filter("both IS NULL OR a < z")
+                 .select("region", "weight", F.least("a", "z").alias("a"),
+                         F.greatest("a", "z").alias("z")))
+    shared = (pairs.groupBy("region", "a", "z").agg(F.sum("weight").alias("shared"))
+              .filter(F.col("shared") >= min_shared))
     return (shared.join(sizes.withColumnsRenamed({"prop": "a", "size": "na"}), ["region", "a"])
             .join(sizes.withColumnsRenamed({"prop": "z", "size": "nz"}), ["region", "z"])
             .select("region", "a", F.col("z").alias("b"), "shared",

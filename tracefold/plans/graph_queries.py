@@ -241,6 +241,10 @@ reached AS (SELECT region, seed, node, CAST(min(hops) AS BIGINT) AS hops FROM wa
             WHERE node <> seed GROUP BY ALL)"""
 
 
+SIMILAR_SQL = REACH_SQL.replace("JOIN pair p", f"""JOIN (SELECT DISTINCT region, src, dst FROM edges
+      WHERE relation NOT IN ({', '.join(f"'{m}'" for m in similar.MARKERS)})) p""")
+
+
 def _recursive(name, body, extra):
     return with_graph(name, body, extra).replace("WITH facts", "WITH RECURSIVE facts", 1)
 
@@ -283,7 +287,7 @@ SELECT a.seed AS a, b.seed AS b, CAST(count(*) AS BIGINT) AS shared,
 FROM reached a JOIN reached b ON a.node = b.node AND a.seed < b.seed
 JOIN (SELECT seed, count(*) AS n FROM reached GROUP BY seed) na ON na.seed = a.seed
 JOIN (SELECT seed, count(*) AS n FROM reached GROUP BY seed) nb ON nb.seed = b.seed
-GROUP BY a.seed, b.seed, na.n, nb.n""", REACH_SQL))
+GROUP BY a.seed, b.seed, na.n, nb.n""", SIMILAR_SQL))
 def similar_properties(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir, "parts", "nodes", "edges")
     return similar.similarity(nodes, edges).select("a", "b", "shared", _r("overlap"))
@@ -296,12 +300,12 @@ FROM (SELECT DISTINCT lower(p_type) AS label FROM part) t
 JOIN reached a ON a.seed = t.label JOIN reached b ON a.node = b.node AND a.seed <> b.seed
 JOIN (SELECT seed, count(*) AS n FROM reached GROUP BY seed) na ON na.seed = a.seed
 JOIN (SELECT seed, count(*) AS n FROM reached GROUP BY seed) nb ON nb.seed = b.seed
-GROUP BY t.label, b.seed, na.n, nb.n""", REACH_SQL))
+GROUP BY t.label, b.seed, na.n, nb.n""", SIMILAR_SQL))
 def similar_to_types(spark, sf_dir):
     nodes, edges = graph(spark, sf_dir, "parts", "nodes", "edges")
     labels = tables.table(spark, sf_dir, "part").select(
         F.lit("parts").alias("region"), F.lower("p_type").alias("label"))
-    return similar.similar_to(labels, similar.similarity(nodes, edges)).select(
+    return similar.similar_to(labels, similar.similarity(nodes, edges, labels=labels)).select(
         "label", "other", "shared", _r("overlap"))
 
 
@@ -677,12 +681,13 @@ FROM (SELECT DISTINCT lower(p_type) AS label FROM part) t
 JOIN reached a ON a.seed = t.label JOIN reached b ON a.node = b.node AND a.seed <> b.seed
 JOIN (SELECT seed, count(*) AS n FROM reached GROUP BY seed) na ON na.seed = a.seed
 JOIN (SELECT seed, count(*) AS n FROM reached GROUP BY seed) nb ON nb.seed = b.seed
-GROUP BY t.label, b.seed, na.n, nb.n""", REACH_SQL))
+GROUP BY t.label, b.seed, na.n, nb.n""", SIMILAR_SQL))
 def summarize_types(spark, sf_dir):
     nodes, paths, edges = graph(spark, sf_dir, "parts", "nodes", "paths", "edges")
     labels = tables.table(spark, sf_dir, "part").select(
         F.lit("parts").alias("region"), F.lower("p_type").alias("label")).distinct()
-    return lookup.summarize(labels, paths, edges, similar.similarity(nodes, edges)).select(
+    return lookup.summarize(
+        labels, paths, edges, similar.similarity(nodes, edges, labels=labels)).select(
         "label", "kind", "text", _r("value"))
 
 
