@@ -37,10 +37,11 @@ def test_stream_sink_is_exact_out_of_order_and_on_retry(spark, tmp_path):
     said = [("apples are red", k, s) for k, s in
             [("teach", "a"), ("teach", "b"), ("refute", None), ("teach", "a"), ("teach", None)]]
     log = evidence.teach(fact_rows(spark, said)).cache()
-    sink = EvidenceSink(str(tmp_path))
+    sink = EvidenceSink(str(tmp_path), merge_every=2)
     sink(log.filter("seq >= 3"), 0)
     sink(log.filter("seq < 3"), 1)
     sink(log.filter("seq < 3"), 1)
+    sink(log.limit(0), 2)
     cols = ["src", "dst", "traversals", "refutations", "witnesses"]
     got = sorted(map(tuple, sink.edges(spark).select(*cols).collect()))
     assert got == sorted(map(tuple, evidence.fold_evidence(log).select(*cols).collect()))

@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import fixed
+from .entities import decode_entities
 from .fixed import WS, WORD
 from .strings import any_contains, any_endswith, lstrip_chars, split_sentences, strip, words
 
@@ -27,8 +28,7 @@ def html_to_text(html: Column, profile: str = "plain") -> Column:
     t = F.regexp_replace(t, f"(?i)</?({fixed.BLOCK_TAGS})[^>]*>", "\n")
     t = F.regexp_replace(t, "<[^>]+>", " ")
     if profile == "article":
-        for entity, char in fixed.HTML_ENTITIES.items():
-            t = F.replace(t, F.lit(entity), F.lit(char))
+        t = decode_entities(t)
     t = F.regexp_replace(t, "[ \t]+", " ")
     t = F.regexp_replace(t, f"\n[ \t]*\n(?:\n|{WS})*", "\n\n")
     return strip(t)

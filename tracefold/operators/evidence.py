@@ -118,11 +118,16 @@ def fold_evidence(log: DataFrame) -> DataFrame:
     first spreads a hot edge over its sources, so no edge is ever one group of
     raw events.
     """
+    return fold_sources(sources_of(log))
+
+
+def sources_of(log: DataFrame) -> DataFrame:
+    """Counters per (edge, source); those of several logs are merged by merge_sources."""
     teach_flag = (F.col("kind") == "teach").cast("bigint")
     # creation order packed with what the fold must know about that event
     code = (F.col("seq") * 4 + F.when(F.col("kind") == "teach", 0)
             .when(F.col("kind") == "refute", 1).otherwise(2))
-    per_source = (
+    return (
         log.withColumn("source_key", F.col("source_label")).withColumn("code", code)
         .groupBy(*EDGE_KEY, "source_key")
         .agg(F.sum(teach_flag).alias("teaches"),
@@ -130,6 +135,18 @@ def fold_evidence(log: DataFrame) -> DataFrame:
              F.min("code").alias("code"),
              F.min_by("initial_strength", "code").alias("initial"),
              F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")))
+
+
+def merge_sources(parts: DataFrame) -> DataFrame:
+    """Counters of parts of a log added up to those of the whole."""
+    return parts.groupBy(*EDGE_KEY, "source_key").agg(
+        F.sum("teaches").alias("teaches"), F.sum("refutes").alias("refutes"),
+        F.min_by("initial", "code").alias("initial"), F.min("code").alias("code"),
+        F.min("first_seq").alias("first_seq"), F.max("last_seq").alias("last_seq"))
+
+
+def fold_sources(per_source: DataFrame) -> DataFrame:
+    """Edges from the counters per (edge, source)."""
     valid = F.col("source_key") != ""
     first_is_teach = F.pmod(F.col("code"), F.lit(4)) == 0
     counted = (F.when(F.col("source_key").isNull(), F.col("teaches"))

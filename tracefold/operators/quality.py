@@ -9,7 +9,7 @@ from .resolve import close_strings
 from .waves import cluster
 
 #: Event order behind every recorded one; keys of recorded events stay below it.
-LATEST = 2**62
+LATEST = 2**56
 KNOWN_BAD = fixed.ARTICLES + fixed.PRONOUNS + fixed.QUESTION_WORD_TYPOS + fixed.STOPWORD_SUBJECTS
 
 

@@ -618,7 +618,7 @@ def unobserved_associations(spark, sf_dir):
 @query("ingest_documents")
 def ingest_documents(spark, sf_dir):
     sents = tables.document_sentences(spark, sf_dir).select(
-        F.col("sentence").alias("text"), (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("seq"),
+        F.col("sentence").alias("text"), (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq"),
         F.lit("documents").alias("region"))
     _, log = observe.ingest_statements(sents, AS_OF)
     return evidence.fold_evidence(log).select(

@@ -285,7 +285,7 @@ SELECT src, dst, relation, kind, CAST(count(*) AS BIGINT) AS events FROM ev GROU
 def stream_teach_documents(spark, sf_dir):
     docs = tables.sentences_of(_stream(spark, sf_dir, "documents")).select(
         F.col("sentence").alias("text"), F.col("source").alias("source_label"),
-        (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("seq"))
+        (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq"))
     log = _run(incremental.teach_stream(docs, "documents", negation="ignore"))
     return log.groupBy("src", "dst", "relation", "kind").agg(F.count("*").alias("events"))
 

@@ -78,7 +78,7 @@ SENTENCES = f"""sents AS (
 DOCUMENT_FACTS = f"""
 SELECT 'documents' AS region, subject, relation, obj, ptype, 'teach' AS kind, source AS source_label,
        CAST(NULL AS DOUBLE) AS initial_strength, text AS source_text,
-       doc_id * 10000000 + pos AS seq, negated FROM parsed"""
+       doc_id * 1000000 + pos AS seq, negated FROM parsed"""
 
 
 def with_documents(body: str, extra: str = "", recursive: bool = False) -> str:

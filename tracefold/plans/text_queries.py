@@ -603,14 +603,14 @@ def render_statements(spark, sf_dir):
 {parse_ctes("SELECT * FROM sents WHERE (" + rejection("text") + ") = ''")},
 facts AS (SELECT 'documents' AS region, subject, relation, obj, ptype,
   CASE WHEN negated THEN 'refute' ELSE 'teach' END AS kind, source AS source_label,
-  0.4::DOUBLE AS initial_strength, text AS source_text, doc_id * 10000000 + pos AS seq
+  0.4::DOUBLE AS initial_strength, text AS source_text, doc_id * 1000000 + pos AS seq
   FROM parsed),{GRAPH}
 SELECT src, dst, relation, traversals, refutations, witnesses, round(strength, 6) AS strength
 FROM edges""")
 def teach_tentative_documents(spark, sf_dir):
     sents = tables.document_sentences(spark, sf_dir).select(
         F.col("sentence").alias("text"), F.col("source").alias("source_label"),
-        (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("seq"))
+        (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq"))
     rows = teaching.teach_texts(sents, "tentative", region=F.lit("documents"))
     return evidence.fold_evidence(evidence.teach(rows)).select(
         "src", "dst", "relation", "traversals", "refutations", "witnesses",

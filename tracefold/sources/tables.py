@@ -97,7 +97,7 @@ def document_facts(spark, sf_dir) -> DataFrame:
     """Statements parsed from document sentences, taught by the document's source."""
     sents = document_sentences(spark, sf_dir).select(
         F.col("sentence").alias("text"), F.col("source").alias("source_label"),
-        (F.col("doc_id") * 10_000_000 + F.col("pos")).alias("seq"))
+        (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("seq"))
     parsed = statements.parse_statements(sents, "text")
     return evidence.facts(
         parsed.withColumn("source_text", F.col("original")),

@@ -1,15 +1,15 @@
 """Structured Streaming over statements and evidence.
 
 The evidence log is append-only and durable per batch; edges are a fold of it.
-Counters of an edge depend on event order (seq), not on arrival order, so a
-micro-batch recomputes the touched edges from the log: late and out-of-order
-events give the same result as one batch over everything.
+Counters of an edge depend on event order (seq), not on arrival order, and those
+of parts of the log add up: late and out-of-order events give the same result as
+one batch over everything.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import statements
-from ..operators.evidence import EDGE_KEY, facts, fold_evidence, teach
+from ..operators.evidence import EDGE_KEY, facts, fold_sources, merge_sources, sources_of, teach
 
 
 def teach_stream(lines: DataFrame, region: str = "main", negation: str = "refute") -> DataFrame:
@@ -25,29 +25,50 @@ def teach_stream(lines: DataFrame, region: str = "main", negation: str = "refute
 
 
 class EvidenceSink:
-    """foreachBatch target: append to the log, then refold the touched edges.
+    """foreachBatch target: append to the log, and keep mergeable counters per (edge, source).
 
-    Log and edge changes are written under the batch id, so a batch that is run
-    again after a failure replaces its own files and counts nothing twice.
+    A batch writes its rows and their counters and reads nothing of the log, so
+    its cost follows the batch, not the history.  Every ``merge_every`` batches
+    the counters so far are merged into one table, whose size is that of the
+    distinct (edge, source) pairs.  All is written under the batch id, so a batch
+    that is run again after a failure replaces its own files and counts nothing twice.
     """
 
-    def __init__(self, path: str):
-        self.log_path, self.edge_path = f"{path}/log", f"{path}/edges"
+    def __init__(self, path: str, merge_every: int = 16):
+        self.log_path, self.part_path, self.base_path = f"{path}/log", f"{path}/parts", f"{path}/merged"
+        self.merge_every = merge_every
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        if batch_id and batch_id % self.merge_every == 0:
+            # the batches before this one are complete, however often this one runs
+            self._counters(spark, batch_id).write.mode("overwrite").parquet(
+                f"{self.base_path}/upto={batch_id}")
         batch.write.mode("overwrite").parquet(f"{self.log_path}/batch={batch_id}")
         new = spark.read.parquet(f"{self.log_path}/batch={batch_id}")
-        touched = new.select(*EDGE_KEY).distinct()
-        log = spark.read.parquet(self.log_path).filter(F.col("batch") <= batch_id)
-        fold_evidence(log.join(touched, EDGE_KEY, "left_semi")).write.mode("overwrite").parquet(
-            f"{self.edge_path}/batch={batch_id}")
+        sources_of(new).write.mode("overwrite").parquet(f"{self.part_path}/batch={batch_id}")
+
+    def _merged_upto(self, spark, before) -> int:
+        """Last complete merge below ``before``; 0 if there is none."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.base_path + "/upto=*/_SUCCESS")
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+        ids = [int(f.getPath().getParent().getName().split("=")[1]) for f in found]
+        return max([i for i in ids if before is None or i < before], default=0)
+
+    def _counters(self, spark, before=None) -> DataFrame:
+        """Counters per (edge, source) of the batches below ``before``, or of all."""
+        base = self._merged_upto(spark, before)
+        parts = spark.read.parquet(self.part_path).filter(F.col("batch") >= base)
+        if before is not None:
+            parts = parts.filter(F.col("batch") < before)
+        parts = parts.drop("batch")
+        if base:
+            parts = parts.unionByName(spark.read.parquet(f"{self.base_path}/upto={base}"))
+        return merge_sources(parts)
 
     def edges(self, spark) -> DataFrame:
-        """Current edges: the row of the last batch that touched each edge."""
-        rows = spark.read.parquet(self.edge_path)
-        last = rows.groupBy(*EDGE_KEY).agg(F.max("batch").alias("batch"))
-        return rows.join(last, EDGE_KEY + ["batch"]).drop("batch")
+        """Current edges."""
+        return fold_sources(self._counters(spark))
 
 
 def new_witnesses(log: DataFrame, delay: str = "1 hour") -> DataFrame:
