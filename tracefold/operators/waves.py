@@ -222,6 +222,7 @@ def reach(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """(region, seed, node, hops) reachable within ``depth`` edges of any strength."""
     adj = edges.select("region", F.col("src").alias("node"), F.col("dst").alias("next")) \
         .filter("node <> next").distinct()
+    adj = materialize(adj, "steps")
     key = ["region", "seed", "node"]
     front = seeds.select("region", F.col("label").alias("seed"), F.col("label").alias("node")) \
         .distinct()
@@ -249,6 +250,7 @@ def walks(seeds: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
     """Every simple path of at most ``depth`` edges, with its arrow text."""
     adj = edges.select("region", F.col("src").alias("node"), F.col("dst").alias("next")) \
         .distinct()
+    adj = materialize(adj, "steps")
     front = seeds.select("region", F.col("label").alias("seed"), F.col("label").alias("node"),
                          F.array("label").alias("path")).distinct()
     out = None
@@ -279,6 +281,7 @@ def cluster(labels: DataFrame, edges: DataFrame, depth: int = 2, k: int = None)
                      F.lit(0).alias("in"), F.lit(1).alias("out")))
     adj = both.groupBy("region", "node", "next").agg(F.sum("in").alias("in"),
                                                      F.sum("out").alias("out"))
+    adj = materialize(adj, "steps")
     key = ["region", "start", "node"]
     front = labels.select("region", F.col("label").alias("start"),
                           F.col("label").alias("node")).distinct()

@@ -45,13 +45,12 @@ def fold_geography_evidence(spark, sf_dir):
 for _mode, _init, _src in (("tentative", "0.4", "source_label"),
                            ("error", "2.0", "'error_correction'")):
     def _taught(spark, sf_dir, mode=_mode):
-        rows = evidence.with_mode(
-            tables.market_facts(spark, sf_dir).filter("kind = 'teach'"), mode)
+        rows = evidence.with_mode(tables.market_facts(spark, sf_dir), mode)
         return _edge_columns(evidence.fold_evidence(evidence.teach(rows)))
     query(f"teach_{_mode}", with_graph("market", EDGE_SQL).replace(
         "WITH facts AS (", f"WITH facts AS (SELECT region, subject, relation, obj, ptype, kind, "
         f"{_src} AS source_label, {_init} AS initial_strength, source_text, seq FROM (", 1)
-        .replace("),\nev AS", ") WHERE kind = 'teach'),\nev AS", 1))(_taught)
+        .replace("),\nev AS", ")),\nev AS", 1))(_taught)
 
 
 @query("fold_nodes", with_graph("parts", "SELECT region, label, node_type FROM nodes"))
@@ -383,7 +382,7 @@ act AS (SELECT event_id, lower(node) AS node, round(sum(weight), 6) AS activatio
 SELECT event_id, node, round(weight, 6) AS weight, CAST(sources AS BIGINT) AS sources FROM conv""",
     both_wave(ALL_NODES) + echo_sql(3)))
 def echo_regions(spark, sf_dir):
-    adj = waves.adjacency(graph(spark, sf_dir, "geography", "edges"), bidirectional=True)
+    adj = waves.stored_adjacency(graph(spark, sf_dir, "geography", "edges"), bidirectional=True)
     seeds = region_seeds(spark, sf_dir).withColumn("min_strength", F.lit(0.5))
     return waves.echo(seeds, adj).select("event_id", "node", _r("weight"), "sources")
 
@@ -404,7 +403,7 @@ def bidirectional_wave_suppliers(spark, sf_dir):
     seeds = tables.table(spark, sf_dir, "supplier").select(
         F.lit("geography").alias("region"), F.lower("s_name").alias("seed"),
         F.lit(0.5).alias("min_strength"))
-    out = waves.propagate(seeds, waves.adjacency(edges, bidirectional=True))
+    out = waves.propagate(seeds, waves.stored_adjacency(edges, bidirectional=True))
     return out.select("seed", "node", F.col("hops").cast("bigint"),
                       F.array_join("path", " > ").alias("path"), _r("weight"))
 
