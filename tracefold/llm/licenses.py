@@ -16,9 +16,11 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..sources.scratch import materialize
+from .sampling import thin_out
 
 FEATURES = 1 << 13
 NEGATIVES = 4_000        # ordinary paragraphs in the fit, at most
+NEGATIVE_DOCS = 2_000    # documents they come from, about
 LEAST_COVERAGE = 0.6     # share of a template's bigrams
 UNKNOWN = "unknown"
 
@@ -121,6 +123,7 @@ def _training(docs: DataFrame) -> DataFrame:
     known = spark.createDataFrame(
         [(family, c.format(t)) for family, ts in [*TEMPLATES.items(), (UNKNOWN, PLAIN)] for t in ts for c in CONTEXTS],
         "family string, paragraph string")
+    docs = thin_out(docs, "doc_id", NEGATIVE_DOCS)
     plain = (paragraphs(docs).select(F.xxhash64("paragraph").alias("h"), "paragraph")
              .orderBy("h", "paragraph").limit(NEGATIVES).select("paragraph"))
     share = coverage(F.col("held"))
