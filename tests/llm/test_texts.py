@@ -144,7 +144,7 @@ def test_style_tree_removes_what_repeats(spark):
 
 def test_leaks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "WORDS_AT_ONCE", 300)
-    monkeypatch.setattr(decontaminate, "ITEMS_A_PASS", 12)
+    monkeypatch.setattr(decontaminate, "PIECES_A_PASS", 12)
     items = [(k, " ".join(words(k, 15 + 7 * k)) + ". The answer is " + f"w{k} x{k} y{k}.", 0) for k in range(20)]
     items += [(50, None, 0), (51, "", 0), (52, " ! ", 0), (None, "void item", 0), (3, items[3][1], 0)]
     r, rows, want = random.Random(2), [], set()

@@ -30,12 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..sources.scratch import materialize
+
 WORD = re.compile(r"\w+")
 PIECE = 48               # words of an index piece, at most; half a passage
 WORDS_AT_ONCE = 100_000
 HALF = 64                # words of half a passage
 BLOCK = 4                # pieces whose largest impact is kept per term
-ITEMS_A_PASS = 4_000     # index pieces that travel with one pass
+PIECES_A_PASS = 4_000    # index pieces that travel with one pass
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.6        # share of a piece's own score
 FREE = 0.5               # share of the threshold that frequent terms may add
@@ -201,12 +203,10 @@ class Index:
 
 
 def index_blocks(items: DataFrame):
-    """The index in blocks of about ITEMS_A_PASS pieces, each small enough to travel with tasks."""
+    """The index in blocks of about PIECES_A_PASS pieces, each small enough to travel with tasks."""
     items = items.filter("item_id IS NOT NULL").groupBy("item_id").agg(F.max("text").alias("text"))
-    count = items.count()
-    blocks = max(1, -(-count // ITEMS_A_PASS))
-    # the most even numbers of pieces come from dealing items by hash
-    index = build_index(items)
+    index = materialize(build_index(items), "bm25")
+    blocks = max(1, -(-index.select("item_id", "piece").distinct().count() // PIECES_A_PASS))
     for b in range(blocks):
         mine = F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b
         rows = index.filter(mine).select("item_id", "piece", "word", "df", "impact").collect()
@@ -228,7 +228,7 @@ def find_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = docs.sparkSession.createDataFrame([], schema)
     for index in index_blocks(items):
-        def run(batches, index=index):              # the index is bounded by ITEMS_A_PASS
+        def run(batches, index=index):              # the index is bounded by PIECES_A_PASS
             for batch in batches:
                 rows = [(d, *leak) for d, found in zip(batch.column("doc_id").to_pylist(),
                                                        index.leaks(batch.column("text").to_pylist())) for leak in found]
