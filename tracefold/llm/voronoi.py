@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..sources.scratch import materialize
+from .sampling import thin_out
 
 SCALE = 256
 PIVOTS = 48
@@ -53,7 +54,8 @@ def _by_dimension(column):
 
 def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
     """Pivots by dimension: of a bounded hashed sample, those farthest from one another."""
-    rows = (vectors.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(count * SAMPLE).collect())
+    some = thin_out(vectors, "vec_id", 2 * count * SAMPLE)
+    rows = (some.select("vec").distinct().orderBy(F.xxhash64("vec"), "vec").limit(count * SAMPLE).collect())
     by: dict[int, list] = {}
     for r in rows:
         by.setdefault(len(r.vec), []).append(r.vec)
