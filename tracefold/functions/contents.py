@@ -96,3 +96,9 @@ def primitive_layers(label: Column) -> Column:
     low = F.lower(strip_chars(label, " "))
     return F.array_compact(F.array(*[
         F.when(low.isin(ws.split()), F.lit(layer)) for layer, ws in fixed.PRIMITIVES.items()]))
+
+
+def content_label(prefix: str, stem: Column, content: Column) -> Column:
+    """Label of a piece of content: prefix, name and the first digits of its SHA-256."""
+    name = F.replace(F.lower(stem), F.lit(" "), F.lit("_"))
+    return F.concat_ws("_", F.lit(prefix), name, F.substring(F.sha2(content, 256), 1, 6))

@@ -50,3 +50,15 @@ def triage_rank(cases: DataFrame, group: list[str]) -> DataFrame:
     """Rank scored cases (column urgency) by need within each group."""
     return cases.withColumn("rank", F.rank().over(
         W.partitionBy(*group).orderBy(F.desc("urgency"))))
+
+
+METADATA = "map<string,string>"
+
+
+def metadata_from_json(raw: Column) -> Column:
+    """Metadata of a stored JSON text; null stays null."""
+    return F.from_json(raw, METADATA)
+
+
+def metadata_json(metadata: Column) -> Column:
+    return F.to_json(metadata)

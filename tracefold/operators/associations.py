@@ -81,3 +81,15 @@ def list_question_words(defined: DataFrame) -> DataFrame:
     builtin = defined.sparkSession.range(1).select(F.inline(F.array(*pairs)))
     return (builtin.unionByName(defined.select("question_word", "association"))
             .distinct().orderBy("question_word", "association"))
+
+
+def list_associations(registered: DataFrame) -> DataFrame:
+    """(association, properties): every association with its sorted properties."""
+    return (registered.groupBy("association")
+            .agg(F.sort_array(F.collect_set("property")).alias("properties")))
+
+
+def list_categories(categorized: DataFrame) -> DataFrame:
+    """(category, labels): every category with its sorted labels."""
+    return (categorized.groupBy("category")
+            .agg(F.sort_array(F.collect_set("label")).alias("labels")))

@@ -136,3 +136,14 @@ def retext(paths: DataFrame, replacements: list[tuple[str, str]], seq: int):
 
 def cleaned_log(log: DataFrame, refuting: DataFrame, marks: DataFrame) -> DataFrame:
     return log.unionByName(teach(refuting)).unionByName(marks)
+
+
+def candidate_listing(pollution: DataFrame, paths: DataFrame, kinds: list[str]) -> DataFrame:
+    """(label, kind, path_count, example) of detected labels a user should review.
+
+    The example is the first recorded text at either end of which the label stands.
+    """
+    ends = paths.select("region", F.explode(F.array("origin", "terminus")).alias("label"), "source_text")
+    example = ends.groupBy("region", "label").agg(F.min("source_text").alias("example"))
+    return (pollution.filter(F.col("kind").isin(kinds)).join(example, ["region", "label"])
+            .select("region", "label", "kind", "path_count", "example"))

@@ -54,6 +54,17 @@ def detect_pollution(spark, sf_dir):
     return _pollution(spark, sf_dir).drop("region")
 
 
+REVIEWED = ["article_typo", "pronoun", "question_word_typo", "stopword_subject"]
+
+
+@query("review_candidates", with_documents(f"""
+SELECT label, kind, path_count, min(source_text) AS example FROM polluted JOIN ends USING (label)
+WHERE kind IN ({quoted(REVIEWED)}) GROUP BY ALL""", _POLLUTION))
+def review_candidates(spark, sf_dir):
+    return quality.candidate_listing(_pollution(spark, sf_dir), graph(spark, sf_dir, "documents", "paths"),
+                                     REVIEWED).drop("region")
+
+
 @query("scan_summary", with_documents("""SELECT kind, CAST(count(*) AS BIGINT) AS labels,
   CAST(sum(path_count) AS BIGINT) AS path_count FROM polluted GROUP BY kind""", _POLLUTION))
 def scan_summary(spark, sf_dir):

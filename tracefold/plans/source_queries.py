@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed
+from ..functions import contents, fixed, measures
 from ..operators import answers, associations, evidence, lookup
 from ..sources import files, tables
 from ..sources.scratch import scratch_path
@@ -223,6 +223,53 @@ def categorize(spark, sf_dir):
     return associations.categorize(rows, spark)
 
 
+@query("list_associations", """
+SELECT association, string_agg(property, ',' ORDER BY property) AS properties FROM (
+  SELECT DISTINCT lower(p_type) AS association, lower(p_brand) AS property FROM part)
+GROUP BY association""")
+def list_associations(spark, sf_dir):
+    return associations.list_associations(described(spark, sf_dir)).select(
+        "association", F.array_join("properties", ",").alias("properties"))
+
+
+@query("list_categories", """
+SELECT category, string_agg(label, ',' ORDER BY label) AS labels FROM (
+  SELECT w AS label, arg_max(t, k) AS category FROM (
+    SELECT unnest(string_split(lower(p_name), ' ')) AS w, lower(p_type) AS t, p_partkey AS k
+    FROM part) GROUP BY w
+  UNION ALL
+  SELECT label, category FROM (VALUES """ + ", ".join(
+    f"('{w}', '{c}')" for c, ws in fixed.CATEGORIES.items() for w in ws.split())
+    + ") v(label, category)) GROUP BY category")
+def list_categories(spark, sf_dir):
+    return associations.list_categories(categorize(spark, sf_dir)).select(
+        "category", F.array_join("labels", ",").alias("labels"))
+
+
+@query("content_labels", """
+SELECT doc_id, 'doc_' || replace(lower(source), ' ', '_') || '_' || left(sha256(text), 6) AS label
+FROM documents""")
+def content_labels(spark, sf_dir):
+    return tables.table(spark, sf_dir, "documents").select(
+        "doc_id", contents.content_label("doc", F.col("source"), F.col("text")).alias("label"))
+
+
+@query("event_metadata", """
+SELECT event_type, 'k' AS name, CAST(count(*) AS BIGINT) AS events,
+       CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total,
+       '{"k":"' || min(json_extract_string(props, '$.k')) || '"}' AS first_json
+FROM events WHERE json_extract(props, '$.k') IS NOT NULL GROUP BY event_type""")
+def event_metadata(spark, sf_dir):
+    """JSON metadata of events read as a map, aggregated, and written back."""
+    rows = tables.table(spark, sf_dir, "events").select(
+        "event_type", F.explode(measures.metadata_from_json(F.col("props"))).alias("name", "value"))
+    return rows.groupBy("event_type", "name").agg(
+        F.count("*").alias("events"), F.sum(F.col("value").cast("bigint")).alias("total"),
+        F.min("value").alias("least")).select(
+        "event_type", "name", "events", "total",
+        measures.metadata_json(F.create_map("name", "least")).alias("first_json"))
+
+
 @query("resolve_question_words", """
 WITH d AS (SELECT lower(p_type) AS association, CASE WHEN lower(p_type) = 'promo' THEN 'how'
                 ELSE 'which' END AS question_word FROM part GROUP BY ALL),
@@ -338,18 +385,82 @@ def stream_activity_windows(spark, sf_dir):
         "window_start", "kind", "events", F.round("value", 4).alias("value"))
 
 
-@query("working_memory_sessions", """
+def _staged(spark, frames, build):
+    """Run a stream over files that arrive one frame after the other; what it has appended."""
+    source, out, state = (scratch_path(spark, f"staged-{x}") for x in ("in", "out", "state"))
+    for frame in frames:
+        frame.write.mode("append").parquet(source)
+        stream = build(spark.readStream.schema(frame.schema).parquet(source))
+        q = (stream.writeStream.outputMode("append").format("parquet").option("path", out)
+             .option("checkpointLocation", state).trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def _events(spark, sf_dir):
+    return tables.table(spark, sf_dir, "events").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+
+
+def _one_event(spark, like, days, kind):
+    """One row of another kind, ``days`` from the last event."""
+    last = like.agg(F.max("ts").alias("ts"))
+    return last.select(F.lit(-1).cast("bigint").alias("event_id"),
+                       F.expr(f"ts + INTERVAL {days} DAYS").alias("ts"),
+                       F.lit(-1).cast(like.schema["user_id"].dataType).alias("user_id"),
+                       F.lit(kind).alias("event_type"), F.lit(1.0).alias("value"))
+
+
+@query("stream_late_events", ACTIVITY_SQL)
+def stream_late_events(spark, sf_dir):
+    """A row far ahead closes all windows; one older than the watermark then changes none."""
+    events = _events(spark, sf_dir)
+    frames = [events, _one_event(spark, events, 30, "ahead"), _one_event(spark, events, -1, "late"),
+              _one_event(spark, events, 30, "ahead")]
+    return _staged(spark, frames, lambda s: incremental.activity(
+        s.withColumnRenamed("event_type", "kind"))).select(
+        "window_start", "kind", "events", F.round("value", 4).alias("value"))
+
+
+@query("stream_new_witnesses", """
+SELECT DISTINCT CAST(user_id AS VARCHAR) AS src, event_type AS dst,
+       's' || (event_id % 7) AS source_label FROM events""")
+def stream_new_witnesses(spark, sf_dir):
+    """A source that says the same again is no new witness of the edge."""
+    rows = _stream(spark, sf_dir, "events").select(
+        F.lit("events").alias("region"), F.col("user_id").cast("string").alias("src"),
+        F.col("event_type").alias("dst"), F.lit("did").alias("relation"),
+        F.concat(F.lit("s"), (F.col("event_id") % 7).cast("string")).alias("source_label"),
+        F.col("ts").cast("timestamp").alias("ts"))
+    return _run(incremental.new_witnesses(rows, "100000 hours")).select("src", "dst", "source_label")
+
+
+SESSIONS_SQL = """
 WITH n AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts)
              < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS f FROM events),
 g AS (SELECT *, sum(f) OVER (PARTITION BY user_id, event_type ORDER BY ts
                              ROWS UNBOUNDED PRECEDING) AS grp FROM n)
 SELECT user_id AS conversation, min(ts) AS session_start, event_type AS node,
        round(sum(value), 4) AS weight, CAST(count(DISTINCT event_id % 7) AS BIGINT) AS sources
-FROM g GROUP BY user_id, event_type, grp""")
-def working_memory_sessions(spark, sf_dir):
-    rows = tables.table(spark, sf_dir, "events").select(
+FROM g GROUP BY user_id, event_type, grp"""
+
+
+def _memory(rows):
+    hits = rows.select(
         F.col("user_id").alias("conversation"), "ts", F.col("event_type").alias("node"),
         (F.col("event_id") % 7).alias("seed"), F.col("value").alias("weight"))
-    return incremental.working_memory(rows).select(
+    return incremental.working_memory(hits).select(
         "conversation", "session_start", "node", F.round("weight", 4).alias("weight"),
         F.col("sources").cast("bigint"))
+
+
+@query("stream_working_memory", SESSIONS_SQL)
+def stream_working_memory(spark, sf_dir):
+    """Sessions of a stream; a row far ahead closes them all."""
+    events = _events(spark, sf_dir)
+    return _staged(spark, [events, _one_event(spark, events, 30, "ahead")], _memory)
+
+
+@query("working_memory_sessions", SESSIONS_SQL)
+def working_memory_sessions(spark, sf_dir):
+    return _memory(_events(spark, sf_dir))
