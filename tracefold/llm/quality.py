@@ -21,6 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from .sampling import thin_out
+
 BUCKETS = 1 << 18
 SAMPLE = 12_000         # rated documents that the model is fitted on, at most
 FEATURES = 400        # hashed features with a weight, at most
@@ -200,7 +202,8 @@ def fit_grades(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> tup
     grades of one document the worst counts.  With ratings of fewer than two
     grades there is nothing to learn: no weights, no thresholds.
     """
-    chosen = (ratings.filter("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id")
+    ratings = ratings.filter("grade IS NOT NULL AND doc_id IS NOT NULL")
+    chosen = (thin_out(ratings, "doc_id", 2 * sample).groupBy("doc_id")
               .agg(F.min("grade").cast("int").alias("grade"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     grades = [r[0] for r in chosen.groupBy("grade").count().orderBy("grade").collect()]
