@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import fixed, measures
 from ..functions.strings import strip
+from ..sources.scratch import materialize
 
 EDGE_KEY = ["region", "src", "dst", "relation"]
 LOG_COLUMNS = EDGE_KEY + ["src_type", "dst_type", "kind", "source_label", "initial_strength",
@@ -217,14 +218,18 @@ def paths_of(fact_rows: DataFrame) -> DataFrame:
     return fact_rows.select("region", "statement_id", "seq", "source_text", F.inline(both))
 
 
-def running_strength(log: DataFrame, buckets: int = 64) -> DataFrame:
+def running_strength(log: DataFrame, rows_per_range: int = 100_000) -> DataFrame:
     """Audit view: counters and strength of an edge after each of its events.
 
-    Running totals are cut into ``buckets`` ranges of seq: totals inside a range
+    Running totals are cut into ranges of seq that hold about ``rows_per_range``
+    rows, 64 ranges at least: totals inside a range
     come from a window over (edge, range), what went before from the per-range
     totals.  One edge holding a large share of the log is thus many groups.
     """
-    span = log.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    log = materialize(log.select(*EDGE_KEY, "kind", "source_label", "initial_strength", "seq", "step"),
+                      "audit-log")
+    span = log.agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"), F.count("*").alias("n")).first()
+    buckets = max(64, span.n // rows_per_range)
     width = max(1, ((span.hi or 0) - (span.lo or 0)) // buckets + 1)
     rows = log.withColumn("b", F.floor((F.col("seq") - F.lit(span.lo or 0)) / F.lit(width)))
     order = [F.col("seq"), F.col("step"), F.col("kind")]
