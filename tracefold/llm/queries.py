@@ -12,8 +12,8 @@ from .mixing import MIX_SQL, mix_sources
 from .quality import fit_grades, grade_documents, ratings_from_labels
 from .registry import ORACLES, QUERIES, query, read  # noqa: F401
 from .sharding import assign_shards
+from .sql import CHAT_SQL, LEAK_SQL, NEAR_SQL
 from .voronoi import TOP_SQL, top_products
-from .sql import CHAT_SQL, NEAR_SQL
 
 SHARDS = 8
 
@@ -55,7 +55,7 @@ def op8_quality_grades(spark, sf_dir):
     return grade_documents(docs, model)
 
 
-@query("op7_decontaminate")
+@query("op7_decontaminate", LEAK_SQL)
 def op7_decontaminate(spark, sf_dir):
     return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 

@@ -41,3 +41,51 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id"""
+
+LEAK_SQL = r"""
+WITH item AS (
+  SELECT item_id, trim(max(text), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id),
+iw AS (SELECT item_id, t, regexp_extract_all(lower(t), '[\p{L}\p{N}_]+') AS w FROM item),
+parts AS (
+  SELECT item_id, p, w[p * len(w) // n + 1 : (p + 1) * len(w) // n] AS part FROM (
+    SELECT item_id, w, n, unnest(range(0, n)) AS p FROM (
+      SELECT item_id, w, greatest(1, CAST(ceil(len(w) / 48.0) AS BIGINT)) AS n FROM iw) x) y),
+terms AS (
+  SELECT item_id, p, word, count(*) AS tf, any_value(n) AS n FROM (
+    SELECT item_id, p, len(part) AS n, unnest(part) AS word FROM parts) x GROUP BY item_id, p, word),
+stats AS (SELECT count(*) AS pieces, avg(n) AS mean FROM (SELECT DISTINCT item_id, p, n FROM terms)),
+df AS (SELECT word, count(*) AS df FROM terms GROUP BY word),
+raw AS (
+  SELECT item_id, p, word, ln(1 + (pieces - df + 0.5) / (df + 0.5)) * tf * 2.2
+         / (tf + 1.2 * (0.25 + 0.75 * n / mean)) AS r FROM terms JOIN df USING (word), stats),
+impacts AS (SELECT item_id, p, word, r / sum(r) OVER (PARTITION BY item_id, p) AS impact FROM raw),
+dw AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents),
+placed AS (SELECT doc_id, (i - 1) // 64 AS half, w[i] AS word FROM (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw)),
+passages AS (
+  SELECT DISTINCT doc_id, unnest([half, half - 1]) AS passage, word FROM placed
+  WHERE word IN (SELECT word FROM df)),
+scored AS (
+  SELECT doc_id, item_id, sum(impact) AS score FROM passages JOIN impacts USING (word)
+  GROUP BY doc_id, passage, item_id, p HAVING sum(impact) >= 0.6 - 1e-12),
+found AS (SELECT doc_id, item_id, max(score) AS score FROM scored GROUP BY doc_id, item_id),
+cut AS (
+  SELECT item_id, t, list_max(list_filter(range(1, len(t)), lambda e:
+    regexp_matches(substr(t, 1, e), '([.!?:]\s+|\n)$') AND regexp_matches(substr(t, 1, e), '[\p{L}\p{N}_]')
+    AND regexp_matches(substr(t, e + 1), '[\p{L}\p{N}_]'))) AS e FROM iw),
+halves AS (
+  SELECT item_id, regexp_extract_all(lower(CASE WHEN e IS NULL THEN t ELSE substr(t, 1, e) END), '[\p{L}\p{N}_]+') AS q,
+    list_distinct(regexp_extract_all(lower(CASE WHEN e IS NULL THEN t ELSE substr(t, e + 1) END), '[\p{L}\p{N}_]+')) AS a
+  FROM cut),
+runs AS (
+  SELECT f.doc_id, f.item_id, f.score, h.a, d.w, least(3, len(h.q)) AS n,
+    list_distinct(list_transform(range(1, len(h.q) - least(3, len(h.q)) + 2),
+      lambda i: array_to_string(h.q[i : i + least(3, len(h.q)) - 1], ' '))) AS asked
+  FROM found f JOIN halves h USING (item_id) JOIN dw d USING (doc_id)),
+shares AS (
+  SELECT doc_id, item_id, score, len(list_intersect(a, w)) / len(a) AS ao,
+    len(list_intersect(asked, list_transform(range(1, len(w) - n + 2),
+      lambda i: array_to_string(w[i : i + n - 1], ' ')))) / len(asked) AS qo FROM runs)
+SELECT doc_id, item_id, round(score, 4) AS score, round(qo, 4) AS question_overlap,
+       round(ao, 4) AS answer_overlap FROM shares WHERE qo >= 0.5 AND ao >= 0.5"""
