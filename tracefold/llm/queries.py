@@ -42,10 +42,11 @@ def op3_format_chats(spark, sf_dir):
 
 @query("op10_shards")
 def op10_shards(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    # the digest is taken before rows are numbered, so that texts don't travel
+    docs = read(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
     return assign_shards(docs, SHARDS).select(
-        "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op8_quality_grades")

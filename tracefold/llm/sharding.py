@@ -18,12 +18,12 @@ is a third of the corpus doesn't set the capacity of the others.
 import bisect
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..sources.scratch import materialize
 
 DIGITS = 3           # hexadecimal digits by which a prefix is opened: 4096 ways
-CELLS = 256          # slots are counted in so many cells a shard
+CELL_ROWS = 100_000  # rows of all shards whose slots are counted together, about
 
 
 class _Line:
@@ -161,26 +161,25 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     rows = docs.withColumns({"size": size})
     groups = materialize(rows.select(key.alias("key"), "size").groupBy("key")
-                         .agg(F.sum("size").alias("size")), "groups")
+                         .agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "groups")
     alone, firsts = plan_cuts(groups, shards)
-    return number_rows(rows.withColumn("shard", shard_of(key, alone, firsts)))
-
-
-def number_rows(rows: DataFrame) -> DataFrame:
-    """Add slot, the place of each row in its shard."""
-    from pyspark.sql import Window
-
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).cast("int")
-    rows = rows.withColumn("_cell", cell)
-    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("shard", "_cell").count().collect()}
-    base, offsets = {}, {}
-    for shard, c in sorted(counts):
-        offsets.setdefault(shard, [0] * CELLS)[c] = base.get(shard, 0)
-        base[shard] = base.get(shard, 0) + counts[shard, c]
-    start = F.lit(0)
-    if offsets:
-        table = F.array(*[F.array(*[F.lit(x).cast("long") for x in offsets.get(s, [0] * CELLS)])
-                          for s in range(max(offsets) + 1)])
-        start = table[F.col("shard")][F.col("_cell")]
+    expected = groups.agg(F.sum("rows")).first()[0] or 0
+    return number_rows(rows.withColumn("shard", shard_of(key, alone, firsts)), expected)
+
+
+def number_rows(rows: DataFrame, expected: int) -> DataFrame:
+    """Add slot, the place of each row in its shard.
+
+    Rows are counted in cells of about CELL_ROWS rows by a hash of doc_id, so
+    neither a shard nor a hot text is numbered in one task; a cell's first slot
+    is the number of rows in the cells before it.
+    """
+    cells = max(16, expected // CELL_ROWS)
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialize(
+        rows.groupBy("shard", "_cell").agg(F.count("*").alias("n"))
+        .select("shard", "_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "cells")
     place = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("doc_id")) - 1
-    return rows.withColumn("slot", (start + place).cast("long")).drop("_cell")
+    return (rows.join(starts, ["shard", "_cell"])
+            .withColumn("slot", (F.col("_start") + place).cast("long")).drop("_cell", "_start"))
