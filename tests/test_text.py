@@ -240,7 +240,7 @@ def test_files(spark, tmp_path):
     assert nodes.count() == 2 and edges.collect()[0].refutations == 2
     assert paths.collect()[0].steps[0].dst == "apple"
     files.export_dot(nodes, edges, str(tmp_path / "dot"))
-    assert spark.read.text(str(tmp_path / "dot")).count() == 3 + 2 + 1 + 1
+    assert spark.read.text(str(tmp_path / "dot")).count() == 1 + 2 + 1 + 1
 
 
 def test_shuffle_choices_moves_the_answer(spark):
