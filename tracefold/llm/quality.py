@@ -26,8 +26,8 @@ from .sampling import thin_out
 BUCKETS = 1 << 18
 SAMPLE = 12_000         # rated documents that the model is fitted on, at most
 FEATURES = 400        # hashed features with a weight, at most
-SIGNIFICANT = 6.0       # standard errors between the means of two grades
-LEAST_TEXTS = 10        # rated texts that must hold a feature
+SIGNIFICANT = 5.0       # standard errors between the means of two grades
+LEAST_TEXTS = 3        # rated texts that must hold a feature
 RIDGE = 1e-6
 NEWTON_STEPS = 60
 CACHE_TOKENS = 400_000
@@ -100,13 +100,14 @@ def screen(ids, values, lengths, grades, grades_n: int, most: int) -> np.ndarray
     sums = [np.bincount(ids[row_grade == k], values[row_grade == k], BUCKETS) for k in range(grades_n)]
     squares = [np.bincount(ids[row_grade == k], values[row_grade == k] ** 2, BUCKETS) for k in range(grades_n)]
     held = np.bincount(ids, minlength=BUCKETS)
-    chosen = []
-    for k in range(grades_n - 1):
-        n = counts[k] + counts[k + 1]
-        mean = (sums[k] + sums[k + 1]) / n
-        spread = np.maximum((squares[k] + squares[k + 1]) / n - mean ** 2, 0)
-        z = np.abs(sums[k] / counts[k] - sums[k + 1] / counts[k + 1]) / np.sqrt(
-            spread * (1 / counts[k] + 1 / counts[k + 1]) + 1e-18)
+    chosen = [np.zeros(0, np.int64)]
+    rated = np.flatnonzero(np.bincount(grades, minlength=grades_n))
+    for j, k in zip(rated, rated[1:]):
+        n = counts[j] + counts[k]
+        mean = (sums[j] + sums[k]) / n
+        spread = np.maximum((squares[j] + squares[k]) / n - mean ** 2, 0)
+        z = np.abs(sums[j] / counts[j] - sums[k] / counts[k]) / np.sqrt(
+            spread * (1 / counts[j] + 1 / counts[k]) + 1e-9)
         z[held < LEAST_TEXTS] = 0
         best = np.argsort(-z, kind="stable")[:most // (grades_n - 1)]
         chosen.append(best[z[best] > SIGNIFICANT])
