@@ -153,7 +153,9 @@ def dedup_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
         docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .mapInArrow(_hash_rows, "doc_id long, lines array<long>").dropDuplicates(["doc_id"]), "lines")
     held = lines.select("doc_id", F.explode(F.array_distinct("lines")).alias("h")).filter(F.col("h") != BLANK)
-    repeated = held.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("first")).filter("df > 1")
+    # written before it is joined back: a plain join can be split where a line is hot
+    repeated = materialize(held.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("first"))
+                           .filter("df > 1"), "repeated-lines")
     hits = materialize(held.join(repeated, "h").filter("doc_id <> first"), "line-hits")
     pairs = hits.filter(F.col("df") <= rare).select("doc_id", "first").distinct()
     gone = (pairs.join(lines.withColumnRenamed("lines", "later"), "doc_id")
