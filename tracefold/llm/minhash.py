@@ -203,15 +203,14 @@ def _deal(rest: DataFrame) -> DataFrame:
     those also meet one another.
     """
     counts = rest.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    # what is joined back is written first: a plain join can be split where a bucket is hot
-    home = materialize(counts.groupBy("bucket").agg(
-        F.max_by("component", F.struct("c", "component")).alias("home")), "homes")
+    home = counts.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component"))
+                                        .alias("home"))
     rest = rest.join(home, "bucket").withColumn("outside", F.col("component") != F.col("home"))
     need = F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    blocks = materialize(rest.groupBy("bucket").agg(
+    blocks = rest.groupBy("bucket").agg(
         F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("outside"), F.col("n_shingles")))
                                     / BLOCK_SHINGLES)).cast("int").alias("n_out"),
-        need.alias("n_all")), "blocks")
+        need.alias("n_all"))
     rest = rest.join(blocks, "bucket").withColumn("h", F.xxhash64("id"))
     own = F.pmod("h", F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_all"))).cast("int")
     # outside block o meets outside block p >= o as (o, p) and home block g as (o, n_out + g)
@@ -244,9 +243,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
                        .dropDuplicates(["doc_id"])
                        .select(F.col("doc_id").alias("id"), "n_shingles", "sig", "bands"), "reps")
     members = reps.select("id", "n_shingles", F.explode("bands").alias("bucket"))
-    buckets = materialize(
-        members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
-        .filter("n > 1"), "buckets")
+    buckets = (members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("leader"))
+               .filter("n > 1"))
     members = materialize(members.join(buckets, "bucket"), "members")
 
     small = members.filter(F.col("n") <= SMALL_BUCKET)
