@@ -139,6 +139,27 @@ def test_style_tree_removes_what_repeats(spark):
     assert got[105].text == "copy" and got[200].text == "" and got[201].n_chars == 0 and got[None].text == "z"
     assert htmltext.extract_text(df.limit(0)).count() == 0
 
+
+def test_repetition_leaves_near_copies_and_unique_texts(spark):
+    """A text that most pages of a host share stays, on them and beside unique ones; what stands beside texts goes."""
+    same = "The same long report stands on most pages of this host, word for word. " * 3
+    forms = {"a": "<body><div class=top>Menu {i}</div><article><div class=body><p>{t}</p></div></article>",
+             "b": "<body><div class=top><p>On day {i}</div><div class=x><p>{t}</p><ul><li>{t}</ul></div>",
+             "c": "<body><div class=wrap><main><section>{t}</section></main></div>{i}",
+             "d": "<body><div class=y><p>{t}</p></div><div class=end><p>Bottom line</p></div>"}
+    rows = [(1000 * k + i, f"http://{h}.example/{i}", form.format(i=i, t=same if i < 36 else f"Own text {i} " * 20))
+            for k, (h, form) in enumerate(forms.items()) for i in range(40)]
+    rows += [(9000 + i, "http://e.example/", f"<body><div><p>{'Bottom text' if i < 36 else 'My bottom'}</p></div><pre>Text {i} of its own</pre>")
+             for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in htmltext.extract_text(df).collect()}
+    for i in range(40):
+        text = same.strip() if i < 36 else (f"Own text {i} " * 20).strip()
+        assert got[i] == got[2000 + i] == text
+        assert got[1000 + i] == f"On day {i}\n{text}\n{text}"
+        assert got[3000 + i].split("\n")[0] == text
+        assert got[9000 + i] == ("" if i < 36 else "My bottom\n") + f"Text {i} of its own"
+
 # decontamination
 
 
