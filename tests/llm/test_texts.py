@@ -53,6 +53,41 @@ def test_lines_match_a_plain_version(spark):
         assert x.text == "\n".join(t for k, t in enumerate(texts[x.doc_id]) if k not in want[x.doc_id])
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=12), st.lists(st.integers(0, 3), max_size=12), st.sampled_from([1, 20, 1 << 28]))
+def test_longest_common_subsequence(a, b, cells):
+    old, linededup.LCS_CELLS = linededup.LCS_CELLS, cells
+    try:
+        m = linededup.longest_common(a, b)
+    finally:
+        linededup.LCS_CELLS = old
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    assert len(m) == best[-1][-1] and all(a[i] == b[j] for i, j in m)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(m, m[1:]))
+
+
+def test_no_anchor_is_needed():
+    assert linededup.common_blocks([9, 1, 0, 2, 1, 0, 2, 8], [7, 1, 0, 2, 5, 1, 0, 2, 6]) == [1, 2, 3, 5, 6, 7]
+    assert linededup.common_blocks([1, 2, 3], [4, 3, 5, 2, 2, 0]) == [1, 3, 4]
+
+
+def test_lines_go_however_many_documents_hold_them(spark):
+    """Repeated in a document, out of order, blank between: the same for 2, 64 and 65 holders."""
+    rows = []
+    for k, holders in enumerate((2, 64, 65)):
+        rows += [(1000 * k, f"x{k}\na{k}\n\nb{k}\nc{k}\na{k}\ny{k}", "s")]
+        rows += [(1000 * k + i, f"own {k} {i}\ny{k}\na{k}\n\nb{k}\nc{k}\na{k}\nmore {k} {i}", "s") for i in range(1, holders)]
+    got = {r.doc_id: r for r in linededup.dedup_lines(documents(spark, rows)).collect()}
+    for i, t, _ in rows:
+        if i % 1000:
+            assert got[i].text == f"own {i // 1000} {i % 1000}\nmore {i // 1000} {i % 1000}" and got[i].n_removed == 6
+        else:
+            assert got[i].text == t
+
+
 def test_line_edges(spark):
     df = documents(spark, [*EDGES, (7, "one\n\nnew", "a"), (8, "one", "a")])
     out = linededup.dedup_lines(df)

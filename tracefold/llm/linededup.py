@@ -1,13 +1,12 @@
 """Line dedup by pairwise alignment.
 
 A line is hashed without the white space around it.  Every repeated line knows
-its first holder, the smallest doc_id.  For rare lines (in at most ``rare``
-documents) each further holder is paired with the first one, so pairs stay
-linear in the repeated lines; a pair is aligned by patience diff and the
-aligned common blocks are deleted from the later document.  Lines in more
-documents than that need no alignment to be known as repeated: each is a block
-of one line, deleted from all documents but the first holder.  Nothing is left
-out: the first way covers rare lines with their order, the second the rest.
+its first holder, the smallest doc_id.  Each further holder is paired with the
+first one, so pairs stay linear in the repeated lines; a pair is aligned by
+patience diff, and by a longest common subsequence where no line is unique.
+The aligned common blocks are deleted from the later document, and so is each
+line of the earlier one that stands elsewhere in the later, as a block of one
+line.  One rule holds however many documents share a line.
 """
 
 from bisect import bisect_left
@@ -19,8 +18,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import materialize
 
-RARE = 64
 BLANK = 0
+LCS_CELLS = 1 << 28     # bits of one table of a longest common subsequence
 
 
 def line_hashes(text: str | None) -> list[int]:
@@ -53,11 +52,65 @@ def _longest_increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _lcs_rows(a: list, b: list):
+    """After each line of b the bits of a: 0 where the subsequence with this prefix of a is one longer."""
+    places, full = {}, (1 << len(a)) - 1
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    row = full
+    for x in b:
+        hit = row & places.get(x, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lcs_lengths(a: list, b: list) -> list[int]:
+    """Length of the longest common subsequence of b with each prefix of a."""
+    row = (1 << len(a)) - 1
+    for row in _lcs_rows(a, b):
+        pass
+    out = [0]
+    for bit in reversed(bin(row)[2:].zfill(len(a))) if a else ():
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
+def longest_common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence; long stretches are halved until a table is small."""
+    both = set(a) & set(b)
+    at_a, at_b = ([i for i, x in enumerate(y) if x in both] for y in (a, b))
+    a, b = [a[i] for i in at_a], [b[j] for j in at_b]
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if a0 == a1 or b0 == b1:
+            continue
+        if b1 - b0 > 1 and (a1 - a0) * (b1 - b0) > LCS_CELLS:
+            half = (b0 + b1) // 2
+            left = _lcs_lengths(a[a0:a1], b[b0:half])
+            right = _lcs_lengths(a[a0:a1][::-1], b[half:b1][::-1])[::-1]
+            cut = a0 + max(range(len(left)), key=lambda i: left[i] + right[i])
+            todo += [(a0, cut, b0, half), (cut, a1, half, b1)]
+            continue
+        rows = list(_lcs_rows(a[a0:a1], b[b0:b1]))
+        i, j = a1 - a0, b1 - b0
+        while i and j:
+            if rows[j - 1] >> i - 1 & 1:
+                i -= 1
+                continue
+            j -= 1
+            if not j or rows[j - 1] >> i - 1 & 1:
+                i -= 1
+                out.append((at_a[a0 + i], at_b[b0 + j]))
+    return sorted(out)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Matched positions of equal lines in a and b, increasing in both.
 
     Lines unique in both stretches are anchors; equal lines next to anchors and
-    at the ends of a stretch match too; stretches between matches are handled alike.
+    at the ends of a stretch match too; stretches between matches are handled alike,
+    those without an anchor by a longest common subsequence.
     """
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
@@ -78,6 +131,7 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
                    if i >= 0 and x != BLANK and place_b.get(x, -1) >= 0]
         anchors = _longest_increasing(sorted(anchors))
         if not anchors:
+            out += [(a0 + i, b0 + j) for i, j in longest_common(a[a0:a1], b[b0:b1])]
             continue
         last_a, last_b = a0, b0
         for i, j in anchors:
@@ -89,15 +143,16 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 
 def common_blocks(earlier: list[int], later: list[int]) -> list[int]:
-    """Positions in later of the aligned common blocks that hold more than blank lines."""
-    out, run = [], []
+    """Positions in later of lines of earlier, with the blank ones inside aligned common blocks."""
+    held = set(earlier) - {BLANK}
+    out, run = {j for j, x in enumerate(later) if x in held}, []
     for i, j in [*patience(earlier, later), (-9, -9)]:
         if run and (i != run[-1][0] + 1 or j != run[-1][1] + 1):
             if any(later[q] != BLANK for _, q in run):
-                out += [q for _, q in run]
+                out.update(q for _, q in run)
             run = []
         run.append((i, j))
-    return out
+    return sorted(out)
 
 
 def _hash_rows(batches):
@@ -137,7 +192,7 @@ def _remove(batches):
         yield pa.RecordBatch.from_pydict(out)
 
 
-def dedup_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
+def dedup_lines(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """docs without lines that an earlier document holds; adds n_lines, n_removed.
 
     docs: doc_id long, text string; further columns pass through, but n_lines,
@@ -146,7 +201,9 @@ def dedup_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     A text whose lines are all deleted becomes empty; null texts stay null with
     0 lines, rows without doc_id stay as they are.  doc_id is a key: rows that
     repeat it must repeat the text and lose the same lines.  Lines repeated
-    inside one document stay, unless another document held them first.
+    inside one document stay, unless another document held them first.  With
+    ``rare``, lines in more documents than that go without alignment, so that
+    blank lines between them stay; other lines fare alike.
     """
     docs = docs.drop("n_lines", "n_removed", "_gone", "_hot")
     lines = materialize(
@@ -157,11 +214,11 @@ def dedup_lines(docs: DataFrame, rare: int = RARE) -> DataFrame:
     repeated = materialize(held.groupBy("h").agg(F.count("*").alias("df"), F.min("doc_id").alias("first"))
                            .filter("df > 1"), "repeated-lines")
     hits = materialize(held.join(repeated, "h").filter("doc_id <> first"), "line-hits")
-    pairs = hits.filter(F.col("df") <= rare).select("doc_id", "first").distinct()
+    pairs = (hits if rare is None else hits.filter(F.col("df") <= rare)).select("doc_id", "first").distinct()
     gone = (pairs.join(lines.withColumnRenamed("lines", "later"), "doc_id")
             .join(lines.toDF("first", "earlier"), "first").mapInArrow(_align, "doc_id long, gone array<int>"))
     gone = gone.select("doc_id", "gone", F.lit(None).cast("long").alias("hot"))
-    hot = hits.filter(F.col("df") > rare).select("doc_id", F.lit(None).cast("array<int>").alias("gone"), F.col("h").alias("hot"))
+    hot = hits.filter(F.lit(False) if rare is None else F.col("df") > rare).select("doc_id", F.lit(None).cast("array<int>").alias("gone"), F.col("h").alias("hot"))
     # at most one entry per line of the document
     changes = gone.union(hot).groupBy(F.col("doc_id").alias("_id")).agg(
         F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"), F.collect_list("hot").alias("_hot"))
