@@ -6,7 +6,8 @@ features is shared by all grades, and K-1 ordered thresholds cut its score:
     P(grade <= k | x) = sigmoid(threshold_k - w.x)
 
 Expected grade and tail probabilities P(grade >= k) follow, and documents are
-selected on a tail.  The model is fitted in one task on a bounded sample of
+selected on the tail of the best grade.  Its threshold is moved to where, in held-out
+parts of the ratings, a text is as likely to have the best grade as not.  The model is fitted in one task on a bounded sample of
 rated documents (``sample`` rows, smallest hashes first); its size depends on
 the number of hash buckets alone.  Every document is scored whole, in one pass
 without a shuffle.
@@ -31,9 +32,8 @@ LEAST_TEXTS = 3        # rated texts that must hold a feature
 RIDGE = 1e-6
 NEWTON_STEPS = 60
 CACHE_TOKENS = 400_000
-# Grades weigh alike in the fit; where good texts are several times as many as the
-# others, an even chance lies at a smaller tail.
-LEAST_TAIL = 0.3
+FOLDS = 4               # parts of the ratings, each graded by a model of the others
+LEAST_TAIL = 0.5
 _CORE = re.compile(r"\w+")
 REPEATED = 0            # bucket of the share of tokens that repeat the one before
 
@@ -171,6 +171,36 @@ def fit(ids, values, lengths, grades, grades_n: int, most: int = FEATURES, ridge
     return full, cuts + mean @ w
 
 
+def even_point(ids, values, lengths, grades, grades_n: int) -> float:
+    """Score above the last threshold at which the best grade is as likely as the others together.
+
+    Held-out parts are scored by models of the other parts; a logistic regression of the best grade
+    on these scores, ratings weighing as they occur, gives the point.  If it tells nothing the point
+    lies below all scores, so that documents stay.
+    """
+    n = len(lengths)
+    rows = np.repeat(np.arange(n), lengths)
+    fold = np.bincount(rows, ids, n).astype(np.int64) % FOLDS      # equal texts share a part
+    score = np.full(n, np.nan)
+    for k in range(FOLDS):
+        held, here = fold == k, (fold == k)[rows]
+        if held.any() and len(np.unique(grades[~held])) > 1:
+            weights, cuts = fit(ids[~here], values[~here], lengths[~held], grades[~held], grades_n)
+            score[held] = np.bincount(rows[here], weights[ids[here]] * values[here], n)[held] - cuts[-1]
+    known = ~np.isnan(score)
+    x, y = np.stack([score[known], np.ones(known.sum())]), (grades[known] == grades_n - 1) * 1.0
+    if not 0 < y.sum() < len(y):
+        return 0.0
+    line = np.array([1.0, 0.0])
+    for _ in range(NEWTON_STEPS):
+        p = _sigmoid(line @ x)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)) @ x.T + 1e-6 * np.eye(2), x @ (y - p))
+        line = line + np.clip(step, -1, 1)
+    p, share = np.where(y == 1, _sigmoid(line @ x), 1 - _sigmoid(line @ x)), y.mean()
+    gain = np.log(np.maximum(p, 1e-12)).sum() - len(y) * (share * np.log(share) + (1 - share) * np.log(1 - share))
+    return float(-line[1] / line[0] if line[0] > 0 and gain > 2 else x[0].min() - 1)
+
+
 _FEATURES = "grade int, ids array<int>, vals array<float>"
 
 
@@ -188,7 +218,10 @@ def _fit_group(grades_n: int):
         grades = table.column("grade").to_numpy()
         ids, vals = table.column("ids").combine_chunks(), table.column("vals").combine_chunks()
         lengths = np.diff(ids.offsets.to_numpy())
-        weights, cuts = fit(ids.flatten().to_numpy(), vals.flatten().to_numpy(), lengths, grades, grades_n)
+        rated = ids.flatten().to_numpy(), vals.flatten().to_numpy(), lengths, grades, grades_n
+        weights, cuts = fit(*rated)
+        even = cuts[-1] + even_point(*rated)
+        cuts = np.append(np.minimum(cuts[:-1], even), even)
         held = np.flatnonzero(weights)
         return pa.table({"bucket": pa.array(np.concatenate([held, -1 - np.arange(len(cuts))]), pa.int32()),
                          "weight": pa.array(np.concatenate([weights[held], cuts]), pa.float64())})
