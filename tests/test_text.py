@@ -268,3 +268,10 @@ def test_teach_texts_modes(spark):
     assert {(r.subject, r.kind) for r in plain} == {("apple", "teach"), ("when", "teach")}
     careful = teaching.teach_texts(df, "tentative").collect()
     assert [(r.subject, r.kind, r.initial_strength) for r in careful] == [("apple", "refute", 0.4)]
+
+
+def test_note_of_a_date_link_holds_the_whole_text(spark):
+    text = "the school opened " + "very " * 40 + "early in 1989 at last"
+    df = spark.createDataFrame([("main", "school", text, 1)], "region string, fact string, text string, seq long")
+    rows = dates.link_dates(df, datetime.date(2026, 3, 1)).collect()
+    assert rows and all(r.source_text.endswith(" from: " + text) for r in rows)

@@ -50,8 +50,7 @@ def link_dates(df: DataFrame, as_of: datetime.date) -> DataFrame:
         F.get(temporal_relations(F.col("text")), F.lit(0)), F.lit("during")))
     rows = df.withColumn("relation_name", relation).withColumn(
         "d", F.explode(extract_dates(F.col("text"), as_of)))
-    note = F.concat(F.lit("[temporal] linked to "), F.col("d.label"), F.lit(" from: "),
-                    F.substring("text", 1, 100))
+    note = F.concat(F.lit("[temporal] linked to "), F.col("d.label"), F.lit(" from: "), F.col("text"))
 
     def row(src, dst, rel, st, dt):
         return F.struct(src.alias("src"), dst.alias("dst"), rel.alias("relation"),
