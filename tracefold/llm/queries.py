@@ -4,15 +4,18 @@ from pyspark.sql import functions as F
 
 from .chat import conversation_digests, format_turns
 from .decontaminate import find_leaks
+from .gridjoin import near_vectors
 from .htmltext import PAGES_SQL, extract_text
 from .licenses import scan_licenses
 from .linededup import dedup_lines
 from .minhash import near_duplicates
 from .mixing import MIX_SQL, mix_sources
+from .prefixtrie import prefix_trie, with_borrowed_starts
 from .quality import fit_grades, grade_documents, ratings_from_labels
 from .registry import ORACLES, QUERIES, query, read  # noqa: F401
 from .sharding import assign_shards
-from .sql import CHAT_SQL, LEAK_SQL, NEAR_SQL
+from .sql import CHAT_SQL, LEAK_SQL, NEAR_SQL, TRIE_SQL, VARIANT_SQL, VECTOR_SQL
+from .variants import group_variants, typed_words
 from .voronoi import TOP_SQL, top_products
 
 SHARDS = 8
@@ -79,3 +82,18 @@ def op5_top_products(spark, sf_dir):
 @query("op6_extract_text", PAGES_SQL)
 def op6_extract_text(spark, sf_dir):
     return extract_text(read(spark, sf_dir, "pages"))
+
+
+@query("op11_spelling_variants", VARIANT_SQL)
+def op11_spelling_variants(spark, sf_dir):
+    return group_variants(typed_words(read(spark, sf_dir, "documents")))
+
+
+@query("op12_prefix_trie", TRIE_SQL)
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie(*with_borrowed_starts(read(spark, sf_dir, "conversations")))
+
+
+@query("op13_near_vectors", VECTOR_SQL)
+def op13_near_vectors(spark, sf_dir):
+    return near_vectors(read(spark, sf_dir, "embeddings"), 0.95)

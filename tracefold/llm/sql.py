@@ -89,3 +89,108 @@ shares AS (
       lambda i: array_to_string(w[i : i + n - 1], ' ')))) / len(asked) AS qo FROM runs)
 SELECT doc_id, item_id, round(score, 4) AS score, round(qo, 4) AS question_overlap,
        round(ao, 4) AS answer_overlap FROM shares WHERE qo >= 0.5 AND ao >= 0.5"""
+
+#: CRC-32 for engines without it.  Common tables: crc_table has one row whose list t holds the remainders of the 256 byte values.
+CRC_TABLE = """crc_step AS (
+  SELECT n, n AS v, 0 AS k FROM range(256) r(n)
+  UNION ALL
+  SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY n) AS t FROM crc_step WHERE k = 8)"""
+
+
+def crc32_sql(text: str, table: str = "t") -> str:
+    """Unsigned CRC-32 of the UTF-8 bytes of an SQL text."""
+    bytes_ = (f"list_transform(range(0, octet_length(encode({text}))), "
+              f"lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS BIGINT))")
+    return (f"xor(list_reduce(list_concat([4294967295], {bytes_}), "
+            f"lambda c, b: xor(c >> 8, {table}[(xor(c, b) & 255) + 1])), 4294967295)")
+
+
+VARIANT_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(coalesce(text, ''),
+    '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM documents),
+distinct_runs AS (SELECT id, run, count(*) AS c FROM runs WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (SELECT run, c, {crc32_sql("id || ':' || run")} AS h FROM distinct_runs, crc_table),
+typed AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER))
+    || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, c FROM hashed),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING sum(c) > 1),
+cut AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT DISTINCT c.word, c.n, w.word AS less, w.n AS less_n FROM cut c JOIN words w ON c.rest = w.word),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT word, less, less_n FROM shorter
+  UNION SELECT less, word, n FROM shorter),
+best AS (SELECT word, count(*) AS n_near FROM near GROUP BY word),
+first AS (
+  SELECT word, near AS top, near_n AS top_n FROM (
+    SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r FROM near) WHERE r = 1),
+formed AS (
+  SELECT w.word, w.n, CASE WHEN f.top_n >= 10 * w.n THEN f.top END AS form,
+    CASE WHEN f.top_n >= 10 * w.n THEN f.top_n END AS form_n, coalesce(b.n_near, 0) AS n_near
+  FROM words w LEFT JOIN first f USING (word) LEFT JOIN best b USING (word)),
+walk AS (
+  SELECT word, word AS at, form AS onward FROM formed
+  UNION ALL SELECT w.word, f.word, f.form FROM walk w JOIN formed f ON w.onward = f.word)
+SELECT f.word, f.n, f.form, f.form_n, CAST(f.n_near AS BIGINT) AS n_near, w.at AS root
+FROM formed f JOIN walk w ON f.word = w.word AND w.onward IS NULL"""
+
+TRIE_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc_table),
+rebuilt AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h
+  UNION ALL
+  SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.base AND t.pos <= c.h),
+paths AS (
+  SELECT c.conv_id, coalesce(string_agg(sha256(length(r.role) || ':' || r.role || r.text), '' ORDER BY r.pos), '') AS path,
+    list(length(r.text) ORDER BY r.pos) AS chars, count(r.pos) AS depth
+  FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY c.conv_id),
+members AS (SELECT conv_id, path, chars, depth, unnest(range(0, depth + 1)) AS d FROM paths),
+nodes AS (
+  SELECT substr(path, 1, 64 * d) AS node, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    max(CASE WHEN d > 0 THEN chars[d] ELSE 0 END) AS chars,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = depth), '')) AS ends_sha256
+  FROM members GROUP BY 1, 2),
+children AS (SELECT substr(node, 1, 64 * (d - 1)) AS node, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (
+  SELECT substr(node, 1, 64 * k) AS node, sum(leaf) AS n_leaves, sum(saved) AS saved FROM (
+    SELECT n.node, unnest(range(0, n.d + 1)) AS k, CASE WHEN c.n IS NULL THEN 1 ELSE 0 END AS leaf,
+      (n.n_convs - 1) * n.chars AS saved
+    FROM nodes n LEFT JOIN children c USING (node)) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children,
+  CAST(b.n_leaves AS BIGINT) AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (node) LEFT JOIN children c USING (node)
+LEFT JOIN nodes p ON n.d > 0 AND p.node = substr(n.node, 1, 64 * (n.d - 1))"""
+
+VECTOR_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT row_number() OVER () AS k, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+linked AS (
+  SELECT a.k, a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b
+    ON a.k <> b.k AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95),
+counted AS (SELECT k, count(*) AS n FROM linked GROUP BY k),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM sound UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a),
+named AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+SELECT s.vec_id, coalesce(c.n, 0) AS n_links, n.component AS component_id, s.vec_id = n.component AS kept
+FROM sound s LEFT JOIN counted c USING (k) JOIN named n ON n.a = s.vec_id
+UNION ALL
+SELECT vec_id, 0, vec_id, true FROM embeddings
+WHERE vec_id IS NULL OR embedding IS NULL OR len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) > 0
+  OR len(list_filter(embedding, lambda x: x <> 0)) = 0"""
