@@ -1,7 +1,10 @@
+import math
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from tests.llm.fixtures import EDGES, documents, words
@@ -126,6 +129,24 @@ def test_top_products(spark, monkeypatch):
     assert got == top_by_hand(rows, 5, 50)
 
 
+@pytest.mark.parametrize("size", [2.0 ** 22, 2.0 ** 27, 1e9, 1.7e308])
+def test_top_products_of_large_components(spark, size):
+    """Beyond what doubles and longs hold, products are exact, or given as the bound of long and ranked exactly."""
+    r = random.Random(6)
+    rows = [(i, [size * r.choice([1.0, -1.0, 0.5]) + r.randrange(9) / 256, r.gauss(0, 1)]) for i in range(120)]
+    rows += [(200, [size, size / 2]), (250, [size / 4, 1 / 3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def whole(x):
+        return math.floor(256 * x) if abs(256 * x) < 2 ** 53 else int(max(min(256 * x, 1.7976931348623157e308), -1.7976931348623157e308))
+    want, bound = set(), 2 ** 63 - 1
+    for q, v in rows:
+        if q % 50 == 0:
+            scores = [(sum(whole(a) * whole(b) for a, b in zip(v, w)), i) for i, w in rows if i != q]
+            want |= {(q, k + 1, i, max(-bound, min(bound, s))) for k, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:5])}
+    assert {tuple(x) for x in voronoi.top_products(df).collect()} == want
+
+
 def test_top_products_prunes_cells(spark):
     """Well-parted cells: a query is sent to a few only."""
     r = random.Random(4)
@@ -163,6 +184,32 @@ def test_main_and_plain_body():
     assert htmltext.Page("<p>a<script>if (a < b) '</p>'</SCRIPT>b<style>x").text() == "ab"
 
 
+def test_names_inside_articles():
+    """Inside an article a class word alone marks nothing, a whole marking name does."""
+    page = ('<article><section class="related-work">one</section><div class="share-price">two</div>'
+            '<div class="share-buttons">x</div><div id=comments>no</div>' + "<p title=Bob's>it's</p><p>end</p></article>")
+    assert htmltext.Page(page).text() == "one\ntwo\nit's\nend"
+    assert htmltext.Page('<div class="share-price">x</div><p>a').text() == "a"
+
+
+def test_text_beside_a_teaser():
+    page = "<article><p>teaser</article><div class=content><h1>Title</h1><p>The text itself, much longer</div>"
+    assert htmltext.Page(page).text() == "teaser\nTitle\nThe text itself, much longer"
+    assert htmltext.Page(page.replace("teaser", "a text that is longer than all that stands beside it")).text() \
+        == "a text that is longer than all that stands beside it"
+
+
+@pytest.mark.parametrize("part, more", [
+    ('<a "', ""), ('<a b="', ""), ("<!", ""), ("<!--", ""), ("</script ", "<script>"), ("<div>t", ""), ("</x>", "<div>" * 100_000),
+    ("<li></li>", "<li><ul>" + "<b>" * 100_000), ("<h1>x</h1>", "<b>" * 100_000), ("<xmp>", ""), ("x ", "<a "), ("&#x00", "")])
+def test_a_megabyte_of_broken_markup_takes_seconds(part, more):
+    start = time.time()
+    page = htmltext.Page(more + part * (1_000_000 // len(part)))
+    page.text({(1, 1)}), page.main_text()
+    assert time.time() - start < 30
+    assert len(page.content) <= len(page.nodes)
+
+
 def test_style_tree_removes_what_repeats(spark):
     rows = [(i, f"http://Host{i % 2}.example/p{i}", f"<body><div class=top>Welcome to us</div><div class=text><p>Own text {i}</p></div>"
              f"<div class=x{i}><p>Always the same</p></div></body>", i) for i in range(40)]

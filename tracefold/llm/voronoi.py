@@ -14,6 +14,9 @@ locally with exact integer products, block by block, and the blocks' bests meet
 in one last ranking.  Nothing is approximate: pruned cells can't hold an answer.
 """
 
+import heapq
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -23,21 +26,32 @@ from ..sources.scratch import materialize
 from .sampling import thin_out
 
 SCALE = 256
-PIVOTS = 48
+PIVOTS = 48              # at least; more for more vectors, by their square root
+MOST_PIVOTS = 4096
 DATA_BLOCK = 8192        # vectors of a cell that meet in one task
 QUERY_BLOCK = 2048       # queries that meet them
 SAMPLE = 16              # candidates for a pivot, per pivot
 
-_CELLED = "vec_id long, vec array<long>, cell int, distance double, query boolean"
+LONG = 2 ** 63
+DIGITS = 700             # more than any product of doubles has
+_LARGEST = 1.7976931348623157e308
+
+_CELLED = "vec_id long, vec array<double>, cell int, distance double, query boolean"
 
 
 def quantize(vectors: DataFrame) -> DataFrame:
-    """(vec_id, vec): integer vectors of rows without null, nan or infinite components."""
+    """(vec_id, vec): integer vectors, as doubles, of rows without null, nan or infinite components.
+
+    256 x is exact in doubles, and from 2**53 on a whole number; where it exceeds the
+    doubles it is their bound.
+    """
     x = F.col("embedding")
     sound = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
+    whole = lambda y: F.when(F.abs(y) < 2.0 ** 53, F.floor(y).cast("double")).otherwise(
+        F.greatest(F.lit(-_LARGEST), F.least(y, F.lit(_LARGEST))))
     return (vectors.filter(x.isNotNull() & F.col("vec_id").isNotNull()).filter(F.coalesce(sound, F.lit(False)))
             .select(F.col("vec_id").cast("long").alias("vec_id"),
-                    F.transform(x, lambda v: F.floor(v.cast("double") * SCALE).cast("long")).alias("vec")))
+                    F.transform(x, lambda v: whole(v.cast("double") * SCALE)).alias("vec")))
 
 
 def _matrix(column, dim):
@@ -71,7 +85,7 @@ def choose_pivots(vectors: DataFrame, count: int) -> dict[int, np.ndarray]:
 
 
 def _cell_number(dim: int, cell: int) -> int:
-    return dim * PIVOTS + cell
+    return dim * MOST_PIVOTS + cell
 
 
 def _assign(pivots, every):
@@ -82,12 +96,13 @@ def _assign(pivots, every):
                 vecs = batch.column("vec").take(pa.array(rows))
                 m = _matrix(vecs, dim)
                 p = pivots.get(dim, np.zeros((1, dim)))
-                d = ((m ** 2).sum(1)[:, None] + (p ** 2).sum(1)[None, :] - 2 * m @ p.T) if dim else np.zeros((len(rows), 1))
-                cell = d.argmin(1)
-                # as differences: exact for integers, and rounded only by the root
-                distance = np.sqrt(((m - p[cell]) ** 2).sum(1))
+                with np.errstate(all="ignore"):      # very large components overflow; any cell will do for them
+                    d = ((m ** 2).sum(1)[:, None] + (p ** 2).sum(1)[None, :] - 2 * m @ p.T) if dim else np.zeros((len(rows), 1))
+                    cell = d.argmin(1)
+                    # as differences: exact for integers, and rounded only by the root
+                    distance = np.sqrt(((m - p[cell]) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[rows]), vecs.cast(pa.list_(pa.int64())),
+                    [pa.array(ids[rows]), vecs.cast(pa.list_(pa.float64())),
                      pa.array([_cell_number(dim, c) for c in cell], pa.int32()), pa.array(distance),
                      pa.array(ids[rows] % every == 0)],
                     ["vec_id", "vec", "cell", "distance", "query"])
@@ -108,7 +123,7 @@ def _route(pivots, cells, k):
     """For each query the cells that may hold part of its answer."""
     by: dict[int, list] = {}
     for c in sorted(cells):
-        by.setdefault(c // PIVOTS, []).append(c)
+        by.setdefault(c // MOST_PIVOTS, []).append(c)
 
     def run(batches):
         for batch in batches:
@@ -118,38 +133,58 @@ def _route(pivots, cells, k):
                 if not here:
                     continue
                 m = _matrix(batch.column("vec").take(pa.array(rows)), dim)
-                p = pivots.get(dim, np.zeros((1, dim)))[[c % PIVOTS for c in here]]
-                dot, norm = m @ p.T, np.sqrt((m ** 2).sum(1))[:, None]
-                radius = np.array([cells[c][1] for c in here])
-                slack = 1e-6 * (1 + norm * (1 + radius.max()))
-                low = np.concatenate([dot[:, i:i + 1] - norm * np.array(cells[c][2])[None, :]
-                                      for i, c in enumerate(here) if cells[c][2]] or [np.zeros((len(m), 0))], 1)
-                least = (np.partition(low, -k, axis=1)[:, -k][:, None] if low.shape[1] >= k
-                         else np.full((len(m), 1), -np.inf))
-                need = dot + norm * radius[None, :] + slack >= least - slack
+                p = pivots.get(dim, np.zeros((1, dim)))[[c % MOST_PIVOTS for c in here]]
+                with np.errstate(all="ignore"):
+                    dot, norm = m @ p.T, np.sqrt((m ** 2).sum(1))[:, None]
+                    radius = np.array([cells[c][1] for c in here])
+                    far = radius.max() + np.sqrt((p ** 2).sum(1)).max(initial=0)
+                    slack = 1e-9 * (1 + norm * (1 + far))
+                    low = np.concatenate([dot[:, i:i + 1] - norm * np.array(cells[c][2])[None, :]
+                                          for i, c in enumerate(here) if cells[c][2]] or [np.zeros((len(m), 0))], 1)
+                    least = (np.partition(low, -k, axis=1)[:, -k][:, None] if low.shape[1] >= k
+                             else np.full((len(m), 1), -np.inf))
+                    # a bound that overflowed to nan rules nothing out
+                    need = ~(dot + norm * radius[None, :] + slack < least - slack)
                 q, c = np.nonzero(need)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[rows][q]), pa.array(np.array(here)[c], pa.int32())], ["query_id", "cell"])
     return run
 
 
+def _ranked(query, vec, score, beyond):
+    """beyond: where the score is at the bound of long, the true one as digits that sort alike."""
+    return pa.table({"query_id": pa.array(query, pa.int64()), "vec_id": pa.array(vec, pa.int64()),
+                     "score": pa.array(score, pa.int64()), "beyond": pa.array(beyond, pa.string())})
+
+
 def _solve(k):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         """left: queries (query_id, qvec), right: data (vec_id, vec) of one block."""
-        names = ["query_id", "vec_id", "score"]
         if not left.num_rows or not right.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in names})
+            return _ranked([], [], [], [])
         dim = len(left.column("qvec")[0])
         q, x = _matrix(left.column("qvec"), dim), _matrix(right.column("vec"), dim)
         qid, xid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
         order = np.argsort(xid, kind="stable")
         x, xid = x[order], xid[order]
-        big = dim * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) >= 2 ** 52
-        out = [[], [], []]
+        with np.errstate(over="ignore"):
+            bound = dim * np.abs(q).max(initial=0) * np.abs(x).max(initial=0)
+        # floats hold whole numbers up to 2**53 exactly, longs up to 2**63; beyond, Python integers do
+        if bound >= 2 ** 62:
+            q, x = (np.array([[int(v) for v in row] for row in m], object).reshape(m.shape) for m in (q, x))
+        elif bound >= 2 ** 52:
+            q, x = q.astype(np.int64), x.astype(np.int64)
+        out = [[], [], [], []]
+        if q.dtype == object:
+            for i, row in zip(qid, q @ x.T if dim else np.zeros((len(q), len(x)), int).astype(object)):
+                best = heapq.nsmallest(k, ((-s, j) for s, j in zip(row, xid) if j != i))
+                out[0] += [i] * len(best)
+                out[1] += [j for _, j in best]
+                out[2] += [max(-LONG + 1, min(LONG - 1, -s)) for s, _ in best]
+                out[3] += [None if abs(s) < LONG else f"{-s + (s > 0) * 10 ** DIGITS:0{DIGITS}d}" for s, _ in best]
+            return _ranked(*out)
         for lo in range(0, len(q), 256):
-            part = q[lo:lo + 256]
-            # floats hold integers up to 2**53 exactly; beyond, Python integers do
-            s = (part.astype(object) @ x.astype(object).T).astype(np.int64) if big else (part @ x.T).astype(np.int64)
+            s = (q[lo:lo + 256] @ x.T).astype(np.int64)
             own = qid[lo:lo + 256][:, None] == xid[None, :]
             for i in range(len(s)):
                 row = np.where(own[i], np.iinfo(np.int64).min, s[i])
@@ -163,7 +198,8 @@ def _solve(k):
                 out[0] += [qid[lo + i]] * len(best)
                 out[1] += xid[best].tolist()
                 out[2] += row[best].tolist()
-        return pa.table({n: pa.array(v, pa.int64()) for n, v in zip(names, out)})
+                out[3] += [None] * len(best)
+        return _ranked(*out)
     return run
 
 
@@ -177,9 +213,10 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     vectors with a null, nan or infinite component take no part.  Rows that repeat a vec_id are
     candidates each; as queries they count once, with the greatest vector.
     A query with fewer candidates returns them all, one without returns no row.
+    A score beyond 2**63 - 1 either way is given as that bound; ranks follow the true scores.
     """
     sound = materialize(quantize(vectors), "quantized")
-    pivots = choose_pivots(sound, PIVOTS)
+    pivots = choose_pivots(sound, max(PIVOTS, min(MOST_PIVOTS, math.isqrt(sound.count()) // 8)))
     data = materialize(sound.mapInArrow(_assign(pivots, every), _CELLED), "cells")
     cells = summaries(data, k)
     queries = data.filter("query").groupBy(F.col("vec_id").alias("query_id")).agg(F.max("vec").alias("qvec"))
@@ -188,19 +225,21 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     routes = routes.join(queries, "query_id")
     blocks = {c: -(-v[0] // DATA_BLOCK) for c, v in cells.items()}
     slices = max(1, -(-(queries.count() or 1) // QUERY_BLOCK))
-    wide = F.lit(1)
-    for c, n in blocks.items():
-        if n > 1:
-            wide = F.when(F.col("cell") == c, n).otherwise(wide)
+    large = {c: n for c, n in blocks.items() if n > 1} or {-1: 1}
+    wide = F.coalesce(F.element_at(F.map_from_arrays(F.array(*map(F.lit, large)), F.array(*map(F.lit, large.values()))),
+                                   F.col("cell")), F.lit(1))
     left = (routes.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
             .withColumn("block", F.explode(F.sequence(F.lit(0), wide - 1))))
+    left = materialize(left, "routes")
+    # data travel to the slices of queries that want their cell, and to no other
     right = (data.select("vec_id", "vec", "cell")
              .withColumn("block", F.pmod(F.xxhash64("vec_id", "vec"), wide).cast("int"))
-             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)))))
+             .join(left.select("cell", "block", "part").distinct().toDF("c", "b", "part2"),
+                   F.expr("cell = c AND block = b")).select("vec_id", "vec", "c", "b", "part2"))
     keys = ["cell", "block", "part"]
-    best = (left.groupBy(*keys).cogroup(right.groupBy(*keys))
-            .applyInArrow(_solve(k), "query_id long, vec_id long, score long"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = (left.groupBy(*keys).cogroup(right.groupBy("c", "b", "part2"))
+            .applyInArrow(_solve(k), "query_id long, vec_id long, score long, beyond string"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
