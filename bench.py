@@ -24,6 +24,7 @@ HEADLINE = [
     "similar_properties",
     "cluster_concepts",
     "echo_regions",
+    "label_grams",               # builds the stored label index, once per graph
     "resolve_terms",
     "answer_by_intersection",
     "classify_turns",

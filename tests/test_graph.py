@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import edge, fact_rows, graph_of, labels
 from tracefold.functions import measures
-from tracefold.operators import (associations, coverage, evidence, lookup, observe, quality,
+from tracefold.operators import (associations, coverage, evidence, labelindex, lookup, observe, quality,
                                  resolve, similar, waves)
 
 FRUIT = ["apples are red", "apples are round", "circles are round"]
@@ -327,10 +327,71 @@ def test_close_strings_equals_brute_force(spark):
     terms, stored = words[:60], words[60:]
     want = {(a, b, _edit(a, b)) for a, b in itertools.product(terms, stored)
             if _edit(a, b) <= max(2, len(a) // 3)}
-    got = resolve.close_strings(labels(spark, terms, "term"), labels(spark, stored, "string"))
+    got = labelindex.close_strings(labels(spark, terms, "term"), labels(spark, stored, "string"))
     assert {tuple(r) for r in got.select("term", "string", "distance").collect()} == want
 
 
+def _forms(label):
+    """Inflected forms in lookup order."""
+    first = second = last = None
+    if label.endswith("ians"):
+        first, second = label[:-4], label[:-1]
+    elif label.endswith("ian"):
+        first, second = label[:-3], label + "s"
+    elif label.endswith("ans"):
+        first, second = label[:-3], label[:-1]
+    elif label.endswith("an"):
+        first = label[:-2]
+    if label.endswith("ies"):
+        last = label[:-3] + "y"
+    elif label.endswith("es"):
+        last = label[:-2]
+    elif label.endswith("s") and not label.endswith("ss"):
+        last = label[:-1]
+    return [label, *(label + x for x in ("s", "es", "ian", "ians", "an")), *(f for f in (first, second, last) if f is not None)]
+
+
+@pytest.mark.parametrize("hot, letters, longest", [(20_000, "abé", 9), (2, "ains", 24)])
+def test_label_index_equals_brute_force(spark, monkeypatch, hot, letters, longest):
+    """Near and containing labels of terms of every length, with and without salted keys."""
+    monkeypatch.setattr(labelindex, "HOT", hot)
+    rng = random.Random(longest)
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, longest))) for _ in range(70)}
+    for w in list(words):
+        for _ in range(2):
+            v = list(w + rng.choice(["", "", "ians", "s"]))
+            for _ in range(rng.randint(0, max(2, len(w) // 3))):
+                i = rng.randrange(len(v) + 1)
+                v[i:i + rng.randrange(2)] = rng.choice([[], list(rng.choice(letters))])
+            words.add("".join(v))
+    words = sorted(words - {""})
+    rng.shuffle(words)
+    terms, stored = words[:len(words) // 2] + ["", "zzzzzz"], words[len(words) // 2:] + ["flies", "a b's \\E"]
+    index = labelindex.build_index(labels(spark, stored))
+    want = set()
+    for t, s in itertools.product(terms, stored):
+        near = [d for d in (_edit(t, f) for f in _forms(s)) if d <= max(2, len(t) // 3)]
+        if near:
+            want.add((t, s, near[0]))
+    df = labels(spark, terms, "term")
+    assert {tuple(r) for r in labelindex.near_labels(df, index).collect()} == want
+    assert {tuple(r) for r in labelindex.containing_labels(df, index).collect()} == {
+        (t, s) for t, s in itertools.product(terms, stored) if t and t in s}
+
+
+def test_label_index_is_read_without_an_exchange(spark):
+    """Even where nothing is broadcast, only the terms' side is dealt out."""
+    index = labelindex.build_index(labels(spark, [f"label number {i}" for i in range(50)]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = labelindex.near_labels(labels(spark, ["labell nomber"], "term"), index)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = [i for i, line in enumerate(plan.split("\n")) if "tracefold_" in line and "Scan" in line]
+    above = "\n".join(plan.split("\n")[scan[0] - 3:scan[0]])
+    assert len(scan) == 1 and "Bucketed: true" in plan and "Exchange" not in above
+
+
 def test_ambiguity_holds_statement_back(spark):
     g = graph_of(spark, ["children are loved"] * 3)
     said = spark.createDataFrame([(1, "childen", "happy"), (2, "children", "loved")],

@@ -68,8 +68,8 @@ def cut(c: Column, k: int) -> Column:
     return F.substring(c, F.lit(1), F.length(c) - k)
 
 
-def inflections(c: Column) -> Column:
-    """Plural / demonym variants of a label, in lookup order."""
+def inflection_slots(c: Column) -> list[Column]:
+    """Plural / demonym variants of a label, in lookup order; null where one doesn't apply."""
     def ends(s):
         return F.endswith(c, F.lit(s))
     add = [F.concat(c, F.lit(s)) for s in ("s", "es", "ian", "ians", "an")]
@@ -80,4 +80,9 @@ def inflections(c: Column) -> Column:
         .when(ends("ans"), cut(c, 1)).otherwise(none)
     last = F.when(ends("ies"), F.concat(cut(c, 3), F.lit("y"))).when(ends("es"), cut(c, 2)) \
         .when(ends("s") & ~ends("ss"), cut(c, 1)).otherwise(none)
-    return F.array_compact(F.array(*add, first, second, last))
+    return [*add, first, second, last]
+
+
+def inflections(c: Column) -> Column:
+    """The variants that apply, as an array."""
+    return F.array_compact(F.array(*inflection_slots(c)))

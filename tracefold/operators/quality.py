@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import fixed, statements
 from ..functions.strings import strip, words
 from .evidence import facts, links, teach
-from .resolve import close_strings
+from .labelindex import close_strings
 from .waves import cluster
 
 #: Event order behind every recorded one; keys of recorded events stay below it.

@@ -1,15 +1,15 @@
 """Label resolution: exact, inflected, prefix, contained, then edit distance.
 
-Each tier only sees the terms the tiers before it left over.  Every tier is an
-equi join on a blocking key followed by the real test, and loses no match.
+Each tier only sees the terms the tiers before it left over.  All look terms up in
+the stored label index, and lose no match.
 """
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.qualify import place_form
 from ..functions.strings import inflections
 from ..sources.scratch import materialize
-from .matching import contains_join
+from .labelindex import LabelIndex, containing_labels, index_of, near_labels
 
 
 def resolve_exact(df: DataFrame, nodes: DataFrame, column: str = "label") -> DataFrame:
@@ -18,141 +18,51 @@ def resolve_exact(df: DataFrame, nodes: DataFrame, column: str = "label") -> Dat
     return df.join(labels, column, "left_semi")
 
 
-def edit_bound(term: Column) -> Column:
-    return F.greatest(F.lit(2), (F.length(term) / 3).cast("int"))
-
-
-def _pieces(term: Column, k: Column) -> Column:
-    """Cut a term into k + 1 near-equal pieces with their start positions."""
-    n = F.length(term)
-    return F.transform(F.sequence(F.lit(0), k), lambda i: _piece(term, n, k, i))
-
-
-def _piece(term, n, k, i):
-    start = (i * n / (k + 1)).cast("int")
-    end = ((i + 1) * n / (k + 1)).cast("int")
-    return F.struct(i.alias("i"), F.substring(term, start + 1, end - start).alias("piece"))
-
-
-def _windows(s: Column, n: Column, k: Column) -> Column:
-    """Substrings of a stored string that a piece of an n-long term could sit on."""
-    m = F.length(s)
-
-    def at(i):
-        start = (i * n / (k + 1)).cast("int")
-        width = ((i + 1) * n / (k + 1)).cast("int") - start
-        # at most i edits lie before piece i and k - i behind it
-        low = F.greatest(F.lit(0), start - i, start + (m - n) - (k - i))
-        high = F.least(m - width, start + i, start + (m - n) + (k - i))
-        return F.when(high >= low, F.transform(F.sequence(low, high), lambda p: F.struct(
-            i.alias("i"), F.substring(s, p + 1, width).alias("piece"))))
-    return F.array_distinct(F.flatten(F.array_compact(F.transform(F.sequence(F.lit(0), k), at))))
-
-
-def _letters(column: str) -> Column:
-    """Bit set of the characters of a string: one edit changes at most two bits."""
-    return F.expr(f"aggregate(split({column}, ''), 0L, "
-                  "(a, ch) -> a | shiftleft(1L, pmod(ascii(ch), 61)))")
-
-
-def close_strings(terms: DataFrame, strings: DataFrame, bound=edit_bound) -> DataFrame:
-    """(term, string, distance) within the edit bound of the term.
-
-    If two strings differ by at most k edits, one of k + 1 pieces of the first
-    stands unchanged in the second, with no more than i edits before piece i and
-    k - i after it, which fixes where it may stand.  Pieces are the join key;
-    lengths outside the bound never meet.  Terms too short to be cut are matched
-    on their length alone.  Letter sets rule most candidates out; distances are tested before pairs are made unique, so
-    only true matches are shuffled again.
-    """
-    t = terms.select("term").distinct().withColumns(
-        {"n": F.length("term"), "k": bound(F.col("term")), "tl": _letters("term")})
-    lengths = t.select("n", "k").distinct()
-    s = strings.select("string").distinct().withColumns(
-        {"m": F.length("string"), "sl": _letters("string")})
-    bands = lengths.select("n", "k", F.explode(
-        F.sequence(F.greatest(F.lit(0), F.col("n") - F.col("k")), F.col("n") + F.col("k")))
-        .alias("m"))
-    cut = F.col("n") > F.col("k")
-    keyed_t = t.filter(cut).select("term", "n", "k", "tl",
-                                   F.inline(_pieces(F.col("term"), F.col("k"))))
-    keyed_s = (s.join(bands.filter(cut), "m")
-               .select("string", "n", "sl", F.inline(_windows(
-                   F.col("string"), F.col("n"), F.col("k")))))
-    alike = F.bit_count(F.col("tl").bitwiseXOR(F.col("sl"))) <= 2 * F.col("k")
-    pairs = keyed_t.join(keyed_s, ["n", "i", "piece"]).filter(alike).select("term", "string", "k")
-    short = (t.filter(~cut).join(bands.filter(~cut), ["n", "k"]).join(s, "m")
-             .select("term", "string", "k"))
-    d = F.expr("levenshtein(term, string, k)")
-    return (pairs.unionByName(short).withColumn("distance", d)
-            .filter(F.col("distance") >= 0).select("term", "string", "distance").distinct())
-
-
 def _ranked(df: DataFrame, order: list, max_results: int = None) -> DataFrame:
     ranked = df.withColumn("rank", F.row_number().over(W.partitionBy("term").orderBy(*order)))
     return ranked if max_results is None else ranked.filter(F.col("rank") <= max_results)
 
 
-def resolve(terms: DataFrame, nodes: DataFrame, max_results: int = None) -> DataFrame:
+def resolve(terms: DataFrame, nodes, max_results: int = None) -> DataFrame:
     """(term, label, distance, method, rank) of the first tier that matches.
 
-    Ties are ordered by label; the strongest result has rank 1.  ``max_results``
+    ``nodes`` is a LabelIndex, or a table with a label column, which is then indexed for
+    this call.  Ties are ordered by label; the strongest result has rank 1.  ``max_results``
     keeps the best labels of a term, None all that the tier finds.
     """
+    index = index_of(nodes)
     terms = materialize(terms.select("term").distinct(), "terms")
-    labels = nodes.select("label").filter("label <> ''").distinct()
     cols = ["term", "label", "distance", "method", "rank"]
 
-    def tag(df, method, distance=F.lit(0)):
-        return df.withColumns({"distance": distance, "method": F.lit(method)}).select(*cols)
-
-    exact = tag(terms.withColumn("label", F.col("term")).join(labels, "label", "left_semi")
-                .withColumn("rank", F.lit(1)), "exact")
-    rest = terms.join(exact.select("term"), "term", "left_anti")
-
-    variants = rest.select("term", F.posexplode(inflections(F.col("term"))).alias("pos", "label"))
-    inflect = variants.join(labels, "label", "left_semi").groupBy("term", "label") \
-        .agg(F.min("pos").alias("pos"))
-    inflect = materialize(tag(_ranked(inflect, ["pos"], max_results), "inflect"), "tier-inflect")
-    rest = rest.join(inflect.select("term").distinct(), "term", "left_anti")
-
-    # only prefixes as long as some term are cut from the labels
-    lengths = rest.select(F.length("term").alias("n")).distinct()
-    starts = (labels.select("label", F.explode(F.sequence(F.lit(1), F.length("label"))).alias("n"))
-              .join(lengths, "n", "left_semi")
-              .select("label", F.substring(F.col("label"), F.lit(1), F.col("n")).alias("term")))
-    prefix = materialize(tag(_ranked(rest.join(starts, "term"), [F.length("label"), "label"],
-                                     max_results), "prefix"), "tier-prefix")
-    rest = materialize(rest.join(prefix.select("term").distinct(), "term", "left_anti"), "rest")
-
-    inside = contains_join(labels.select(F.col("label").alias("text_id"),
-                                         F.col("label").alias("text")),
-                           rest.select(F.col("term").alias("pattern")), min_len=1)
-    inside = inside.select(F.col("pattern").alias("term"), F.col("text_id").alias("label"))
-    contains = materialize(tag(_ranked(inside, [F.length("label"), "label"], max_results),
-                               "contains"), "tier-contains")
-    rest = rest.join(contains.select("term").distinct(), "term", "left_anti")
-
-    forms = labels.select("label", F.posexplode(F.concat(
-        F.array("label"), inflections(F.col("label")))).alias("pos", "string"))
-    near = close_strings(rest, forms).join(forms, "string")
-    best = (near.groupBy("term", "label").agg(F.min(F.struct("pos", "distance")).alias("b"))
-            .select("term", "label", F.col("b.distance").alias("d")))
+    # the term itself comes first, then its inflections in order
+    spelled = terms.select("term", F.posexplode(F.concat(F.array("term"), inflections(F.col("term")))).alias("pos", "label"))
+    known = spelled.join(index.labels, "label", "left_semi").groupBy("term", "label").agg(F.min("pos").alias("pos"))
+    known = _ranked(known, ["pos"])
+    exact = F.min("pos").over(W.partitionBy("term")) == 0
+    known = known.withColumn("exact", exact).filter("NOT exact OR pos = 0").select(
+        "term", "label", F.lit(0).alias("distance"), F.when(F.col("exact"), "exact").otherwise("inflect").alias("method"), "rank")
+    known = materialize(known if max_results is None else known.filter(F.col("rank") <= max_results), "tier-spelled")
+    rest = terms.join(known.select("term").distinct(), "term", "left_anti")
+
+    inside = containing_labels(rest, index).withColumn("starts", F.startswith("label", F.col("term")))
+    inside = inside.withColumn("any", F.max("starts").over(W.partitionBy("term"))).filter("starts OR NOT any")
+    inside = materialize(_ranked(inside, [F.length("label"), "label"], max_results).select(
+        "term", "label", F.lit(0).alias("distance"), F.when(F.col("starts"), "prefix").otherwise("contains").alias("method"),
+        "rank"), "tier-contained")
+    rest = rest.join(inside.select("term").distinct(), "term", "left_anti")
+
     gap = F.abs(F.length("term") - F.length("label"))
-    fuzzy = tag(_ranked(best, ["d", gap, "label"], max_results), "fuzzy", F.col("d"))
-    out = exact
-    for tier in (inflect, prefix, contains, fuzzy):
-        out = out.unionByName(tier)
-    return out
+    fuzzy = _ranked(near_labels(rest, index), ["distance", gap, "label"], max_results).withColumn("method", F.lit("fuzzy"))
+    return known.select(*cols).unionByName(inside.select(*cols)).unionByName(fuzzy.select(*cols))
 
 
 def did_you_mean(terms: DataFrame, nodes: DataFrame, paths: DataFrame,
-                 resolved: DataFrame = None) -> DataFrame:
+                 index: LabelIndex = None) -> DataFrame:
     """Candidates of terms that only match by containment or edit distance.
 
     The description is the text of the first path recorded to the candidate.
     """
-    found = resolve(terms, nodes) if resolved is None else resolved
+    found = resolve(terms, nodes if index is None else index)
     loose = found.filter(F.col("method").isin("contains", "fuzzy"))
     first = (paths.groupBy(F.col("terminus").alias("label"))
              .agg(F.min_by("source_text", F.struct("seq", "part")).alias("description")))
@@ -174,7 +84,8 @@ def qualified_variants(terms: DataFrame, nodes: DataFrame) -> DataFrame:
                       "left_semi")
 
 
-def check_ambiguity(triples: DataFrame, nodes: DataFrame, paths: DataFrame, safety: list[str]):
+def check_ambiguity(triples: DataFrame, nodes: DataFrame, paths: DataFrame, safety: list[str],
+                    index: LabelIndex = None):
     """Split parsed statements into (clean, held) before teaching.
 
     ``triples`` is (statement_id, subject, obj, ...).  A statement is held when a
@@ -190,7 +101,7 @@ def check_ambiguity(triples: DataFrame, nodes: DataFrame, paths: DataFrame, safe
     by_variant = variants.join(many, "term", "left_semi").select(
         "term", F.col("variant").alias("candidate"), F.lit(0).alias("distance"))
     rest = asked.join(many, "term", "left_anti")
-    by_guess = did_you_mean(rest, nodes, paths).filter("distance <= 2").select(
+    by_guess = did_you_mean(rest, nodes, paths, index).filter("distance <= 2").select(
         "term", F.col("label").alias("candidate"), "distance")
     found = materialize(by_variant.unionByName(by_guess), "candidates")
     held = terms.join(found, "term")

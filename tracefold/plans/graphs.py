@@ -6,6 +6,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import evidence
+from ..operators.labelindex import LabelIndex, build_index
 from ..sources import tables
 from ..sources.scratch import materialize
 
@@ -53,6 +54,15 @@ def build(fact_rows: DataFrame) -> Graph:
                  evidence.paths_of(fact_rows), evidence.witnesses(log))
 
 
+def label_index(spark: SparkSession, sf_dir: str, name: str) -> LabelIndex:
+    """The stored index over the labels of a stored graph, built once with it."""
+    nodes = graph(spark, sf_dir, name, "nodes")
+    key = (spark.sparkContext.applicationId, sf_dir, name, _input_state(spark, sf_dir, INPUTS[name][1]), "index")
+    if key not in _stored:
+        _stored[key] = build_index(nodes)
+    return _stored[key]
+
+
 def graph(spark: SparkSession, sf_dir: str, name: str, *parts: str):
     """The named parts ('edges', 'nodes', ...) of a stored graph."""
     make, names = INPUTS[name]

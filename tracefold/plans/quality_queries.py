@@ -9,11 +9,11 @@ from ..operators import (answers, coverage, evidence, grounding, lookup, matchin
 from ..sources import tables
 from .catalog import query
 from .graph_queries import blend_sql
-from .graphs import graph
+from .graphs import graph, label_index
 from .sql import RESOLVE_SQL, forward_wave, with_graph
 from .sql_text import (SENTENCES, content_words, parse_ctes, quoted, sentences, strip, strip_punct,
                        with_documents, words)
-from .text_queries import AS_OF
+from .text_queries import AS_OF, markup
 
 COUNTS_SQL = """,
 ends AS (SELECT origin AS label, source_text FROM paths
@@ -156,11 +156,21 @@ terms AS (SELECT DISTINCT unnest([lower(p_name), lower(p_name) || 's',
 SELECT term, label, CAST(distance AS BIGINT) AS distance, method, CAST(rank AS BIGINT) AS rank
 FROM resolved""", TERMS_SQL + RESOLVE_SQL))
 def resolve_terms(spark, sf_dir):
-    out = resolve.resolve(asked_terms(spark, sf_dir), graph(spark, sf_dir, "parts", "nodes"))
+    out = resolve.resolve(asked_terms(spark, sf_dir), label_index(spark, sf_dir, "parts"))
     return out.select("term", "label", F.col("distance").cast("bigint"), "method",
                       F.col("rank").cast("bigint"))
 
 
+@query("label_grams", with_graph("parts", """
+SELECT gram, count(*) AS n FROM (
+  SELECT label, unnest(CASE WHEN length(label) < 3 THEN [label] ELSE list_distinct(list_transform(
+    range(1, length(label) - 1), lambda i: substr(label, i, 3))) END) AS gram
+  FROM (SELECT DISTINCT label FROM nodes WHERE label <> '')) GROUP BY gram"""))
+def label_grams(spark, sf_dir):
+    """Grams of the stored label index and the labels that hold them."""
+    return label_index(spark, sf_dir, "parts").gram_counts.select("gram", "n")
+
+
 @query("resolve_exact", with_graph("parts", """
 SELECT term FROM terms WHERE term IN (SELECT label FROM nodes)""", TERMS_SQL))
 def resolve_exact(spark, sf_dir):
@@ -180,7 +190,8 @@ LEFT JOIN (SELECT terminus, arg_min(source_text, (seq, part)) AS text FROM (
 WHERE method IN ('contains', 'fuzzy')""", TERMS_SQL + RESOLVE_SQL))
 def did_you_mean(spark, sf_dir):
     nodes, paths = graph(spark, sf_dir, "parts", "nodes", "paths")
-    return resolve.did_you_mean(asked_terms(spark, sf_dir), nodes, paths).select(
+    index = label_index(spark, sf_dir, "parts")
+    return resolve.did_you_mean(asked_terms(spark, sf_dir), nodes, paths, index).select(
         "term", "label", "node_type", F.col("distance").cast("bigint"), "method", "description")
 
 
@@ -226,7 +237,8 @@ def check_ambiguity(spark, sf_dir):
         .alias("text"))
     triples = statements.parse_statements(said, "text")
     _, held = resolve.check_ambiguity(triples, nodes, paths,
-                                      fixed.PRIMITIVES["safety"].split())
+                                      fixed.PRIMITIVES["safety"].split(),
+                                      label_index(spark, sf_dir, "parts"))
     return held.select("statement_id", "term", "candidate", F.col("distance").cast("bigint"),
                        "safety")
 
@@ -384,9 +396,41 @@ def detect_conflicts(spark, sf_dir):
     return grounding.detect_conflicts(texts, known)
 
 
-@query("ground_sentences")
+_GROUND = f""",
+sent AS (
+  SELECT conv_id, turn, i - 1 AS pos, ss[i] AS s FROM (
+    SELECT conv_id, turn, list_filter(list_transform({sentences(markup('text'))}, lambda q: {strip('q')}),
+      lambda q: length(q) > 10) AS ss FROM conversations),
+  LATERAL (SELECT unnest(range(1, len(ss) + 1)) AS i)),
+word_rows AS (
+  SELECT conv_id, turn, pos, unnest(list_filter(regexp_extract_all(lower(s), '[a-z][a-z'']+'),
+    lambda q: length(q) > 3 AND q NOT IN ({quoted(fixed.GROUNDING_SKIP)}))) AS word FROM sent),
+terms AS (SELECT DISTINCT word AS term FROM word_rows){RESOLVE_SQL},
+hit_words AS (
+  SELECT w.conv_id, w.turn, w.pos, r.label FROM word_rows w
+  LEFT JOIN resolved r ON r.term = w.word AND r.rank = 1),
+candidate_counts AS (
+  SELECT conv_id, turn, pos, count(*) AS candidates, count(label) AS hits FROM hit_words GROUP BY ALL),
+here_nodes AS (SELECT conv_id, turn, pos, label, count(*) AS times FROM hit_words WHERE label IS NOT NULL GROUP BY ALL),
+onward_edges AS (SELECT DISTINCT src, dst FROM edges),
+met_nodes AS (
+  SELECT h.conv_id, h.turn, h.pos, o.dst, count(*) AS n, max(times) AS most,
+    count(*) FILTER (h.label <> o.dst) AS others
+  FROM here_nodes h JOIN onward_edges o ON o.src = h.label GROUP BY ALL),
+linked_sents AS (
+  SELECT conv_id, turn, pos FROM met_nodes WHERE n >= 2 OR most >= 2
+  UNION SELECT m.conv_id, m.turn, m.pos FROM met_nodes m JOIN here_nodes h
+    ON h.conv_id = m.conv_id AND h.turn = m.turn AND h.pos = m.pos AND h.label = m.dst WHERE m.others > 0),
+ground AS (
+  SELECT s.conv_id, s.turn, s.pos, coalesce(c.hits, 0) AS hits, coalesce(c.candidates, 0) AS candidates,
+    coalesce(c.candidates > 0 AND c.hits * 2 >= c.candidates AND n.pos IS NOT NULL, false) AS grounded
+  FROM sent s LEFT JOIN candidate_counts c USING (conv_id, turn, pos) LEFT JOIN linked_sents n USING (conv_id, turn, pos))"""
+
+
+@query("ground_sentences", with_documents(
+    "SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, hits, candidates, grounded FROM ground", _GROUND))
 def ground_sentences(spark, sf_dir):
-    nodes, edges = graph(spark, sf_dir, "documents", "nodes", "edges")
+    nodes, edges = label_index(spark, sf_dir, "documents"), graph(spark, sf_dir, "documents", "edges")
     turns = tables.table(spark, sf_dir, "conversations").select(
         F.struct("conv_id", "turn").alias("turn_id"), "text")
     return grounding.ground_sentences(turns, nodes, edges).select(
@@ -394,18 +438,34 @@ def ground_sentences(spark, sf_dir):
         "grounded")
 
 
-@query("grounding_report")
+@query("grounding_report", with_documents("""
+SELECT conv_id, turn, grounded, total, CASE WHEN grounded = total THEN 'fully sourced'
+  WHEN grounded = 0 THEN 'ungrounded' WHEN grounded * 2 >= total THEN 'mostly grounded'
+  ELSE 'mostly ungrounded' END AS label
+FROM (SELECT conv_id, turn, count(*) FILTER (grounded) AS grounded, count(*) AS total FROM ground
+      GROUP BY conv_id, turn)""", _GROUND))
 def grounding_report(spark, sf_dir):
-    nodes, edges = graph(spark, sf_dir, "documents", "nodes", "edges")
+    nodes, edges = label_index(spark, sf_dir, "documents"), graph(spark, sf_dir, "documents", "edges")
     turns = tables.table(spark, sf_dir, "conversations").select(
         F.struct("conv_id", "turn").alias("turn_id"), "text")
     return grounding.grounding_report(grounding.ground_sentences(turns, nodes, edges)).select(
         "turn_id.conv_id", "turn_id.turn", "grounded", "total", "label")
 
 
-@query("unanswerable_questions")
+@query("unanswerable_questions", with_graph("parts", """
+SELECT conv_id, turn, topics FROM (
+  SELECT conv_id, turn, max(r.term) AS known,
+    string_agg(t.term, ', ' ORDER BY nth) FILTER (length(t.term) > 4) AS topics
+  FROM topic t LEFT JOIN (SELECT DISTINCT term FROM resolved) r ON r.term = t.term GROUP BY conv_id, turn)
+WHERE known IS NULL AND topics IS NOT NULL""", f""",
+topic AS (
+  SELECT conv_id, turn, i AS nth, w[i] AS term FROM (
+    SELECT conv_id, turn, list_filter(list_transform({words("lower(text || '?')")}, lambda q: {strip_punct('q')}),
+      lambda q: length(q) > 3 AND q NOT IN ({quoted(fixed.TOPIC_SKIP)})) AS w FROM conversations),
+  LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
+terms AS (SELECT DISTINCT term FROM topic)""" + RESOLVE_SQL))
 def unanswerable_questions(spark, sf_dir):
-    nodes = graph(spark, sf_dir, "parts", "nodes")
+    nodes = label_index(spark, sf_dir, "parts")
     turns = tables.table(spark, sf_dir, "conversations").select(
         F.struct("conv_id", "turn").alias("turn_id"),
         F.concat(F.col("text"), F.lit("?")).alias("text"))

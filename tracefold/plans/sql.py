@@ -186,6 +186,12 @@ def _inflect_sql(x):
      THEN left({x}, -2) WHEN {x} LIKE '%s' AND {x} NOT LIKE '%ss' THEN left({x}, -1) END}}]"""
 
 
+def _one_byte(x: str) -> str:
+    """The engine counts edits in bytes.  Where terms or labels are plain letters, any other
+    character of the other side is as far from them as one mark."""
+    return f"regexp_replace({x}, '[^\\x00-\\x7f]', '~', 'g')"
+
+
 RESOLVE_SQL = f""",
 lab AS (SELECT DISTINCT label FROM nodes),
 r1 AS (SELECT term, term AS label, 0 AS distance, 'exact' AS method, 1 AS rank FROM terms
@@ -203,13 +209,14 @@ left3 AS (SELECT term FROM left2 WHERE term NOT IN (SELECT term FROM r3)),
 r4 AS (SELECT term, label, 0 AS distance, 'contains' AS method,
               row_number() OVER (PARTITION BY term ORDER BY length(label), label) AS rank
        FROM left3 JOIN lab ON contains(label, term)),
-left4 AS (SELECT term, greatest(2, length(term) // 3) AS k FROM left3
+left4 AS (SELECT term, {_one_byte('term')} AS t, greatest(2, length(term) // 3) AS k FROM left3
           WHERE term NOT IN (SELECT term FROM r4)),
-forms AS (SELECT label, -1 AS p, label AS v FROM lab UNION ALL
+forms AS (SELECT label, p, {_one_byte('v')} AS v FROM (
+          SELECT label, -1 AS p, label AS v FROM lab UNION ALL
           SELECT label, f.p, f.v FROM (SELECT label, unnest({_inflect_sql('label')}) AS f FROM lab)
-          WHERE f.v IS NOT NULL),
-near AS (SELECT term, label, p, levenshtein(term, v) AS d, k FROM left4 JOIN forms
-         ON abs(length(term) - length(v)) <= k),
+          WHERE f.v IS NOT NULL)),
+near AS (SELECT term, label, p, levenshtein(t, v) AS d, k FROM left4 JOIN forms
+         ON abs(length(t) - length(v)) <= k),
 r5 AS (SELECT term, label, d AS distance, 'fuzzy' AS method, row_number() OVER (
          PARTITION BY term ORDER BY d, abs(length(term) - length(label)), label) AS rank
        FROM (SELECT term, label, arg_min(d, p) AS d FROM near WHERE d <= k GROUP BY term, label)),

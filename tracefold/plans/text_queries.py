@@ -164,7 +164,7 @@ def _hedged(x):
 
 _REST = "[" + WORD[1:-1] + WS[1:-1] + "\\-]"
 _CLAIM = f"(?i)({WORD}{_REST}{{1,40}}?){WS}+({fixed.EXTRACT_VERBS}){WS}+({WORD}{_REST}+)"
-def _markup(x):
+def markup(x):
     return f"regexp_replace({x}, '\\*\\*|`|#+{WS}*', '', 'g')"
 
 
@@ -179,7 +179,7 @@ m AS (SELECT doc_id, pos, regexp_extract(h, '{_CLAIM}', 1) AS sj,
 c AS (SELECT doc_id, pos, verb, array_to_string({words('sj')}[-4:], ' ') AS sj,
       {strip(f"CASE WHEN regexp_matches(ob, '(^|{NOT_WORD})(and|but|not|which|that|when)($|{NOT_WORD})') THEN regexp_extract(ob, '(?s)^((?:.*?{NOT_WORD})??)(?:and|but|not|which|that|when)(?:$|{NOT_WORD})', 1) ELSE ob END")} AS ob
       FROM m),
-st AS (SELECT doc_id, pos, {strip(f'''regexp_replace(regexp_replace({_markup("sj || ' ' || verb || ' ' || ob")},
+st AS (SELECT doc_id, pos, {strip(f'''regexp_replace(regexp_replace({markup("sj || ' ' || verb || ' ' || ob")},
    '^{WS}*[-*]{WS}+', ''), '^{WS}*[0-9]+[.)]{WS}+', '')''')} AS statement FROM c
   WHERE lower(sj) NOT IN ({quoted(fixed.NOISE_SUBJECTS)})
     AND lower(string_split(sj, ' ')[1]) NOT IN ({quoted(fixed.NOISE_STARTS)}) AND length(ob) > 2),
@@ -195,7 +195,7 @@ def extract_statements(spark, sf_dir):
 @query("plain_sentences", f"""
 SELECT doc_id, CAST(count(*) AS BIGINT) AS sentences, CAST(sum(length(s)) AS BIGINT) AS chars FROM (
   SELECT doc_id, {strip('s')} AS s FROM (
-    SELECT doc_id, unnest({sentences(_markup('text'))}) AS s FROM documents))
+    SELECT doc_id, unnest({sentences(markup('text'))}) AS s FROM documents))
 WHERE length(s) > 10 GROUP BY doc_id""")
 def plain_sentences(spark, sf_dir):
     return (_table(spark, sf_dir, "documents")

@@ -51,6 +51,19 @@ def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_buckets(df: DataFrame, name: str, columns: list[str], buckets: int) -> DataFrame:
+    """Write ``df`` once as a bucketed, sorted table; joins on the columns read it without an exchange.
+
+    Only the catalog entry lives in the session; the files are in the shared folder.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"tracefold_{uuid.uuid4().hex}"
+    (df.repartition(buckets, *columns).write.mode("errorifexists").option("path", path)
+     .bucketBy(buckets, *columns).sortBy(*columns).saveAsTable(table))
+    return spark.table(table)
+
+
 def clear(spark: SparkSession) -> None:
     """Drop this application's scratch tables once its results are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(
