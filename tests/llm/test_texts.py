@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 
 from tests.llm.fixtures import EDGES, documents, words
-from tracefold.llm import decontaminate, htmltext, licenses, linededup, quality, voronoi
+from tracefold.llm import decontaminate, htmltext, licenses, linededup, mixing, quality, sharding, voronoi
 
 # line dedup
 
@@ -43,6 +43,22 @@ def dedup_by_hand(rows, rare):
     return out
 
 
+def test_moved_blocks_go_by_a_later_alignment():
+    """The blank line of a moved block goes with it, a blank line between own lines stays."""
+    assert linededup.common_blocks([1, 2, 3], [3, 9, 1, 8, 2]) == [0, 2, 4]
+    assert linededup.common_blocks([1, 0, 2, 3, 0, 4], [3, 0, 4, 9, 0, 8, 1, 0, 2]) == [0, 1, 2, 6, 7, 8]
+    start = time.time()
+    assert len(linededup.common_blocks(list(range(1, 20_001)), list(range(20_000, 0, -1)))) == 20_000
+    assert time.time() - start < 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=14), st.lists(st.integers(0, 6), max_size=14))
+def test_alignments_leave_no_shared_line(a, b):
+    gone = set(linededup.common_blocks(a, b))
+    assert {j for j in gone if b[j]} == {j for j, x in enumerate(b) if x and x in a}
+
+
 def test_lines_match_a_plain_version(spark):
     r = random.Random(7)
     pool = [f"line {k} of the pool" for k in range(60)]
@@ -163,6 +179,15 @@ def test_top_products_prunes_cells(spark):
 def test_top_products_empty(spark):
     assert voronoi.top_products(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
+@pytest.mark.parametrize("names", [("_s", "_start", "_id", "_cell", "rate"), ("id_0", "gone_0", "hot_0", "row", "of")])
+def test_columns_of_the_caller_keep_their_values(spark, names):
+    rows = [(i, f"line {i % 3}\nown {i}", "a", *[7 + k for k in range(5)]) for i in range(20)] + [(None, None, None, *[7] * 5)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} int" for n in names))
+    mixed = mixing.mix_sources(df, added=False)
+    assert mixed.columns == df.columns and {tuple(r) for r in mixed.collect()} <= set(rows)
+    for got in (sharding.assign_shards(df, 3), linededup.dedup_lines(df)):
+        assert sorted((str(r.doc_id), *(r[n] for n in names)) for r in got.collect()) == sorted((str(r[0]), *r[3:]) for r in rows)
+
 # main text
 
 

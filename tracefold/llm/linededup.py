@@ -4,12 +4,13 @@ A line is hashed without the white space around it.  Every repeated line knows
 its first holder, the smallest doc_id.  Each further holder is paired with the
 first one, so pairs stay linear in the repeated lines; a pair is aligned by
 patience diff, and by a longest common subsequence where no line is unique.
-The aligned common blocks are deleted from the later document, and so is each
-line of the earlier one that stands elsewhere in the later, as a block of one
-line.  One rule holds however many documents share a line.
+The aligned common blocks are deleted from the later document, and what is left of
+it is aligned again until the two share no line, so that blocks that were moved
+or repeated go, too.  One rule holds however many documents share a line.
 """
 
 from bisect import bisect_left
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -142,17 +143,62 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(earlier: list[int], later: list[int]) -> list[int]:
-    """Positions in later of lines of earlier, with the blank ones inside aligned common blocks."""
-    held = set(earlier) - {BLANK}
-    out, run = {j for j, x in enumerate(later) if x in held}, []
-    for i, j in [*patience(earlier, later), (-9, -9)]:
+def _chains(earlier: list[int], later: list[int], places: list[int]) -> list[list[tuple[int, int]]]:
+    """Further alignments that together match every shared line of later at ``places``, each increasing on both sides.
+
+    Each line, matched to its first place in earlier, goes to the alignment whose last match lies
+    closest before it; no fewer alignments could hold them.
+    """
+    first = {}
+    for i, x in enumerate(earlier):
+        first.setdefault(x, i)
+    lasts, chains = [], []                  # last places of the alignments, ascending
+    for j in places:
+        i = first.get(later[j], -1) if later[j] != BLANK else -1
+        if i < 0:
+            continue
+        at = bisect_left(lasts, i) - 1
+        if at < 0:
+            lasts.insert(0, i)
+            chains.insert(0, [(i, j)])
+        else:
+            lasts[at] = i
+            chains[at].append((i, j))
+    return chains
+
+
+def _blocks(matches: list[tuple[int, int]], later: list[int]) -> list[int]:
+    """Places in later of runs that follow each other on both sides and hold a line that is not blank."""
+    out, run = [], []
+    for i, j in [*matches, (-9, -9)]:
         if run and (i != run[-1][0] + 1 or j != run[-1][1] + 1):
             if any(later[q] != BLANK for _, q in run):
-                out.update(q for _, q in run)
+                out += [q for _, q in run]
             run = []
         run.append((i, j))
-    return sorted(out)
+    return out
+
+
+def common_blocks(earlier: list[int], later: list[int]) -> list[int]:
+    """Positions in later of the blocks that repeated alignment with earlier finds.
+
+    The documents are aligned, the common blocks are taken out of later, and what is left is
+    aligned again, until no line is shared: a block that was moved goes by a later
+    alignment.  Rounds that find little are followed by one that finds the rest.
+    """
+    held = set(earlier) - {BLANK}
+    left, out = list(range(len(later))), []
+    while True:
+        shared = sum(later[j] in held for j in left)
+        if not shared:
+            return sorted(out)
+        matches = patience(earlier, [later[j] for j in left])
+        gone = _blocks([(i, left[j]) for i, j in matches], later)
+        if 8 * len(gone) < shared:
+            gone += [q for chain in _chains(earlier, later, sorted(set(left) - set(gone))) for q in _blocks(chain, later)]
+        out += gone
+        gone = set(gone)
+        left = [j for j in left if j not in gone]
 
 
 def _hash_rows(batches):
@@ -170,33 +216,35 @@ def _align(batches):
             [batch.column("doc_id"), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
 
 
-def _remove(batches):
-    names = None
-    for batch in batches:
-        names = names or [n for n in batch.schema.names if n not in ("_gone", "_hot")]
-        texts, total, removed = [], [], []
-        for text, gone, hot in zip(batch.column("text"), batch.column("_gone").to_pylist(),
-                                   batch.column("_hot").to_pylist()):
-            text = text.as_py()
-            lines = text.split("\n") if text else []
-            drop = set(gone or ())
-            if hot:
-                hot = set(hot)
-                drop.update(i for i, h in enumerate(line_hashes(text)) if h in hot)
-            total.append(len(lines))
-            removed.append(len(drop))
-            texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
-        out = {n: batch.column(n) for n in names} | {
-            "text": pa.array(texts, pa.string()), "n_lines": pa.array(total, pa.int32()),
-            "n_removed": pa.array(removed, pa.int32())}
-        yield pa.RecordBatch.from_pydict(out)
+def _remove(gone_name: str, hot_name: str):
+    def run(batches):
+        names = None
+        for batch in batches:
+            names = names or [n for n in batch.schema.names if n not in (gone_name, hot_name)]
+            texts, total, removed = [], [], []
+            for text, gone, hot in zip(batch.column("text"), batch.column(gone_name).to_pylist(),
+                                       batch.column(hot_name).to_pylist()):
+                text = text.as_py()
+                lines = text.split("\n") if text else []
+                drop = set(gone or ())
+                if hot:
+                    hot = set(hot)
+                    drop.update(i for i, h in enumerate(line_hashes(text)) if h in hot)
+                total.append(len(lines))
+                removed.append(len(drop))
+                texts.append("\n".join(x for i, x in enumerate(lines) if i not in drop) if drop else text)
+            out = {n: batch.column(n) for n in names} | {
+                "text": pa.array(texts, pa.string()), "n_lines": pa.array(total, pa.int32()),
+                "n_removed": pa.array(removed, pa.int32())}
+            yield pa.RecordBatch.from_pydict(out)
+    return run
 
 
 def dedup_lines(docs: DataFrame, rare: int | None = None) -> DataFrame:
     """docs without lines that an earlier document holds; adds n_lines, n_removed.
 
-    docs: doc_id long, text string; further columns pass through, but n_lines,
-    n_removed, _gone and _hot are replaced or dropped.  Lines end at "\\n".
+    docs: doc_id long, text string; further columns pass through, but n_lines and
+    n_removed are replaced.  Lines end at "\\n".
     Earlier means smaller doc_id.  Blank lines only go inside a deleted block.
     A text whose lines are all deleted becomes empty; null texts stay null with
     0 lines, rows without doc_id stay as they are.  doc_id is a key: rows that
@@ -205,7 +253,10 @@ def dedup_lines(docs: DataFrame, rare: int | None = None) -> DataFrame:
     ``rare``, lines in more documents than that go without alignment, so that
     blank lines between them stay; other lines fare alike.
     """
-    docs = docs.drop("n_lines", "n_removed", "_gone", "_hot")
+    docs = docs.drop("n_lines", "n_removed")
+    taken = {c.lower() for c in docs.columns}
+    # names of our own that no column of the caller has
+    key, gone_name, hot_name = (next(n for i in count() if (n := f"{c}_{i}") not in taken) for c in ("id", "gone", "hot"))
     lines = materialize(
         docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .mapInArrow(_hash_rows, "doc_id long, lines array<long>").dropDuplicates(["doc_id"]), "lines")
@@ -220,8 +271,8 @@ def dedup_lines(docs: DataFrame, rare: int | None = None) -> DataFrame:
     gone = gone.select("doc_id", "gone", F.lit(None).cast("long").alias("hot"))
     hot = hits.filter(F.lit(False) if rare is None else F.col("df") > rare).select("doc_id", F.lit(None).cast("array<int>").alias("gone"), F.col("h").alias("hot"))
     # at most one entry per line of the document
-    changes = gone.union(hot).groupBy(F.col("doc_id").alias("_id")).agg(
-        F.array_distinct(F.flatten(F.collect_list("gone"))).alias("_gone"), F.collect_list("hot").alias("_hot"))
+    changes = gone.union(hot).groupBy(F.col("doc_id").alias(key)).agg(
+        F.array_distinct(F.flatten(F.collect_list("gone"))).alias(gone_name), F.collect_list("hot").alias(hot_name))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return (docs.join(changes, F.col("doc_id") == F.col("_id"), "left").drop("_id")
-            .mapInArrow(_remove, f"{schema}, n_lines int, n_removed int"))
+    return (docs.join(changes, F.col("doc_id") == F.col(key), "left").drop(key)
+            .mapInArrow(_remove(gone_name, hot_name), f"{schema}, n_lines int, n_removed int"))

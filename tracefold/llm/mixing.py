@@ -63,34 +63,39 @@ def poisson_quantile(u, rate):
     return step["k"]
 
 
-def draw_copies(seed: int, rate):
-    """Copies of the row's doc_id: a sum of draws with means up to LARGEST_MEAN."""
+def draw_copies(seed: int, rate, doc_id):
+    """Copies of a doc_id: a sum of draws with means up to LARGEST_MEAN."""
     parts = F.ceil(rate / LARGEST_MEAN).cast("int")
-    one = poisson_quantile(_uniform(F.lit(seed), F.col("doc_id")), rate)
+    one = poisson_quantile(_uniform(F.lit(seed), doc_id), rate)
     many = F.aggregate(
         F.sequence(F.lit(1), F.greatest(parts, F.lit(1))), F.lit(0).cast("long"),
-        lambda n, i: n + poisson_quantile(_uniform(F.lit(seed), F.col("doc_id"), i), rate / parts))
+        lambda n, i: n + poisson_quantile(_uniform(F.lit(seed), doc_id, i), rate / parts))
     return F.when(parts > 1, many).when(rate > 0, one).otherwise(F.lit(0).cast("long"))
 
 
 def mix_sources(docs: DataFrame, weights: dict | None = None, power: float = 0.5,
-                budget: float = 1.0, seed: int = 17) -> DataFrame:
+                budget: float = 1.0, seed: int = 17, added: bool = True) -> DataFrame:
     """Every row of docs as often as drawn, in a global random order.
 
     docs: doc_id, text, source; further columns pass through, but columns named
     copy, copies, rate or shuffle_key are replaced.  Adds rate, copies (drawn
     for the row), copy (from 1) and shuffle_key, by which rows are range
-    partitioned and sorted.  Rows that repeat a doc_id draw the same number.
+    partitioned and sorted; with ``added`` false just docs' own columns return, whatever
+    their names.  Rows that repeat a doc_id draw the same number.
     A null doc_id draws as the text "?"; a null text has size 1.  A source
     without weight gives no rows; no rows give no rows.
     """
-    docs = docs.drop("copy", "copies", "rate", "shuffle_key")
-    rates = source_rates(docs, weights, power, budget).select(F.col("source").alias("_s"), "rate")
-    drawn = (docs.join(rates, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-             .withColumn("copies", draw_copies(seed, F.col("rate"))).filter("copies > 0")
+    kept = [c for c in docs.columns if not added or c not in ("copy", "copies", "rate", "shuffle_key")]
+    # the caller's columns travel in one struct, so none of their names meets one used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    rates = source_rates(docs, weights, power, budget).select(F.col("source").alias("of"), "rate")
+    drawn = (rows.join(rates, F.col("row.source").eqNullSafe(F.col("of")))
+             .withColumn("copies", draw_copies(seed, F.col("rate"), F.col("row.doc_id"))).filter("copies > 0")
              .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-             .withColumn("shuffle_key", _uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy"))))
-    return drawn.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+             .withColumn("shuffle_key", _uniform(F.lit(seed + 1), F.col("row.doc_id"), F.col("copy"))))
+    more = ["rate", "copies", "copy", "shuffle_key"] if added else []
+    return (drawn.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key")
+            .select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *more))
 
 
 MIX_SQL = """

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialize
 from .chat import conversation_digests, format_turns
 from .decontaminate import find_leaks
 from .gridjoin import near_vectors
@@ -26,10 +27,13 @@ def op1_near_duplicates(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
-@query("op2_mix_sources", MIX_SQL.format(docs="documents", columns="doc_id, source, rate, copies, copy"))
+@query("op2_mix_sources", MIX_SQL.format(
+    docs="documents", columns="doc_id, source, rate, copies, copy, sha256(coalesce(text, '')) AS text_sha256"))
 def op2_mix_sources(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents")
-    return mix_sources(docs).select("doc_id", "source", "rate", "copies", "copy")
+    # the digest is of the texts that come out, so the shuffle moves whole documents
+    mixed = materialize(mix_sources(read(spark, sf_dir, "documents")), "mixed")
+    return mixed.select("doc_id", "source", "rate", "copies", "copy",
+                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
 @query("op3_format_chats", CHAT_SQL)
@@ -45,11 +49,11 @@ def op3_format_chats(spark, sf_dir):
 
 @query("op10_shards")
 def op10_shards(spark, sf_dir):
-    # the digest is taken before rows are numbered, so that texts don't travel
-    docs = read(spark, sf_dir, "documents").select(
-        "doc_id", "text", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
-    return assign_shards(docs, SHARDS).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    # the digest is of the texts that come out, as they stand in their shards
+    sharded = materialize(assign_shards(read(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS), "shards")
+    return sharded.select(
+        "doc_id", "size", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op8_quality_grades")

@@ -157,29 +157,33 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     cell of doc_id and then doc_id, so ties share no slot.  With fewer groups
     than shards some shards stay empty.  No rows give no rows.
     """
-    key = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = docs.withColumns({"size": size})
+    kept = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    # the caller's columns travel in one struct, so none of their names meets one used here
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    text = F.col("row.text")
+    key = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    rows = rows.withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
     groups = materialize(rows.select(key.alias("key"), "size").groupBy("key")
                          .agg(F.sum("size").alias("size"), F.count("*").alias("rows")), "groups")
     alone, firsts = plan_cuts(groups, shards)
     expected = groups.agg(F.sum("rows")).first()[0] or 0
-    return number_rows(rows.withColumn("shard", shard_of(key, alone, firsts)), expected)
+    numbered = number_rows(rows.withColumn("shard", shard_of(key, alone, firsts)), F.col("row.doc_id"), key, expected)
+    return numbered.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "size", "shard", "slot")
 
 
-def number_rows(rows: DataFrame, expected: int) -> DataFrame:
+def number_rows(rows: DataFrame, doc_id, key, expected: int) -> DataFrame:
     """Add slot, the place of each row in its shard.
 
-    Rows are counted in cells of about CELL_ROWS rows by a hash of doc_id, so
-    neither a shard nor a hot text is numbered in one task; a cell's first slot
-    is the number of rows in the cells before it.
+    Rows are counted in cells of about CELL_ROWS rows by a hash of doc_id, of the text's key where
+    there is none, so neither a shard nor a hot text is numbered in one task; a cell's
+    first slot is the number of rows in the cells before it.
     """
     cells = max(16, expected // CELL_ROWS)
-    rows = rows.withColumn("_cell", F.pmod(F.xxhash64("doc_id"), F.lit(cells)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    spread = F.when(doc_id.isNull(), F.xxhash64(key)).otherwise(F.xxhash64(doc_id))
+    rows = rows.withColumn("cell", F.pmod(spread, F.lit(cells)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     starts = materialize(
-        rows.groupBy("shard", "_cell").agg(F.count("*").alias("n"))
-        .select("shard", "_cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start")), "cells")
-    place = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("doc_id")) - 1
-    return (rows.join(starts, ["shard", "_cell"])
-            .withColumn("slot", (F.col("_start") + place).cast("long")).drop("_cell", "_start"))
+        rows.groupBy("shard", "cell").agg(F.count("*").alias("n"))
+        .select("shard", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start")), "cells")
+    place = F.row_number().over(Window.partitionBy("shard", "cell").orderBy(doc_id)) - 1
+    return rows.join(starts, ["shard", "cell"]).withColumn("slot", (F.col("start") + place).cast("long")).drop("cell", "start")
