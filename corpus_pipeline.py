@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it
 to the shared checkpoint folder and hands what it reads back to the next one.
-All stages but the last return the columns of documents.
+All stages but the last return the columns of documents, whatever further columns
+these have; a column named size, shard or slot is replaced by the last.  Null and empty
+texts, repeated rows, ties and empty tables fare as the operators' docstrings say:
+no rows give no rows, rows without doc_id are never taken for copies.
 """
 
 from tracefold.llm.decontaminate import drop_leaks
@@ -35,7 +38,7 @@ def decontamination(spark, docs, sf_dir):
 
 def mixture(spark, docs, sf_dir):
     """Documents repeated so that sources near the square roots of their sizes, in random order."""
-    return mix_sources(docs).select(*docs.columns)
+    return mix_sources(docs, added=False)
 
 
 def shards(spark, docs, sf_dir):
