@@ -84,16 +84,14 @@ def _place(axes):
 
 
 def _number(batches):
-    """Block number inside the sorted partition: a new block every BLOCK vectors and at a new dimension."""
-    last, seq, held = None, -1, 0
+    """Place of each row among those of its dimension in the sorted partition."""
+    seen: dict[int, int] = {}
     for batch in batches:
         out = []
         for dim in batch.column("dim").to_pylist():
-            if dim != last or held == BLOCK:
-                last, seq, held = dim, seq + 1, 0
-            held += 1
-            out.append(seq)
-        yield batch.append_column("seq", pa.array(out, pa.int32()))
+            out.append(seen.get(dim, 0))
+            seen[dim] = out[-1] + 1
+        yield batch.append_column("seq", pa.array(out, pa.int64()))
 
 
 def ordered_blocks(vectors: DataFrame, epsilon: float) -> DataFrame:
@@ -107,17 +105,19 @@ def ordered_blocks(vectors: DataFrame, epsilon: float) -> DataFrame:
     placed = materialize(placed.withColumn("cell", cell).withColumn("fine", fine), "placed")
     rows = (placed.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("cell", "fine")
             .withColumn("part", F.spark_partition_id())
-            .mapInArrow(_number, "id long, weight long, vec array<double>, dim int, place array<double>, part int, seq int"))
+            .mapInArrow(_number, "id long, weight long, vec array<double>, dim int, place array<double>, part int, seq long"))
     rows = materialize(rows, "sequence")
-    # consecutive numbers: what comes before a partition, from one row per partition
-    counts = sorted((r.part, r.n) for r in rows.groupBy("part").agg((F.max("seq") + 1).alias("n")).collect())
-    start, before = [], 0
-    for part, n in counts:
-        start.append((part, before))
+    # places in the whole sequence, from one row per partition: blocks don't hang on how it is dealt
+    counts = sorted((r.dim, r.part, r.n) for r in rows.groupBy("dim", "part").agg(F.count("*").alias("n")).collect())
+    start, first, before, last = [], 0, 0, None
+    for dim, part, n in counts:
+        if dim != last:
+            first, before, last = first + -(-before // BLOCK), 0, dim
+        start.append((dim, part, first, before))
         before += n
-    offset = vectors.sparkSession.createDataFrame(start, "part int, offset long")
-    return rows.join(F.broadcast(offset), "part").select((F.col("offset") + F.col("seq")).alias("block"),
-                                                         "dim", "id", "weight", "vec", "place")
+    offset = vectors.sparkSession.createDataFrame(start, "dim int, part int, first long, before long")
+    block = F.col("first") + F.floor((F.col("before") + F.col("seq")) / BLOCK)
+    return rows.join(F.broadcast(offset), ["dim", "part"]).select(block.alias("block"), "dim", "id", "weight", "vec", "place")
 
 
 def _apart(epsilon: float):
