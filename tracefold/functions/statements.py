@@ -14,14 +14,12 @@ from .strings import let, lit_array, singular, strip, words
 
 def property_type(label: Column) -> Column:
     """Built-in property type of a label ('attribute' when unknown)."""
-    pairs = [(w, t) for t, ws in fixed.PROPERTY_TYPES.items() for w in ws.split()]
-    lookup = F.create_map(*[F.lit(x) for x in itertools.chain(*pairs)])
+    lookup = F.create_map(*[F.lit(x) for x in itertools.chain(*fixed.PROPERTY_TYPES.items())])
     return F.coalesce(F.element_at(lookup, F.lower(label)), F.lit("attribute"))
 
 
 def category(label: Column) -> Column:
-    pairs = [(w, t) for t, ws in fixed.CATEGORIES.items() for w in ws.split()]
-    lookup = F.create_map(*[F.lit(x) for x in itertools.chain(*pairs)])
+    lookup = F.create_map(*[F.lit(x) for x in itertools.chain(*fixed.CATEGORIES.items())])
     return F.coalesce(F.element_at(lookup, F.lower(label)), F.lit("thing"))
 
 

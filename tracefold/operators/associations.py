@@ -14,8 +14,7 @@ def _norm(name):
 
 
 def builtin_rows(spark, table: dict, key: str, value: str) -> DataFrame:
-    pairs = [(v, k) for k, vs in table.items() for v in vs.split()]
-    rows = F.array(*[F.struct(F.lit(a).alias(key), F.lit(b).alias(value)) for a, b in pairs])
+    rows = F.array(*[F.struct(F.lit(a).alias(key), F.lit(b).alias(value)) for a, b in table.items()])
     return spark.range(1).select(F.inline(rows))
 
 

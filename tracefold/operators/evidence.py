@@ -174,6 +174,10 @@ def fold_sources(per_source: DataFrame) -> DataFrame:
         .alias("strength"), "first_seq", "last_seq")
 
 
+#: Nodes that one statement may name.
+PLACES = 1_000_000
+
+
 def fold_nodes(log: DataFrame) -> DataFrame:
     """One row per label; the type it was first created with wins."""
     ends = log.select(
@@ -184,10 +188,12 @@ def fold_nodes(log: DataFrame) -> DataFrame:
                      F.col("seq"), (F.col("step") * 2 + 1).alias("ord")))))
     types = ["concept", "property", "relation", "association"]
     rank = F.array_position(F.array(*[F.lit(t) for t in types]), F.col("node_type"))
-    # seq, place inside the statement and type packed into one fixed-width minimum
-    order = F.col("seq") * 64 + F.least(F.col("ord"), F.lit(11)) * 5 + rank
-    node_type = F.element_at(F.array(*[F.lit(t) for t in types]),
-                             F.pmod(F.pmod(F.col("o"), F.lit(64)), F.lit(5)).cast("int"))
+    # seq, place inside the statement and type in one minimum: 128 bits, which the hash aggregate
+    # still updates in place, hold any seq and up to PLACES places
+    whole = lambda c: c.cast("decimal(20,0)")
+    order = (whole(F.col("seq")) * F.lit(5 * PLACES).cast("decimal(10,0)")
+             + whole(F.col("ord").cast("long") * 5 + rank)).cast("decimal(38,0)")
+    node_type = F.element_at(F.array(*[F.lit(t) for t in types]), F.pmod(F.col("o"), F.lit(5).cast("decimal(38,0)")).cast("int"))
     return (ends.groupBy("region", "label").agg(F.min(order).alias("o"))
             .select("region", "label", node_type.alias("node_type")))
 

@@ -214,7 +214,7 @@ SELECT label, category FROM (
     FROM part) GROUP BY w)
 UNION ALL
 SELECT label, category FROM (VALUES """ + ", ".join(
-    f"('{w}', '{c}')" for c, ws in fixed.CATEGORIES.items() for w in ws.split())
+    f"('{w}', '{c}')" for w, c in fixed.CATEGORIES.items())
     + ") v(label, category)")
 def categorize(spark, sf_dir):
     rows = tables.table(spark, sf_dir, "part").select(
@@ -239,7 +239,7 @@ SELECT category, string_agg(label, ',' ORDER BY label) AS labels FROM (
     FROM part) GROUP BY w
   UNION ALL
   SELECT label, category FROM (VALUES """ + ", ".join(
-    f"('{w}', '{c}')" for c, ws in fixed.CATEGORIES.items() for w in ws.split())
+    f"('{w}', '{c}')" for w, c in fixed.CATEGORIES.items())
     + ") v(label, category)) GROUP BY category")
 def list_categories(spark, sf_dir):
     return associations.list_categories(categorize(spark, sf_dir)).select(

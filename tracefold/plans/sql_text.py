@@ -29,9 +29,8 @@ def replace_all(x: str, pairs) -> str:
 
 
 def _ptype(obj: str) -> str:
-    cases = " ".join(f"WHEN lower({obj}) IN ({quoted(ws.split())}) THEN '{t}'"
-                     for t, ws in fixed.PROPERTY_TYPES.items())
-    return f"CASE {cases} ELSE 'attribute' END"
+    cases = " ".join(f"WHEN '{w}' THEN '{t}'" for w, t in fixed.PROPERTY_TYPES.items())
+    return f"CASE lower({obj}) {cases} ELSE 'attribute' END"
 
 
 def parse_ctes(source: str, tag: str = "") -> str:

@@ -525,15 +525,18 @@ def link_dates(spark, sf_dir):
 
 
 @query("link_to_day", """
-SELECT 'user#' || user_id AS src, strftime(ts, 'day_%Y_%m_%d') AS dst, 'happened_on' AS relation,
-       CASE WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 17 THEN 'afternoon'
-            WHEN hour(ts) < 21 THEN 'evening' ELSE 'night' END AS period,
-       CAST(count(*) AS BIGINT) AS events FROM events GROUP BY ALL""")
+WITH timed AS (
+  SELECT 'user#' || user_id AS who, strftime(ts, 'day_%Y_%m_%d') AS day,
+         CASE WHEN hour(ts) < 12 THEN 'morning' WHEN hour(ts) < 17 THEN 'afternoon'
+              WHEN hour(ts) < 21 THEN 'evening' ELSE 'night' END AS period FROM events)
+SELECT src, dst, relation, period, CAST(count(*) AS BIGINT) AS events FROM (
+  SELECT who AS src, day AS dst, 'happened_on' AS relation, period FROM timed
+  UNION ALL SELECT day, 'moment', 'is_a', period FROM timed) GROUP BY ALL""")
 def link_to_day(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select(
         F.lit("activity").alias("region"), F.concat(F.lit("user#"), F.col("user_id"))
         .alias("concept"), "ts", F.col("event_id").alias("seq"))
-    linked = dates.link_to_day(rows, "ts").filter("relation = 'happened_on'")
+    linked = dates.link_to_day(rows, "ts")
     when = rows.select("seq", dates.day_period(F.hour("ts")).alias("period"))
     return (linked.join(when, "seq").groupBy("src", "dst", "relation", "period")
             .agg(F.count("*").alias("events")))
