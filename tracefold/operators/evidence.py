@@ -204,8 +204,21 @@ def witnesses(log: DataFrame) -> DataFrame:
             .groupBy(*EDGE_KEY, "source").agg(F.min("seq").alias("first_seq")))
 
 
+def chain_id(*parts):
+    """Id of a chain of steps: a digest of its labels, each with its length."""
+    return F.sha2(F.concat_ws("|", *[F.concat_ws(":", F.length(p), p) for p in parts]), 256)
+
+
+def chains_of(paths: DataFrame) -> DataFrame:
+    """Dictionary of chains: (chain, region, src, dst, relation), a row per distinct step of each."""
+    return paths.select("chain", "region", F.inline("steps")).distinct()
+
+
 def paths_of(fact_rows: DataFrame) -> DataFrame:
-    """One recorded path per statement, plus the marker path of a refutation."""
+    """One recorded path per statement, plus the marker path of a refutation.
+
+    Statements that say the same share a chain of steps, named by its id.
+    """
     mid = F.concat_ws("_", "subject", "ptype")
     mark = F.concat(F.col("subject"), F.lit("_refuted"))
 
@@ -214,12 +227,14 @@ def paths_of(fact_rows: DataFrame) -> DataFrame:
     main = F.struct(
         F.lit(0).alias("part"), F.col("obj").alias("origin"), F.col("subject").alias("terminus"),
         F.array(step(F.col("obj"), mid, F.col("relation")),
-                step(mid, F.col("subject"), F.lit("describes"))).alias("steps"))
+                step(mid, F.col("subject"), F.lit("describes"))).alias("steps"),
+        chain_id(F.col("region"), F.col("obj"), F.col("relation"), mid, F.col("subject")).alias("chain"))
     marker = F.struct(
         F.lit(1).alias("part"), F.col("subject").alias("origin"),
         F.lit("refuted").alias("terminus"),
         F.array(step(F.col("subject"), mark, F.lit("refutation_of")),
-                step(mark, F.lit("refuted"), F.lit("refutation_status"))).alias("steps"))
+                step(mark, F.lit("refuted"), F.lit("refutation_status"))).alias("steps"),
+        chain_id(F.col("region"), F.col("subject"), F.lit("refuted")).alias("chain"))
     both = F.when(F.col("kind") == "refute", F.array(main, marker)).otherwise(F.array(main))
     return fact_rows.select("region", "statement_id", "seq", "source_text", F.inline(both))
 

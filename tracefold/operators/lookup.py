@@ -5,8 +5,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions import fixed
 from ..functions.strings import words
 from ..sources.scratch import materialize
-from .evidence import EDGE_KEY
-from .resolve import did_you_mean, resolve
+from .evidence import EDGE_KEY, chains_of
+from .resolve import did_you_mean, resolve, resolved_labels
 from .similar import similar_to
 from .waves import top_per_group, trace
 
@@ -41,30 +41,41 @@ def paths_from(labels: DataFrame, paths: DataFrame) -> DataFrame:
                       ["region", "origin"], "left_semi")
 
 
-def path_weights(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """Add weight (mean step strength) and weakest (lowest step strength).
+def chain_weights(chains: DataFrame, edges: DataFrame, min_strength: float | None = None) -> DataFrame:
+    """(chain, weight, weakest): mean and lowest step strength of each chain of the dictionary.
 
-    Statements repeat, chains do not: weights are worked out once per distinct
-    chain of steps and joined back.
+    A chain with any step below ``min_strength`` is left out; None keeps all.
     """
-    chains = paths.select("region", "steps").distinct()
-    weighed = (chains.select("region", "steps", F.inline("steps"))
-               .join(edges.select(*EDGE_KEY, "strength"), EDGE_KEY)
-               .groupBy("region", "steps")
-               .agg(F.avg("strength").alias("weight"), F.min("strength").alias("weakest")))
-    return paths.join(weighed, ["region", "steps"])
+    out = (chains.join(edges.select(*EDGE_KEY, "strength"), EDGE_KEY).groupBy("chain")
+           .agg(F.avg("strength").alias("weight"), F.min("strength").alias("weakest")))
+    return out if min_strength is None else out.filter(F.col("weakest") >= min_strength)
 
 
 def why(labels: DataFrame, paths: DataFrame, edges: DataFrame,
-        min_strength: float | None = fixed.MIN_STRENGTH) -> DataFrame:
+        min_strength: float | None = fixed.MIN_STRENGTH, chains: DataFrame = None) -> DataFrame:
     """Recorded paths that end at each label, with their signed weight.
 
-    A path with any step below ``min_strength`` is left out; None keeps all.
+    A path with any step below ``min_strength`` is left out; None keeps all.  ``chains``: the
+    stored dictionary of the paths, else worked out here.
     """
-    out = path_weights(paths_to(labels, paths), edges)
-    if min_strength is not None:
-        out = out.filter(F.col("weakest") >= min_strength)
-    return out
+    paths = paths_to(labels, paths)
+    return paths.join(chain_weights(chains_of(paths) if chains is None else chains, edges, min_strength), "chain")
+
+
+def why_counts(labels: DataFrame, paths: DataFrame, edges: DataFrame,
+               min_strength: float | None = fixed.MIN_STRENGTH, chains: DataFrame = None, index=None) -> DataFrame:
+    """(region, label, origin, source_text, weight, weakest, paths) of paths that end at each label.
+
+    Statements repeat, chains do not: equal statements are counted per chain and text before
+    weights are joined to them, so no statement meets a weight by itself.  With ``index``,
+    labels are free terms that are resolved first.
+    """
+    if index is not None:
+        labels = resolved_labels(labels, index)
+    said = (paths_to(labels, paths).groupBy("region", F.col("terminus").alias("label"), "origin", "source_text", "chain")
+            .agg(F.count("*").alias("paths")))
+    weighed = chain_weights(chains_of(paths) if chains is None else chains, edges, min_strength)
+    return said.join(weighed, "chain").drop("chain")
 
 
 def chain_of(fact_rows: DataFrame) -> DataFrame:
@@ -188,12 +199,12 @@ def summarize(labels: DataFrame, paths: DataFrame, edges: DataFrame, pairs: Data
     return to.unionByName(near)
 
 
-def query_topics(topics: DataFrame, nodes: DataFrame, paths: DataFrame, edges: DataFrame):
+def query_topics(topics: DataFrame, nodes: DataFrame, paths: DataFrame, edges: DataFrame, index=None):
     """All that is known about free topics (region, topic); suggestions where nothing is.
 
     Returns (topic, label, kind, text, weight) with kind why, trace or did_you_mean.
     """
-    resolved = materialize(resolve(topics.select(F.lower("topic").alias("term")), nodes),
+    resolved = materialize(resolve(topics.select(F.lower("topic").alias("term")), nodes if index is None else index),
                            "topics")
     best = resolved.filter("rank = 1").select(F.col("term").alias("topic"), "label")
     asked = nodes.select("region", "label").join(best.select("label").distinct(), "label",

@@ -56,13 +56,24 @@ def resolve(terms: DataFrame, nodes, max_results: int = None) -> DataFrame:
     return known.select(*cols).unionByName(inside.select(*cols)).unionByName(fuzzy.select(*cols))
 
 
+def resolved_labels(asked: DataFrame, nodes, column: str = "label") -> DataFrame:
+    """Rows of ``asked`` with the stored label that theirs resolves to; others are left out.
+
+    ``nodes``: a LabelIndex or nodes, as for resolve.
+    """
+    best = resolve(asked.select(F.col(column).alias("term")), nodes, 1).select("term", F.col("label").alias("stored"))
+    rows = asked.join(best, F.col(column) == F.col("term")).drop("term")
+    return rows.withColumn(column, F.col("stored")).drop("stored")
+
+
 def did_you_mean(terms: DataFrame, nodes: DataFrame, paths: DataFrame,
-                 index: LabelIndex = None) -> DataFrame:
+                 index: LabelIndex = None, resolved: DataFrame = None) -> DataFrame:
     """Candidates of terms that only match by containment or edit distance.
 
+    ``index``: the stored index over the nodes; ``resolved``: what resolve returned already.
     The description is the text of the first path recorded to the candidate.
     """
-    found = resolve(terms, nodes if index is None else index)
+    found = resolve(terms, nodes if index is None else index) if resolved is None else resolved
     loose = found.filter(F.col("method").isin("contains", "fuzzy"))
     first = (paths.groupBy(F.col("terminus").alias("label"))
              .agg(F.min_by("source_text", F.struct("seq", "part")).alias("description")))

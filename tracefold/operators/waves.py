@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.fixed import ECHO_LEVELS, MIN_STRENGTH
 from ..sources.scratch import materialize
+from .resolve import resolved_labels
 
 SEED = ["region", "seed", "min_strength"]
 FAR = 1e9
@@ -92,14 +93,17 @@ def _seeds(inputs: DataFrame, min_strength: float) -> DataFrame:
 
 
 def recognize(inputs: DataFrame, edges: DataFrame, depth: int = 3,
-              min_strength: float = MIN_STRENGTH, min_seeds: int = 1) -> DataFrame:
+              min_strength: float = MIN_STRENGTH, min_seeds: int = 1, index=None) -> DataFrame:
     """Rank what the seeds of each group reach.
 
-    ``inputs`` is (region, group_id, label) with resolved labels; repeated
-    labels count once.  Returns (region, group_id, node, confidence,
+    ``inputs`` is (region, group_id, label); repeated labels count once.  With ``index``, a
+    LabelIndex or nodes, labels are free terms that are resolved first; without it
+    they are stored labels.  Returns (region, group_id, node, confidence,
     signed_confidence); all reached nodes are kept unless ``min_seeds`` asks
     for intersections only.
     """
+    if index is not None:
+        inputs = materialize(resolved_labels(inputs, index), "resolved-inputs")
     waves = propagate(_seeds(inputs, min_strength), stored_adjacency(edges), depth)
     asked = inputs.select("region", "group_id", F.col("label").alias("seed")).distinct()
     return (asked.join(waves.select("region", "seed", "node", "weight"), ["region", "seed"])
@@ -116,8 +120,10 @@ def top_per_group(df: DataFrame, group: list[str], order: list, k: int = None) -
 
 
 def trace(labels: DataFrame, edges: DataFrame, depth: int = 3,
-          min_strength: float = MIN_STRENGTH) -> DataFrame:
-    """All outgoing paths of each label with their weights."""
+          min_strength: float = MIN_STRENGTH, index=None) -> DataFrame:
+    """All outgoing paths of each label with their weights; with ``index``, labels are resolved first."""
+    if index is not None:
+        labels = materialize(resolved_labels(labels, index), "resolved-labels")
     return propagate(_seeds(labels, min_strength), stored_adjacency(edges), depth) \
         .select("region", F.col("seed").alias("label"), "node", "hops", "path", "weight")
 

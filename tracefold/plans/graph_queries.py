@@ -8,7 +8,7 @@ from ..operators import (associations, coverage, evidence, lookup, quality, simi
                          waves)
 from ..sources import tables
 from .catalog import query
-from .graphs import graph
+from .graphs import graph, label_index
 from .sql import RESOLVE_SQL, both_wave, forward_wave, with_graph
 
 EDGE_SQL = """SELECT region, src, dst, relation, traversals, refutations, witnesses,
@@ -173,6 +173,52 @@ def recognize_top5(spark, sf_dir):
                 F.col("rank").cast("bigint"))
 
 
+FREE_SQL = """,
+free AS (SELECT DISTINCT lower(p_brand) || '+' || lower(p_type) AS group_id,
+                unnest([replace(lower(p_brand), 'd#', 't#'), lower(p_type) || 's']) AS term FROM part),
+terms AS (SELECT DISTINCT term FROM free)""" + RESOLVE_SQL + """,
+grp AS (SELECT DISTINCT f.group_id, r.label AS seed FROM free f JOIN resolved r ON r.term = f.term AND r.rank = 1)"""
+
+
+def free_groups(spark, sf_dir):
+    """Groups of misspelt brands and of types with an ending, as a user may write them."""
+    pairs = tables.table(spark, sf_dir, "part").select(
+        F.lower("p_brand").alias("brand"), F.lower("p_type").alias("type")).distinct()
+    return pairs.select(F.lit("parts").alias("region"), F.concat_ws("+", "brand", "type").alias("group_id"), F.explode(
+        F.array(F.replace("brand", F.lit("d#"), F.lit("t#")), F.concat("type", F.lit("s")))).alias("label"))
+
+
+@query("recognize_free_labels", with_graph("parts", RECOGNIZE_SQL, FREE_SQL + forward_wave(SEEDS_SQL)))
+def recognize_free_labels(spark, sf_dir):
+    """Groups whose labels have to be resolved before the wave."""
+    return waves.recognize(free_groups(spark, sf_dir), graph(spark, sf_dir, "parts", "edges"),
+                           index=label_index(spark, sf_dir, "parts")).select(
+        "group_id", "node", "confidence", _r("signed_confidence"))
+
+
+@query("trace_free_labels", with_graph("parts", """
+SELECT seed AS label, node, CAST(hops AS BIGINT) AS hops, array_to_string(path, ' > ') AS path,
+       round(weight, 6) AS weight FROM wave""", FREE_SQL + forward_wave(SEEDS_SQL)))
+def trace_free_labels(spark, sf_dir):
+    asked = free_groups(spark, sf_dir).select("region", "label").distinct()
+    return waves.trace(asked, graph(spark, sf_dir, "parts", "edges"), index=label_index(spark, sf_dir, "parts")).select(
+        "label", "node", F.col("hops").cast("bigint"), F.array_join("path", " > ").alias("path"), _r("weight")).distinct()
+
+
+@query("why_free_labels", with_graph("parts", """
+SELECT terminus AS label, origin, source_text, round(weight, 6) AS weight, CAST(count(*) AS BIGINT) AS paths
+FROM weighed WHERE terminus IN (SELECT label FROM resolved WHERE rank = 1) AND weakest >= 0.5 GROUP BY ALL""", """,
+terms AS (SELECT DISTINCT 'pert#' || p_partkey AS term FROM part)""" + RESOLVE_SQL))
+def why_free_labels(spark, sf_dir):
+    """Why the parts that misspelt labels stand for hold what they hold."""
+    paths, edges, chains = graph(spark, sf_dir, "parts", "paths", "edges", "chains")
+    asked = tables.table(spark, sf_dir, "part").select(
+        F.lit("parts").alias("region"), F.concat(F.lit("pert#"), F.col("p_partkey")).alias("label"))
+    out = lookup.why_counts(asked, paths, edges, chains=chains, index=label_index(spark, sf_dir, "parts"))
+    return (out.groupBy("label", "origin", "source_text", F.round("weight", 6).alias("weight"))
+            .agg(F.sum("paths").alias("paths")))
+
+
 @query("trace_properties", with_graph("parts", """
 SELECT seed AS label, node, CAST(hops AS BIGINT) AS hops, array_to_string(path, ' > ') AS path,
        round(weight, 6) AS weight FROM wave""",
@@ -491,11 +537,10 @@ WHERE terminus IN (SELECT label FROM nodes WHERE node_type = 'concept') {cut} GR
 
 
 def _why(spark, sf_dir, min_strength):
-    nodes, paths, edges = graph(spark, sf_dir, "parts", "nodes", "paths", "edges")
-    out = lookup.why(nodes.filter("node_type = 'concept'"), paths, edges, min_strength)
-    return (out.groupBy(F.col("terminus").alias("label"), "origin", "source_text",
-                        F.round("weight", 6).alias("weight"))
-            .agg(F.count("*").alias("paths")))
+    nodes, paths, edges, chains = graph(spark, sf_dir, "parts", "nodes", "paths", "edges", "chains")
+    out = lookup.why_counts(nodes.filter("node_type = 'concept'"), paths, edges, min_strength, chains)
+    return (out.groupBy("label", "origin", "source_text", F.round("weight", 6).alias("weight"))
+            .agg(F.sum("paths").alias("paths")))
 
 
 @query("why_parts", with_graph("parts", WHY_SQL.format(cut="AND weakest >= 0.5")))
@@ -573,7 +618,7 @@ SELECT terminus AS label, source_text,
 FROM weighed GROUP BY ALL"""))
 def answer_standing(spark, sf_dir):
     paths, edges = graph(spark, sf_dir, "parts", "paths", "edges")
-    return lookup.refuted_answers(lookup.path_weights(paths, edges)).drop("region")
+    return lookup.refuted_answers(paths.join(lookup.chain_weights(evidence.chains_of(paths), edges), "chain")).drop("region")
 
 
 # --- coverage ------------------------------------------------------------------
@@ -712,7 +757,7 @@ def query_topics(spark, sf_dir):
     nation = tables.table(spark, sf_dir, "nation").select(F.explode(F.array(
         F.lower("n_name"), F.replace(F.lower("n_name"), F.lit("ti"), F.lit("it"))))
         .alias("topic"))
-    return lookup.query_topics(nation, nodes, paths, edges).select(
+    return lookup.query_topics(nation, nodes, paths, edges, label_index(spark, sf_dir, "geography")).select(
         "topic", "label", "kind", "text", _r("weight"))
 
 

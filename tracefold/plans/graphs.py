@@ -17,6 +17,7 @@ class Graph(NamedTuple):
     edges: DataFrame
     paths: DataFrame
     witnesses: DataFrame
+    chains: DataFrame
 
 
 INPUTS = {
@@ -50,8 +51,9 @@ def _input_state(spark: SparkSession, sf_dir: str, names: list[str]) -> tuple:
 def build(fact_rows: DataFrame) -> Graph:
     """The lazy graph of a fact table."""
     log = evidence.teach(fact_rows)
+    paths = evidence.paths_of(fact_rows)
     return Graph(fact_rows, evidence.fold_nodes(log), evidence.fold_evidence(log),
-                 evidence.paths_of(fact_rows), evidence.witnesses(log))
+                 paths, evidence.witnesses(log), evidence.chains_of(paths))
 
 
 def label_index(spark: SparkSession, sf_dir: str, name: str) -> LabelIndex:
