@@ -60,8 +60,9 @@ def test_large_bucket_is_compared_in_full(spark):
     assert got == want
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 3000)
+@pytest.mark.parametrize("bound, value", [("BLOCK_SHINGLES", 3000), ("BLOCK_ROWS", 20)])
+def test_blocks_of_a_large_bucket(spark, monkeypatch, bound, value):
+    monkeypatch.setattr(minhash, bound, value)
     rows = copies(9, 1, 150, 150)
     got = {r.doc_id: r.component_id for r in minhash.near_duplicates(
         documents(spark, [(i, t, "s") for i, t in rows]), 3, 85).collect()}

@@ -18,7 +18,7 @@ Work over the corpus:
 4. candidates whose sketches are too far apart to be linked (seven standard
    deviations) go; the others are confirmed on the full sets of words;
 5. components.  A large bucket whose members are not yet all in one component
-   is compared in full, inside tasks: blocks of bounded size, counting common
+   is compared in full, inside tasks: blocks of bounded rows and shingles, counting common
    shingles by a matrix product, only between its largest component and the
    rest, returning a spanning forest and never the pairs.
 """
@@ -38,6 +38,7 @@ COORDINATES = 128
 BAND_ROWS = 4
 SMALL_BUCKET = 32
 BLOCK_SHINGLES = 1_000_000
+BLOCK_ROWS = 2048        # a task compares two blocks: 64 MB of counts
 CHUNK = 1_000_000
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = seeds(2 * COORDINATES, 7)
@@ -206,11 +207,12 @@ def _deal(rest: DataFrame) -> DataFrame:
     home = counts.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component"))
                                         .alias("home"))
     rest = rest.join(home, "bucket").withColumn("outside", F.col("component") != F.col("home"))
-    need = F.greatest(F.lit(1), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int")
-    blocks = rest.groupBy("bucket").agg(
-        F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("outside"), F.col("n_shingles")))
-                                    / BLOCK_SHINGLES)).cast("int").alias("n_out"),
-        need.alias("n_all"))
+
+    def needed(here):
+        """Blocks for the rows where ``here`` holds: neither shingles nor rows of one grow with the bucket."""
+        return F.greatest(F.lit(1), F.ceil(F.sum(F.when(here, F.col("n_shingles"))) / BLOCK_SHINGLES),
+                          F.ceil(F.count_if(here) / BLOCK_ROWS)).cast("int")
+    blocks = rest.groupBy("bucket").agg(needed(F.col("outside")).alias("n_out"), needed(F.lit(True)).alias("n_all"))
     rest = rest.join(blocks, "bucket").withColumn("h", F.xxhash64("id"))
     own = F.pmod("h", F.when(F.col("outside"), F.col("n_out")).otherwise(F.col("n_all"))).cast("int")
     # outside block o meets outside block p >= o as (o, p) and home block g as (o, n_out + g)
