@@ -461,3 +461,35 @@ def test_templates(spark):
     log = evidence.store_templates(rows)
     got = evidence.get_templates(labels(spark, ["qmse"], "topic"), log)
     assert [r.content for r in got.collect()] == ["a b c"]
+
+
+def test_topics_fold_like_their_log(spark):
+    """Statements counted per topic give the edges, nodes and paths of the whole log, and one row per edge and topic."""
+    statements = spark.createDataFrame(
+        [(t, k, s, i, n) for n, (t, k, s, i) in enumerate(
+            [(1, "teach", "a", None), (1, "teach", "a", 0.4), (1, "refute", "b", None), (2, "teach", "a", None),
+             (2, "teach", " ", None), (3, "refute", "a", 0.3), (3, "teach", None, None), (4, "teach", "b", None),
+             (4, "teach", "c", None), (1, "teach", "c", None), (5, "teach", None, None)] * 3)],
+        "topic long, kind string, source_label string, initial_strength double, seq long")
+    # topics 1 and 2 share the edge m_p -> m, topic 3 says one thing twice, a word link meets a taught part_of
+    topics = spark.createDataFrame(
+        [(1, "m", "has", "red", "p"), (2, "m", "has", "blue", "p"), (3, "big box", "is", "old thing", "p"),
+         (3, "big box", "is", "old thing", "p"), (4, "box", "part_of", "big", "x"), (4, "n", "has", "red", "p"),
+         (5, "o", "has", "two words", "p"), (6, "never", "has", "said", "p")],
+        "topic long, subject string, relation string, obj string, ptype string").selectExpr(
+        "*", "'r' AS region", "concat_ws(' ', subject, relation, obj) AS source_text")
+    said = evidence.Said(statements, topics)
+    counters = evidence.topic_counters(said)
+    rows = evidence.facts(statements.join(topics, "topic"))
+    log = evidence.teach(rows)
+
+    def same(got, want):
+        columns = want.columns
+        assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.collect()))
+    same(evidence.fold_topics(said, counters), evidence.fold_evidence(log))
+    same(evidence.fold_nodes(evidence.topic_log(said, counters)), evidence.fold_nodes(log))
+    assert evidence.topic_log(said, counters).count() < log.count() / 3
+    key = ["region", "part", "origin", "terminus", "chain", "source_text"]
+    same(evidence.paths_of(evidence.counted_facts(said, counters)).groupBy(*key).agg(
+             F.sum("times").alias("n"), F.min("seq").alias("first")),
+         evidence.paths_of(rows).groupBy(*key).agg(F.count("*").alias("n"), F.min("seq").alias("first")))
