@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import edge, fact_rows, graph_of, labels
 from tracefold.functions import measures
-from tracefold.operators import (associations, coverage, evidence, labelindex, lookup, observe, quality,
+from tracefold.operators import (associations, coverage, evidence, labelindex, lookup, matching, observe, quality,
                                  resolve, similar, waves)
 
 FRUIT = ["apples are red", "apples are round", "circles are round"]
@@ -493,3 +493,24 @@ def test_topics_fold_like_their_log(spark):
     same(evidence.paths_of(evidence.counted_facts(said, counters)).groupBy(*key).agg(
              F.sum("times").alias("n"), F.min("seq").alias("first")),
          evidence.paths_of(rows).groupBy(*key).agg(F.count("*").alias("n"), F.min("seq").alias("first")))
+
+
+def test_contains_join_meets_tokens(spark):
+    """Every place a pattern can start or end at, blanks included, against brute force."""
+    rnd = random.Random(5)
+    texts = ["".join(rnd.choice("ab  c\n.") for _ in range(rnd.randint(0, 30))) for _ in range(60)] + [None, "", " "]
+    patterns = sorted({"".join(rnd.choice("ab  c") for _ in range(rnd.randint(1, 7))) for _ in range(150)} | {" ", "  ", ""})
+    got = matching.contains_join(
+        spark.createDataFrame(list(enumerate(texts)), "text_id int, text string"),
+        spark.createDataFrame([(p,) for p in patterns], "pattern string"), min_len=1).collect()
+    want = sorted((i, p) for i, t in enumerate(texts) if t is not None for p in patterns if p and p in t)
+    assert sorted((r.text_id, r.pattern) for r in got) == want
+
+
+def test_contains_join_candidates_follow_the_matches(spark):
+    """Numbered labels meet the few tokens they begin, not all that share three characters."""
+    names = [f"customer#{i}" for i in range(3000)]
+    frame = spark.createDataFrame([(n,) for n in names], "token string")
+    met = matching._inside(frame, frame.withColumnRenamed("token", "piece"))
+    assert met.count() == sum(p in {n[:k] for k in range(len(n) + 1)} for n in names for p in
+                              {n[:k] for k in range(10, len(n) + 1)} if p in set(names))
