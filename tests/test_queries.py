@@ -47,6 +47,14 @@ def test_stream_sink_is_exact_out_of_order_and_on_retry(spark, tmp_path):
     assert got == sorted(map(tuple, evidence.fold_evidence(log).select(*cols).collect()))
 
 
+def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
+    for name in ("orders", "customer"):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    fold = entry.queries()["stream_fold_orders"]
+    want = sorted(map(tuple, fold(spark, SF).collect()))
+    assert want and sorted(map(tuple, fold(spark, str(tmp_path)).collect())) == want
+
+
 def test_no_python_workers_in_plans(spark):
     for name in ("fold_part_evidence", "parse_document_statements", "classify_turns",
                  "extract_statements", "chunk_documents"):
