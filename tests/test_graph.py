@@ -392,6 +392,16 @@ def test_label_index_is_read_without_an_exchange(spark):
     assert len(scan) == 1 and "Bucketed: true" in plan and "Exchange" not in above
 
 
+def test_typos_count_edits_in_bytes(spark):
+    """As SQL does: an accent that is dropped is two edits, two of them are four."""
+    counts = {"gr\u00e4ser": 5, "graser": 1, "gr\u00e8ser": 2, "\u00e9l\u00e8ve": 5, "eleve": 1}
+    paths = spark.createDataFrame([("m", a, "x", "a text") for a, n in counts.items() for _ in range(n)],
+                                  "region string, origin string, terminus string, source_text string")
+    nodes = spark.createDataFrame([("m", a) for a in counts], "region string, label string")
+    got = quality.suspected_typos(nodes, paths).select("label", "canonical", "distance").collect()
+    assert sorted(map(tuple, got)) == [("graser", "gr\u00e4ser", 2), ("gr\u00e8ser", "gr\u00e4ser", 1)]
+
+
 def test_ambiguity_holds_statement_back(spark):
     g = graph_of(spark, ["children are loved"] * 3)
     said = spark.createDataFrame([(1, "childen", "happy"), (2, "children", "loved")],
