@@ -505,6 +505,13 @@ def test_topics_fold_like_their_log(spark):
          evidence.paths_of(rows).groupBy(*key).agg(F.count("*").alias("n"), F.min("seq").alias("first")))
 
 
+def test_chain_ids_are_short(spark):
+    """Every step of the dictionary and every path carries one."""
+    g = graph_of(spark, TEN)
+    ids = [r.chain for r in g.paths.select("chain").distinct().collect()]
+    assert len(ids) == len(TEN) and {len(i) for i in ids} == {16}
+
+
 def test_contains_join_meets_tokens(spark):
     """Every place a pattern can start or end at, blanks included, against brute force."""
     rnd = random.Random(5)
