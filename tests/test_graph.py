@@ -392,6 +392,19 @@ def test_label_index_is_read_without_an_exchange(spark):
     assert len(scan) == 1 and "Bucketed: true" in plan and "Exchange" not in above
 
 
+def test_label_index_follows_its_labels(spark, monkeypatch):
+    """It stores no piece of a label; best results are those of the whole search, whatever keys are sent."""
+    stored = [f"part#{i}" for i in range(300)] + [f"part#{i}_type" for i in range(40)] + ["cities", "city", "large ring"]
+    index = labelindex.build_index(labels(spark, stored))
+    assert index.strings.count() <= 2 * len(stored)
+    terms = labels(spark, [f"pert#{i}" for i in range(0, 300, 7)] + ["pxrt#17_tyqe", "citiex", "lerge rung", "zzz"], "term")
+    want = sorted(map(tuple, resolve.resolve(terms, index).filter("rank <= 2").collect()))
+    assert len({r[0] for r in want}) == terms.count() - 1
+    assert sorted(map(tuple, resolve.resolve(terms, index, 2).collect())) == want
+    monkeypatch.setattr(labelindex, "KEYS", 0)
+    assert sorted(map(tuple, resolve.resolve(terms, index, 2).collect())) == want
+
+
 def test_typos_count_edits_in_bytes(spark):
     """As SQL does: an accent that is dropped is two edits, two of them are four."""
     counts = {"gr\u00e4ser": 5, "graser": 1, "gr\u00e8ser": 2, "\u00e9l\u00e8ve": 5, "eleve": 1}
