@@ -275,3 +275,15 @@ def test_note_of_a_date_link_holds_the_whole_text(spark):
     df = spark.createDataFrame([("main", "school", text, 1)], "region string, fact string, text string, seq long")
     rows = dates.link_dates(df, datetime.date(2026, 3, 1)).collect()
     assert rows and all(r.source_text.endswith(" from: " + text) for r in rows)
+
+
+def test_claims_are_searched_once_and_near_their_verb(spark):
+    lead = "Beyond the old walls of a town, " + "a b " * 30
+    texts = [(1, lead + "the deep   \t well is a shaft. None here."), (2, "x is (odd) but the \n\n well requires a rope"),
+             (3, "is is a verb"), (4, None), (5, "\U0001f600 " * 60 + "the well contains water")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    out = cleaning.extract_statements(df, ["id"])
+    assert [(r.id, r.statement) for r in out.orderBy("id", "nth").collect()] == [
+        (1, "b the deep well is a shaft"), (2, "but the well requires a rope"), (3, "is is a verb"), (5, "the well contains water")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("requires|follows" in line for line in plan.splitlines()) == 1
