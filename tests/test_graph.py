@@ -544,3 +544,22 @@ def test_contains_join_candidates_follow_the_matches(spark):
     met = matching._inside(frame, frame.withColumnRenamed("token", "piece"))
     assert met.count() == sum(p in {n[:k] for k in range(len(n) + 1)} for n in names for p in
                               {n[:k] for k in range(10, len(n) + 1)} if p in set(names))
+
+
+def test_converge_among_asked_pairs(spark):
+    """Scores of texts come from the pairs their words name; an event doesn't meet all its seeds reach."""
+    from tracefold.operators import answers
+    g = graph_of(spark, [f"part {i} has name ring" for i in range(6)] + ["ring is round", "gold is round"])
+    seeds = spark.createDataFrame([("main", 1, "round"), ("main", 1, "ring"), ("main", 1, "ring"), ("main", 2, "round")],
+                                  "region string, event_id int, label string")
+    whole = waves.converge(seeds, g.edges).select("event_id", "node", "weight", "sources")
+    asked = spark.createDataFrame([(1, "ring"), (2, "ring"), (1, "gold"), (3, "gold")], "event_id int, node string")
+    some = waves.converge(seeds, g.edges, among=asked).select("event_id", "node", "weight", "sources")
+    assert some.count() > 0
+    assert sorted(some.collect()) == sorted(whole.join(asked, ["event_id", "node"], "left_semi").collect())
+    texts = spark.createDataFrame([(10, 1, "Ring or rings"), (20, 2, "a ring, not Gold"), (30, 2, "none")],
+                                  "text_id int, event_id int, text string")
+    plain = answers.keyword_scores(texts, whole.withColumnRenamed("node", "label"))
+    rows = lambda df: sorted((r.text_id, r.event_id, round(r.weight, 9), r.hits) for r in df.collect())
+    got = answers.converged_scores(texts, seeds, g.edges)
+    assert rows(got) == rows(plain) and rows(plain)
