@@ -563,3 +563,41 @@ def test_converge_among_asked_pairs(spark):
     rows = lambda df: sorted((r.text_id, r.event_id, round(r.weight, 9), r.hits) for r in df.collect())
     got = answers.converged_scores(texts, seeds, g.edges)
     assert rows(got) == rows(plain) and rows(plain)
+
+
+def test_echo_of_equal_branches_equals_loop(spark):
+    """Branches that can be exchanged are expanded once; those with seeds or other strengths stay."""
+    rng, rows = random.Random(5), {}
+    for i in range(9):     # on h1 and h2 branches of two nodes, on h3 leaves, one each way of another strength
+        for hub in ("h1", "h2"):
+            rows[("main", hub, f"{hub}_m{i}", "r")] = 0.6 if i == 3 else 1.0
+            rows[("main", f"{hub}_m{i}", f"{hub}_x{i}", "r")] = 1.3 if i == 4 else 0.9
+        rows[("main", f"leaf{i}", "h3", "r")] = 0.4 if i == 5 else 0.7
+    for a, b in (("h1", "top"), ("h2", "top"), ("top", "h3"), ("h3", "h1"), ("h2", "side"), ("side", "h3")):
+        rows[("main", a, b, "q")] = rng.choice([0.6, 1.0, 1.7])
+    edges = spark.createDataFrame([(*k, v) for k, v in rows.items()],
+                                  "region string, src string, dst string, relation string, strength double")
+    events = {"a": ["top"], "b": ["h1_x2", "leaf1"], "c": ["h2_m6", "side"]}
+    want = {}
+    for event, start in events.items():
+        used, current, conv = set(start), list(start), {}
+        for _ in range(3):
+            fresh = []
+            for s in current:
+                for node, (_, w) in _queue_wave(rows, s, 3, 0.5, True).items():
+                    tot, cnt = conv.get(node, (0.0, 0))
+                    conv[node] = (tot + w, cnt + 1)
+                    if node not in used:
+                        used.add(node)
+                        fresh.append(node)
+            current = fresh
+        want.update({(event, n): (round(w, 6), c) for n, (w, c) in conv.items()})
+    seeds = spark.createDataFrame([("main", e, x, 0.5) for e, xs in events.items() for x in xs],
+                                  "region string, event_id string, label string, min_strength double")
+    adj = waves.adjacency(edges, True)
+    got = waves.echo(seeds, adj).collect()
+    assert {(r.event_id, r.node): (round(r.weight, 6), r.sources) for r in got} == want and len(got) == len(want)
+    left, same, many = waves.fold_branches(adj, seeds.select("region", "label"))
+    # of 9 branches two of other strengths and one with a seed stay, and two of the equal six
+    assert {r.node for r in left.filter("node LIKE 'h1!_m%' ESCAPE '!'").collect()} == {f"h1_m{i}" for i in (0, 2, 3, 4, 8)}
+    assert same.count() == 5 * 2 + 5 * 2 + 6 and {r.times for r in many.collect()} == {5, 6}
