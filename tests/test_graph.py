@@ -282,6 +282,43 @@ def test_reach_is_bounded_and_handles_cycles(spark):
     assert got == {f"n{i}": i for i in range(1, 11)}
 
 
+@pytest.mark.parametrize("seed", [2])
+def test_reach_over_kinds_is_that_of_every_node(spark, seed):
+    rng = random.Random(seed)
+    # a few seeds, layers of nodes with few different in-neighbours, and random edges that close cycles
+    pairs = {(f"p{rng.randrange(4)}", f"a{i}") for i in range(12)} | {("p0", "p1"), ("a1", "p2"), ("lone", "p3")}
+    pairs |= {(f"a{rng.randrange(12)}", f"b{i}") for i in range(14) for _ in range(2)}
+    pairs |= {(f"b{rng.randrange(14)}", f"a{rng.randrange(12)}") for _ in range(seed)}
+    near = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+    want = set()
+    for start in (f"p{i}" for i in range(4)):
+        seen, front = {start}, {start}
+        for hops in (1, 2, 3, 4):
+            front = {y for x in front for y in near.get(x, ())} - seen
+            seen |= front
+            want |= {(start, y, hops) for y in front}
+    edges = spark.createDataFrame([("main", a, b) for a, b in pairs], "region string, src string, dst string")
+    seeds = labels(spark, [f"p{i}" for i in range(4)])
+    got = [(r.seed, r.node, r.hops) for r in waves.reach(seeds, edges, 4).collect()]
+    assert sorted(got) == sorted(want)
+    reached, members = waves.reach_kinds(seeds, edges, 4)
+    starts = {}
+    for _, node, _ in want:
+        starts[node] = starts.get(node, 0) + 1
+    met = {r.node: r.starts for r in waves.reach_intersections(reached, members).collect()}
+    assert met == {k: n for k, n in starts.items() if n > 1}
+
+
+def test_equal_nodes_are_reached_once(spark):
+    def rows(n):
+        g = graph_of(spark, [f"item{i} are {p}" for i in range(n) for p in ("red", "round")])
+        seeds = g.nodes.filter("node_type = 'property'")
+        return waves.reach_kinds(seeds, g.edges)[0].count(), similar.similarity(g.nodes, g.edges).collect()[0].shared
+    assert rows(3)[0] == rows(30)[0] and rows(30)[1] == 30
+
+
 def test_reinforce_adds_one_per_edge(spark):
     rows = fact_rows(spark, FRUIT)
     log = evidence.teach(rows)

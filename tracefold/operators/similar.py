@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.scratch import materialize
-from .waves import reach
+from .waves import reach_kinds
 
 BLOCK = 2000
 #: Relations that mark a standing instead of saying something about a node.
@@ -12,10 +12,16 @@ MARKERS = ("refutation_of", "refutation_status", "cleanup_reviewed", "cleanup_ac
 
 
 def downstream(nodes: DataFrame, edges: DataFrame, depth: int = 10, markers=MARKERS) -> DataFrame:
-    """(region, prop, node) reachable from every property node, not over ``markers`` relations."""
+    """(region, prop, node, times): what every property node reaches, not over ``markers`` relations.
+
+    A row stands for the ``times`` nodes of one kind, which the same properties reach.
+    """
     props = nodes.filter("node_type = 'property'").select("region", "label")
     edges = edges.filter(~F.col("relation").isin(list(markers))) if markers else edges
-    return reach(props, edges, depth).select("region", F.col("seed").alias("prop"), "node")
+    reached, members = reach_kinds(props, edges, depth)
+    many = members.groupBy("region", "kind").agg(F.count("*").alias("times"))
+    return reached.join(many, ["region", "kind"]).select(
+        "region", F.col("seed").alias("prop"), F.col("kind").alias("node"), "times")
 
 
 def similarity(nodes: DataFrame, edges: DataFrame, depth: int = 10, labels: DataFrame = None,
@@ -27,20 +33,21 @@ def similarity(nodes: DataFrame, edges: DataFrame, depth: int = 10, labels: Data
     them out of reach.  ``labels`` (region, label) keeps pairs with one of the
     labels, before pairs are built; ``min_shared`` keeps pairs that share as many nodes.
 
-    Nodes reached by exactly the same properties are first merged into one
+    Nodes of one kind are merged before properties are expanded (waves.equal_nodes), and nodes
+    reached by exactly the same properties into one
     weighted node, so a pair is met once per distinct fan-in set instead of once
     per shared node.  A fan-in set larger than ``BLOCK`` is cut into blocks whose
     pairs are spread over tasks; every pair is still compared.
     """
     down = materialize(downstream(nodes, edges, depth, markers), "downstream")
-    sizes = down.groupBy("region", "prop").agg(F.count("*").alias("size"))
+    sizes = down.groupBy("region", "prop").agg(F.sum("times").alias("size"))
     signature = (down.groupBy("region", "node")
-                 .agg(F.count("*").alias("fan_in"),
+                 .agg(F.count("*").alias("fan_in"), F.min("times").alias("times"),
                       F.sum(F.shiftright(F.xxhash64("prop"), 20)).alias("h1"),
                       F.bit_xor(F.xxhash64("prop", F.lit(1))).alias("h2"),
                       F.bit_xor(F.xxhash64(F.lit(2), "prop")).alias("h3")))
     merged = (signature.filter("fan_in > 1").groupBy("region", "fan_in", "h1", "h2", "h3")
-              .agg(F.min("node").alias("node"), F.count("*").alias("weight")))
+              .agg(F.min("node").alias("node"), F.sum("times").alias("weight")))
     member = down.join(merged.select("region", "node", "weight", "fan_in"), ["region", "node"])
     blocks = F.ceil(F.col("fan_in") / F.lit(BLOCK)).cast("int")
     member = member.withColumn("blocks", blocks).withColumn(
