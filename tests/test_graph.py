@@ -311,6 +311,17 @@ def test_reach_over_kinds_is_that_of_every_node(spark, seed):
     assert met == {k: n for k, n in starts.items() if n > 1}
 
 
+def test_groups_and_events_are_added_up_where_their_nodes_are(spark):
+    edges = spark.createDataFrame([("main", "red", "a", 1.0), ("main", "round", "a", 1.0)],
+                                  "region string, src string, dst string, strength double")
+    asked = labels(spark, ["red", "round"])
+    for found, column in ((waves.recognize(asked.withColumn("group_id", F.lit("g")), edges), "group_id"),
+                          (waves.converge(asked.withColumn("event_id", F.lit("e")), edges), "event_id")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        moved = [x for x in plan.split("\n") if "hashpartitioning" in x and column in x.split("hashpartitioning")[1]]
+        assert not moved
+
+
 def test_equal_nodes_are_reached_once(spark):
     def rows(n):
         g = graph_of(spark, [f"item{i} are {p}" for i in range(n) for p in ("red", "round")])
