@@ -453,6 +453,22 @@ def test_label_index_follows_its_labels(spark, monkeypatch):
     assert sorted(map(tuple, resolve.resolve(terms, index, 2).collect())) == want
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_topics_are_not_sent_whole(spark):
+    """However small the file of the topics, their joins gather no side in the driver."""
+    statements = spark.createDataFrame([(1, "teach", "s1", None, 5), (1, "refute", "s2", None, 7), (2, "teach", None, None, 9)],
+                                       "topic long, kind string, source_label string, initial_strength double, seq long")
+    topics = spark.createDataFrame([(t, "r", f"p{t}", "has_x", "red", "x", f"p{t} has_x red") for t in (1, 2)],
+                                   "topic long, region string, subject string, relation string, obj string, ptype string, source_text string")
+    said = evidence.Said(statements, topics)
+    counters = evidence.topic_counters(said)
+    for df in (evidence.topic_log(said, counters), evidence.counted_facts(said, counters)):
+        assert "BroadcastHashJoin" not in _plan(df) and df.count() > 0
+
+
 def test_typos_count_edits_in_bytes(spark):
     """As SQL does: an accent that is dropped is two edits, two of them are four."""
     counts = {"gr\u00e4ser": 5, "graser": 1, "gr\u00e8ser": 2, "\u00e9l\u00e8ve": 5, "eleve": 1}
