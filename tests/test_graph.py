@@ -485,6 +485,20 @@ def test_topic_witnesses_are_those_of_the_log(spark):
     assert got.count() == 3
 
 
+def test_text_joins_send_no_tokens(spark, monkeypatch):
+    """A side is sent whole only if it is few rows by count; nothing is where no rows are."""
+    texts = spark.createDataFrame([(1, "red apples are sweet"), (2, "green apples")], "text_id long, text string")
+    patterns = spark.createDataFrame([("apple",), ("red apples",)], "pattern string")
+    words = spark.createDataFrame([("apples",), ("red apples",)], "label string")
+    want = [(1, "apple"), (1, "red apples"), (2, "apple")]
+    assert sorted(map(tuple, matching.contains_join(texts, patterns).collect())) == want
+    monkeypatch.setattr(scratch, "SENT", 0)
+    found = matching.contains_join(texts, patterns)
+    assert sorted(map(tuple, found.collect())) == want and "BroadcastHashJoin" not in _plan(found)
+    found = matching.word_join(texts, words)
+    assert found.count() == 3 and "BroadcastHashJoin" not in _plan(found)
+
+
 def test_typos_count_edits_in_bytes(spark):
     """As SQL does: an accent that is dropped is two edits, two of them are four."""
     counts = {"gr\u00e4ser": 5, "graser": 1, "gr\u00e8ser": 2, "\u00e9l\u00e8ve": 5, "eleve": 1}
