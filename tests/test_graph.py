@@ -499,6 +499,27 @@ def test_text_joins_send_no_tokens(spark, monkeypatch):
     assert found.count() == 3 and "BroadcastHashJoin" not in _plan(found)
 
 
+def test_waves_send_no_level_of_many_rows(spark, monkeypatch):
+    g = graph_of(spark, TEN)
+    adj = waves.stored_adjacency(g.edges)
+    seeds = labels(spark, ["red", "sweet"]).select("region", F.col("label").alias("seed"), F.lit(0.5).alias("min_strength"))
+    want = sorted(map(str, waves.propagate(seeds, adj, 2).collect()))
+    monkeypatch.setattr(scratch, "SENT", 0)
+    found = waves.propagate(seeds, adj, 2)
+    # all but the join of the seeds
+    assert _plan(found).count("BroadcastHashJoin") <= 1 and sorted(map(str, found.collect())) == want
+
+
+def test_kinds_are_not_sent_whole(spark, monkeypatch):
+    g = graph_of(spark, TEN)
+    seeds = labels(spark, ["red", "sweet", "yellow"])
+    want = sorted(map(tuple, waves.reach(seeds, g.edges).collect()))
+    sides = []
+    monkeypatch.setattr(waves, "sent", lambda side: sides.append(side.columns) or side.hint("merge"))
+    assert sorted(map(tuple, waves.reach(seeds, g.edges).collect())) == want
+    assert ["region", "next"] in sides and ["region", "node", "kind"] in sides
+
+
 def test_typos_count_edits_in_bytes(spark):
     """As SQL does: an accent that is dropped is two edits, two of them are four."""
     counts = {"gr\u00e4ser": 5, "graser": 1, "gr\u00e8ser": 2, "\u00e9l\u00e8ve": 5, "eleve": 1}
