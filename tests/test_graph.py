@@ -520,6 +520,14 @@ def test_kinds_are_not_sent_whole(spark, monkeypatch):
     assert ["region", "next"] in sides and ["region", "node", "kind"] in sides
 
 
+def test_key_map_keeps_asked_keys(spark):
+    """All asked keys stay however many there are, and hardly any other."""
+    rows = spark.range(4000).select(F.xxhash64("id").alias("key"), "id")
+    kept = labelindex._mapped(rows, labelindex._key_map(rows.filter("id % 4 = 0")))
+    ids = {r.id for r in kept.select("id").collect()}
+    assert ids >= set(range(0, 4000, 4)) and len(ids) < 1100 and kept.columns == rows.columns
+
+
 def test_typos_count_edits_in_bytes(spark):
     """As SQL does: an accent that is dropped is two edits, two of them are four."""
     counts = {"gr\u00e4ser": 5, "graser": 1, "gr\u00e8ser": 2, "\u00e9l\u00e8ve": 5, "eleve": 1}
