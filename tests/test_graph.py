@@ -11,6 +11,7 @@ from tests.helpers import edge, fact_rows, graph_of, labels
 from tracefold.functions import measures
 from tracefold.operators import (associations, coverage, evidence, labelindex, lookup, matching, observe, quality,
                                  resolve, similar, waves)
+from tracefold.sources import scratch
 
 FRUIT = ["apples are red", "apples are round", "circles are round"]
 TEN = ["bananas are yellow", "bananas are sweet", "lemons are yellow", "lemons are sour",

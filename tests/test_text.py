@@ -287,3 +287,16 @@ def test_claims_are_searched_once_and_near_their_verb(spark):
         (1, "b the deep well is a shaft"), (2, "but the well requires a rope"), (3, "is is a verb"), (5, "the well contains water")]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert sum("requires|follows" in line for line in plan.splitlines()) == 1
+
+
+def test_gap_context_looks_through_equal_sentences_once(spark, monkeypatch):
+    same = "the old edubba was a house of tablets in nippur"
+    docs = spark.createDataFrame([(2, f"{same}. short. {same}"), (1, f"short. {same}. The Edubba taught many scribes of the land")],
+                                 "doc_id long, text string")
+    gaps = spark.createDataFrame([("edubba",), ("scribes of",), ("unheard",)], "concept string")
+    seen, join = [], answers.contains_join
+    monkeypatch.setattr(answers, "contains_join", lambda texts, *a, **k: seen.append(texts.count()) or join(texts, *a, **k))
+    got = answers.gap_context(docs, gaps).select("concept", "doc_id", "pos", "sentence", "rank").collect()
+    other = "The Edubba taught many scribes of the land"
+    assert sorted(map(tuple, got)) == [("edubba", 1, 1, same, 1), ("edubba", 1, 2, other, 2), ("scribes of", 1, 2, other, 1)]
+    assert seen == [2]
